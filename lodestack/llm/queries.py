@@ -1,6 +1,10 @@
 """The registered queries of this folder, and their SQL where SQL can say the same."""
 
-from . import quality
+from . import media, quality, simhash
 
-QUERIES = {"op1_quality_rules": quality.op1_quality_rules}
+QUERIES = {
+    "op1_quality_rules": quality.op1_quality_rules,
+    "op2_media_columns": media.op2_media_columns,
+    "op7_simhash": simhash.op7_simhash,
+}
 SQL = {"op1_quality_rules": quality.OP1_SQL}
