@@ -1,10 +1,14 @@
 """The registered queries of this folder, and their SQL where SQL can say the same."""
 
-from . import media, quality, simhash
+from . import linededup, media, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_media_columns": media.op2_media_columns,
+    "op6_line_dedup": linededup.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
 }
-SQL = {"op1_quality_rules": quality.OP1_SQL}
+SQL = {
+    "op1_quality_rules": quality.OP1_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
+}
