@@ -85,7 +85,10 @@ def measured(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_i
     same = lambda x, i: (x["h"] == F.get("s", i - 1)["h"]) | (x["h"] == F.get("s", i + 1)["h"])
     t = t.drop("tri").withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
     t = t.drop("s").withColumn("spread", F.transform("p", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("p", i + 1) - x, F.lit(3)))))
-    t = t.withColumn("n_repeat_words", F.coalesce(F.aggregate("spread", F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"))
+    # The last term is 0. It keeps a filter on the result above these steps: pushed below, it would inline each
+    # array into the lambdas that read it and compute it once per element.
+    above = F.least(F.lit(0), F.monotonically_increasing_id())
+    t = t.withColumn("n_repeat_words", F.coalesce(F.aggregate("spread", F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long") + above)
     return t.select(
         *(F.col(n).alias(c) for c, n in zip(carry, names)),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
