@@ -1,11 +1,12 @@
 """The registered queries of this folder, and their SQL where SQL can say the same."""
 
-from . import langid, linededup, media, mixing, packing, quality, simhash, tokenfile, toxicity
+from . import langid, linededup, media, mixing, packing, pii, quality, simhash, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_media_columns": media.op2_media_columns,
     "op3_language_id": langid.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_token_output": tokenfile.op5_token_output,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_simhash": simhash.op7_simhash,
@@ -16,6 +17,7 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
     "op3_language_id": langid.op3_language_id,
+    "op4_pii": pii.op4_pii,
     "op5_token_output": tokenfile.op5_token_output,
     "op6_line_dedup": linededup.OP6_SQL,
 }
