@@ -27,6 +27,8 @@ from .common import written
 from .tokens import encoded, vocabulary
 
 ROOM = 4096
+#: This job holds little else, so that its workers can keep more words (200 MB).
+KEPT_WORDS = 1_000_000
 
 
 def shortest_pack_first(histogram: dict[int, int], room: int = ROOM) -> list[tuple[int, int, int, int, int]]:
@@ -89,7 +91,7 @@ def pieces(docs: DataFrame, path: str, drops_space: bool = True, room: int = ROO
         part, seen = TaskContext.get().partitionId(), np.zeros(room + 1, np.int64)
         for b in batches:
             rows = []
-            for i, ids in encoded(b.column(1), path, drops_space):
+            for i, ids in encoded(b.column(1), path, drops_space, KEPT_WORDS):
                 for at in range(0, len(ids), 4 * room):
                     piece = ids[at : at + 4 * room]
                     rows.append((i, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4, part, int(seen[len(piece) // 4])))

@@ -1,7 +1,7 @@
 """Token ids from a public vocabulary file, through a cache of words in front of the tokenizer.
 
 A text is cut at single spaces between other characters, where no token of these vocabularies can span; each
-distinct word is encoded by the tokenizer once and kept, up to `most` words per Python worker (common words come
+word's ids come from the tokenizer once and are kept, up to `most` words per Python worker (common words come
 early and stay). A text with any other kind of space at a cut is encoded whole. The ids are the tokenizer's own
 either way, which the tests hold against whole-text encoding.
 """
@@ -9,9 +9,13 @@ either way, which the tests hold against whole-text encoding.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 END = 2
+#: Words that a worker keeps, about 200 bytes each.
+MOST_WORDS = 250_000
+_END = array("I", [END]).tobytes()
 
 
 def vocabulary(name: str) -> str:
@@ -20,78 +24,99 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Words that are one piece before merging: ASCII and Latin letters alone (but for the dotted capital I, whose lower case is two characters).
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The byte-level vocabularies' character for each byte: itself where it prints, else the next one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in prints)}
+
+
 class Encoder:
     """`drops_space`: the vocabulary ignores white space altogether (word_bpe_49k), so any cut is safe."""
 
-    def __init__(self, path: str, drops_space: bool, most: int = 400_000):
+    def __init__(self, path: str, drops_space: bool, most: int = MOST_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space, self.most = drops_space, most
+        self.merge = self.tokenizer.model.tokenize
+        self.normal = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        self.drops_space, self.most, self.bytes = drops_space, most, _byte_characters()
         self.first: dict[str, bytes] = {}
         self.rest: dict[str, bytes] = self.first if drops_space else {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], words: set[str], before: str) -> None:
-        """Adds words; one that ends in a comma or full stop after an ASCII letter is its stem's ids and the mark's."""
-        marked = [w for w in words if w[-1:] in (",", ".") and w[-2:-1].isascii() and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in marked} - known.keys()
-        plain = list((words - set(marked)) | stems)
-        known.update(zip(plain, self._ids([before + w for w in plain])))
-        if marked:
-            marks = dict(zip(",.", self._ids([",", "."])))
-            known.update((w, known[w[:-1]] + marks[w[-1]]) for w in marked)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each whole text and the end id, as little-endian unsigned 32-bit integers."""
-        cut, whole = [], []
-        for i, t in enumerate(texts):
-            cut.append(t.replace("\n", " ").split(" ") if self.drops_space else t.split(" "))
-        new = {w for ws in cut for w in ws[1:]} - self.rest.keys()
-        heads = {ws[0] for ws in cut} - self.first.keys()
-        if self.drops_space:
-            new |= heads
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _word(self, word: str, spaced: bool) -> bytes:
+        """Ids of a stretch without spaces at its ends, after a space if `spaced`. Letters go straight to the merges;
+        a comma or full stop after a letter, and a line break between others, are pieces of their own."""
+        known = self.rest if spaced else self.first
+        ids = known.get(word)
+        if ids is not None:
+            return ids
+        if word.isascii() and word.isalpha():
+            ids = self._merged(word.lower() if self.drops_space else word, spaced)
+        elif word[-1] in ",." and len(word) > 1 and _PLAIN.fullmatch(word, len(word) - 2, len(word) - 1):
+            return self._word(word[:-1], spaced) + self._mark(word[-1])
+        elif _PLAIN.fullmatch(word):
+            ids = self._merged(self.normal(word).encode().decode("latin-1").translate(self.bytes), spaced)
+        elif not self.drops_space and "\n" in word and all(p and not p[0].isspace() and not p[-1].isspace() for p in word.split("\n")):
+            head, *lines = word.split("\n")
+            return self._word(head, spaced) + b"".join([self._mark("\n") + self._word(line, False) for line in lines])
         else:
-            bad = {w for w in new | heads if not w or w[0].isspace() or w[-1].isspace()}
-            if bad:
-                whole = [i for i, ws in enumerate(cut) if not bad.isdisjoint(ws)]
-                for i in whole:
-                    cut[i] = []
-                new, heads = new - bad, heads - bad
-            self._learn(self.first, heads, "")
-        self._learn(self.rest, new, "" if self.drops_space else " ")
-        end = array("I", [END]).tobytes()
-        out = [(self.first[ws[0]] + b"".join([self.rest[w] for w in ws[1:]]) + end) if ws else b"" for ws in cut]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids + end
-        for known in (self.first, self.rest):
-            if len(known) > self.most:
-                for w in list(known)[self.most :]:
-                    del known[w]
-        return out
+            ids = self._whole(" " + word if spaced and not self.drops_space else word)
+        if len(known) < self.most:
+            known[word] = ids
+        return ids
 
+    def _merged(self, piece: str, spaced: bool) -> bytes:
+        return array("I", [t.id for t in self.merge("\u0120" + piece if spaced and not self.drops_space else piece)]).tobytes()
 
-_ENCODERS: dict[tuple, Encoder] = {}
+    def _mark(self, mark: str) -> bytes:
+        if mark not in self.first:
+            self.first[mark] = self._whole(mark)
+        return self.first[mark]
 
+    def encode(self, text: str) -> bytes:
+        """The ids of the whole text and the end id, as little-endian unsigned 32-bit integers."""
+        if self.drops_space:
+            first, rest = None, text.replace("\n", " ").split(" ")
+        else:
+            first, *rest = text.split(" ")
+        get, comma, stop = self.rest.get, self._mark(","), self._mark(".")
+        ids = [get(w) for w in rest]
+        if None in ids:
+            for i, x in enumerate(ids):
+                if x is None:
+                    w = rest[i]
+                    last = w[-1:]
+                    if (last == "," or last == ".") and (stem := get(w[:-1])) and w[-2:-1].isalpha():
+                        ids[i] = stem + (comma if last == "," else stop)
+                    elif w and not w[0].isspace() and not last.isspace():
+                        ids[i] = self._word(w, True)
+                    elif self.drops_space:
+                        ids[i] = self._whole(w)
+                    else:
+                        return self._whole(text) + _END
+        if first is not None:
+            if not first or first[0].isspace() or first[-1].isspace():
+                return self._whole(text) + _END
+            ids.insert(0, self._word(first, False))
+        ids.append(_END)
+        return b"".join(ids)
 
-def encoder(path: str, drops_space: bool) -> Encoder:
-    """This worker's encoder of a file."""
-    if (path, drops_space) not in _ENCODERS:
-        _ENCODERS[path, drops_space] = Encoder(path, drops_space)
-    return _ENCODERS[path, drops_space]
+
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoded(texts, path: str, drops_space: bool, most_chars: int = 1 << 20):
-    """(index, ids) of an Arrow column of texts, null as empty, a few texts at a time."""
-    e, group, size = encoder(path, drops_space), [], 0
+def encoded(texts, path: str, drops_space: bool, most: int = MOST_WORDS):
+    """(index, ids) of an Arrow column of texts, null as empty. The worker keeps its encoder between tasks."""
+    if (path, drops_space, most) not in _ENCODERS:
+        _ENCODERS[path, drops_space, most] = Encoder(path, drops_space, most)
+    e = _ENCODERS[path, drops_space, most]
     for i, t in enumerate(texts):
-        group.append((i, t.as_py() or ""))
-        size += len(group[-1][1])
-        if size >= most_chars:
-            yield from zip([i for i, _ in group], e.encode([t for _, t in group]))
-            group, size = [], 0
-    if group:
-        yield from zip([i for i, _ in group], e.encode([t for _, t in group]))
+        yield i, e.encode(t.as_py() or "")
