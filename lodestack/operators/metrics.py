@@ -34,7 +34,7 @@ def latency_metrics(log: DataFrame, *by: str, latency: str = "latency", success:
 
 def wall_throughput(log: DataFrame, *by: str, start: str = "ts", latency: str = "latency") -> DataFrame:
     """Requests by the time from the first start to the last end."""
-    begin = F.unix_micros(F.col(start)) / 1e6
+    begin = F.unix_micros(F.col(start).cast("timestamp")) / 1e6
     wall = F.max(begin + F.col(latency)) - F.min(begin)
     return log.groupBy(*by).agg(F.count("*").alias("total_requests"), F.when(wall > 0, F.count("*") / wall).otherwise(0.0).alias("throughput_wall"))
 
