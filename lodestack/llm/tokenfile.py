@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, table_partitions
+from .common import shared_path, table_partitions
 from .tokens import encoded, vocabulary
 
 MAGIC = b"IDZ1"
@@ -166,6 +165,6 @@ def lookup(spark: SparkSession, at: str, doc_ids: list[int]) -> DataFrame:
 def op5_token_output(spark, sf_dir):
     from .common import documents
 
-    to = f"{shared_dir(spark)}/lodestack/{uuid.uuid4().hex}/tokens"
+    to = shared_path(spark, "tokens")
     write_tokens(documents(spark, sf_dir), to)
     return read_tokens(spark, to, "ids_crc32 long")
