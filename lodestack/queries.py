@@ -387,10 +387,10 @@ def _trained(v: DataFrame, n_lists: int = 16, subs: int = 16) -> ivf.Quantiser:
 
 @register()
 def ivfpq_search(spark, d):
-    """Product codes, then exact scores of the four times as many candidates."""
+    """Product codes over 12 of 16 lists, then exact scores of ten times as many candidates."""
     v = _vectors(spark, d)
     q = _trained(v)
-    found = ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, 40, 8)
+    found = ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, 100, 12)
     return ivf.rescored(found, _queries(v), v, 10).select("query_id", "passage_id", "rank", _score())
 
 
