@@ -85,6 +85,8 @@ class BlockMaxIndex:
         for b, most in sorted(bound.items(), key=lambda r: (-r[1], r[0])):
             if len(best) >= k and most + 1e-9 < best[k - 1][0]:
                 break
+            if len(best) >= k and round(most, 12) <= best[k - 1][0] and b * BLOCK > best[k - 1][1]:
+                continue  # at best a tie with a lesser example: many examples may be copies of one another
             score = np.zeros(BLOCK)
             for w, j, x in parts[b]:
                 (at, weights), ends = self.postings[w], self.blocks[w][2]
@@ -105,7 +107,12 @@ class Votes:
         vectors = [self.vector(e[2]) for e in examples]
         self.index = BlockMaxIndex(vectors)
         if 0 < self.toxic.sum() < len(examples):
-            self.line = self._calibrated([self.vote([r for r in self.index.nearest(v, k + 1) if r[1] != i][:k]) for i, v in enumerate(vectors)])
+            near: dict[tuple, list] = {}  # copies have the same neighbours, but for themselves
+            for e, v in zip(examples, vectors):
+                key = tuple(sorted(e[2]))
+                if key not in near:
+                    near[key] = self.index.nearest(v, k + 1)
+            self.line = self._calibrated([self.vote([r for r in near[tuple(sorted(e[2]))] if r[1] != i][:k]) for i, e in enumerate(examples)])
 
     def vector(self, words: list[str]) -> dict[str, float]:
         v = {w: (1 + math.log(n)) * self.idf[w] for w, n in sorted(Counter(words).items()) if w in self.idf}
@@ -149,7 +156,16 @@ def scored(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLE
     matched = F.filter(text_words(F.col("text")), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
     found = written(docs.select("doc_id", matched.alias("words")), "matched")
     n = found.count()
-    df = {r.word: r.n for r in found.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per word and task: at most `most_words`."""
+        seen: Counter = Counter()
+        for b in batches:
+            for words in b.column(0).to_pylist():
+                seen.update(set(words))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    df = {r.word: r.n for r in found.select("words").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     idf = {w: math.log((1 + n) / (1 + m)) + 1 for w, m in df.items()}
     rows = found.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "words").collect()
     examples = [(r.doc_id, r.toxic, list(r.words)) for r in rows]
