@@ -16,8 +16,5 @@ QUERIES = {
 }
 SQL = {
     "op1_quality_rules": quality.OP1_SQL,
-    "op3_language_id": langid.op3_language_id,
-    "op4_pii": pii.op4_pii,
-    "op5_token_output": tokenfile.op5_token_output,
     "op6_line_dedup": linededup.OP6_SQL,
 }

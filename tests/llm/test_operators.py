@@ -9,10 +9,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from compare import assert_same
 from pyspark.sql import functions as F
 
 from lodestack.llm import components, langid, linededup, media, mixing, packing, pii, quality, simhash, tokenfile, tokens, toxicity
-from lodestack.llm.queries import QUERIES
+from lodestack.llm.queries import QUERIES, SQL
 
 LONG = " ".join(f"word{i % 97} of the text{i}" for i in range(4000))
 TEXTS = [
@@ -55,6 +56,12 @@ def test_empty_tables(spark, nothing, name):
     assert QUERIES[name](spark, nothing).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("tables", ["/root/testdata/sf0.001", None])
+def test_against_sql(spark, folder, tables, name):
+    assert_same(spark, QUERIES[name], SQL[name], tables or folder)
+
+
 def test_quality(spark, docs, folder):
     got = {r.doc_id: r for r in QUERIES["op1_quality_rules"](spark, folder).collect()}
     for d in docs.collect():
