@@ -35,6 +35,8 @@ from .tokens import encoded, vocabulary
 MAGIC = b"IDZ1"
 SEED, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 42, 1000, 16_384, 32_768
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
+#: Words that a worker keeps in front of the tokenizer (100 MB).
+KEPT_WORDS = 500_000
 _BLOCKS = T.StructType([T.StructField("part", T.LongType()), T.StructField("first_token", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
 
 
@@ -101,7 +103,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, drops_space:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], _BLOCKS.fieldNames())
 
         for b in batches:
-            for i, ids in encoded(b.column(1), path, drops_space):
+            for i, ids in encoded(b.column(1), path, drops_space, KEPT_WORDS):
                 names.append(b.column(0)[i].as_py())
                 frames.append(zstd.compress(ids))
                 tokens.append(len(ids) // 4)

@@ -26,6 +26,8 @@ def vocabulary(name: str) -> str:
 
 #: Words that are one piece before merging: ASCII and Latin letters alone (but for the dotted capital I, whose lower case is two characters).
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: ASCII punctuation that a word may end in. An apostrophe may start a piece of its own kind, and | and > end special tokens.
+_MARKS = "!\"#$%&()*+,-./:;<=?@[\\]^_`{}~"
 
 
 def _byte_characters() -> dict[int, str]:
@@ -53,15 +55,17 @@ class Encoder:
 
     def _word(self, word: str, spaced: bool) -> bytes:
         """Ids of a stretch without spaces at its ends, after a space if `spaced`. Letters go straight to the merges;
-        a comma or full stop after a letter, and a line break between others, are pieces of their own."""
+        a run of punctuation after a letter, and a line break between others, are pieces of their own."""
         known = self.rest if spaced else self.first
         ids = known.get(word)
         if ids is not None:
             return ids
         if word.isascii() and word.isalpha():
             ids = self._merged(word.lower() if self.drops_space else word, spaced)
-        elif word[-1] in ",." and len(word) > 1 and _PLAIN.fullmatch(word, len(word) - 2, len(word) - 1):
-            return self._word(word[:-1], spaced) + self._mark(word[-1])
+        elif word[-1] in _MARKS and (stem := word.rstrip(_MARKS)) and _PLAIN.fullmatch(stem, len(stem) - 1):
+            ids = self._word(stem, spaced) + self._mark(word[len(stem) :])
+            if word[len(stem) :] in (",", "."):
+                return ids
         elif _PLAIN.fullmatch(word):
             ids = self._merged(self.normal(word).encode().decode("latin-1").translate(self.bytes), spaced)
         elif not self.drops_space and "\n" in word and all(p and not p[0].isspace() and not p[-1].isspace() for p in word.split("\n")):
@@ -77,9 +81,12 @@ class Encoder:
         return array("I", [t.id for t in self.merge("\u0120" + piece if spaced and not self.drops_space else piece)]).tobytes()
 
     def _mark(self, mark: str) -> bytes:
-        if mark not in self.first:
-            self.first[mark] = self._whole(mark)
-        return self.first[mark]
+        ids = self.first.get(mark)
+        if ids is None:
+            ids = self._whole(mark)
+            if len(self.first) < self.most:
+                self.first[mark] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text and the end id, as little-endian unsigned 32-bit integers."""
@@ -88,25 +95,23 @@ class Encoder:
         else:
             first, *rest = text.split(" ")
         get, comma, stop = self.rest.get, self._mark(","), self._mark(".")
-        ids = [get(w) for w in rest]
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    w = rest[i]
-                    last = w[-1:]
-                    if (last == "," or last == ".") and (stem := get(w[:-1])) and w[-2:-1].isalpha():
-                        ids[i] = stem + (comma if last == "," else stop)
-                    elif w and not w[0].isspace() and not last.isspace():
-                        ids[i] = self._word(w, True)
-                    elif self.drops_space:
-                        ids[i] = self._whole(w)
-                    else:
-                        return self._whole(text) + _END
+        ids, i = [*map(get, rest), None], -1
+        while (i := ids.index(None, i + 1)) < len(rest):
+            w = rest[i]
+            last = w[-1:]
+            if (last == "," or last == ".") and (stem := get(w[:-1])) and w[-2:-1].isalpha():
+                ids[i] = stem + (comma if last == "," else stop)
+            elif w and not w[0].isspace() and not last.isspace():
+                ids[i] = self._word(w, True)
+            elif self.drops_space:
+                ids[i] = self._whole(w)
+            else:
+                return self._whole(text) + _END
+        ids[-1] = _END
         if first is not None:
             if not first or first[0].isspace() or first[-1].isspace():
                 return self._whole(text) + _END
             ids.insert(0, self._word(first, False))
-        ids.append(_END)
         return b"".join(ids)
 
 

@@ -218,7 +218,7 @@ def test_pii_model_adds_and_redacts(spark):
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_encoder_equals_tokenizer(name, drops):
     e = tokens.Encoder(tokens.vocabulary(name), drops, 50)
-    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n", "x\n\ny", "don't it's, we're.", "<|endoftext|> a<|endoftext|>.", "ǅ ẞ İstanbul ΣΑΣ", "1,000 3.14.", "a\xa0b c", "A\rB c\td", "é o", "a\x1cb c", "x, y. z;", "foo.\nBar baz,\nqux", ".", ", ."]
+    odd = ["", "  ", " a", "a ", "a  b", "a \n b", "\n", "x\n\ny", "don't it's, we're.", "<|endoftext|> a<|endoftext|>.", "ǅ ẞ İstanbul ΣΑΣ", "1,000 3.14.", "a\xa0b c", "A\rB c\td", "é o", "a\x1cb c", "x, y. z;", "foo.\nBar baz,\nqux", ".", ", .", "end*** of### it.%%%", "a<|endoftext|>.", "don't'... x'.", "(y)... z_-=;", "b.***\nIn%%% c>> d|."]
     for t in [*odd, *(t or "" for t in TEXTS), unicodedata.normalize("NFD", "é ñ ü word")]:
         want = np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()
         assert e.encode(t) == want, t
