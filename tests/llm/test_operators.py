@@ -215,6 +215,34 @@ def test_pii_model_adds_and_redacts(spark):
     assert (trees.score(x)[2:] > trees.score(x)[:2].max()).all()
 
 
+def test_pii_spans_inside_runs(spark):
+    texts = [
+        "é 7536784127813050 4845168114407329 end", "2353820953013749 4550997810720808", "id 12345 (4111 1111 1111 1111) 99", "+49 30 1234567-89", "+1234567 " + "7" * 30,
+        "password=" + "a1" * 150 + " end", "1 " * 20_000, "1" * 50_000, None,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.candidates for r in pii.candidates(pii.base_spans(df)).select("doc_id", "candidates").collect()}
+
+    def inner(t):
+        out = set()
+        for m in re.finditer(r"(?<![0-9])[+(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}", t or ""):
+            groups = [g.span() for g in re.finditer(r"[0-9]+", m[0])]
+            for i, (a, _) in enumerate(groups):
+                a -= a > 0 and m[0][a - 1] in "+("
+                n = 0
+                for j, (b, e) in enumerate(groups[i : i + 19], i):
+                    n += e - b
+                    if (8 <= n <= 19 or i == j and n >= 7) and not (i == 0 and j == len(groups) - 1):
+                        out.add((m.start() + a, m.start() + e))
+        return out
+
+    for i, t in enumerate(texts):
+        assert {(c.start, c.end) for c in got[i] if c.form == 3} == inner(t), i
+    valid = lambda i: {texts[i][c.start : c.end] for c in got[i] if c.valid and c.kind == 2}
+    assert valid(0) >= {"7536784127813050", "4845168114407329"} and "4550997810720808" in valid(1) and "(4111 1111 1111 1111" in valid(2)
+    assert [(c.start, c.end) for c in got[5] if c.kind == 4] == [(0, 309)]
+
+
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_encoder_equals_tokenizer(name, drops):
     e = tokens.Encoder(tokens.vocabulary(name), drops, 50)
