@@ -1,6 +1,7 @@
 """Each operator against brute force, on small tables with every awkward case."""
 
 import hashlib
+import math
 import re
 import struct
 import unicodedata
@@ -243,6 +244,19 @@ def test_pii_spans_inside_runs(spark):
     assert [(c.start, c.end) for c in got[5] if c.kind == 4] == [(0, 309)]
 
 
+def test_pii_keeps_valid_candidates(spark):
+    texts = {"card": ["4111/1111/1111/1111", "4111  1111  1111  1111", "7536784127813050 4845168114407329", "4111 1111 1111 1111 4845168114407329"], "phone": ["+1 (989) 555-9374   12 34 56 78"]}
+    want = [(k, t, p) for k, ts in texts.items() for t, p in zip(ts, (ts[0], ts[1], "4845168114407329", "4111 1111 1111 1111") if k == "card" else ("+1 (989) 555-9374",))]
+    df = spark.createDataFrame([(i, f"see {t} end") for i, (_, t, _) in enumerate(want)], "doc_id int, text string")
+    got = {r.doc_id: r for r in pii.found(df, (pii.Trees(), [math.inf] * 5)).collect()}
+    for i, (kind, t, part) in enumerate(want):
+        at = 4 + t.index(part)
+        assert (at, at + len(part)) in {tuple(x) for x in got[i][f"all_{kind}"]}, part
+    text = "mail a@b.org, 10.0.0.255, +1 989 555 9374 and 4785380592391139"
+    out = pii.found(spark.createDataFrame([(1, text)], "doc_id int, text string"), (pii.Trees(), [math.inf] * 5)).first()
+    assert all(out[f"all_{k}"] == out[f"base_{k}"] and len(out[f"all_{k}"]) == 1 for k in BASE)
+
+
 @pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_encoder_equals_tokenizer(name, drops):
     e = tokens.Encoder(tokens.vocabulary(name), drops, 50)
