@@ -385,12 +385,19 @@ def _trained(v: DataFrame, n_lists: int = 16, subs: int = 16) -> ivf.Quantiser:
     return ivf.train(ivf.sample(v, 100_000), n_lists, subs)
 
 
+def _sizes(n: int) -> tuple[int, int, int]:
+    """Lists, probes and candidates for n vectors: lists of about 16 blocks, three quarters of them probed, a fiftieth of the vectors as candidates."""
+    lists = max(16, n // (16 * ivf.BLOCK))
+    return lists, -(-3 * lists // 4), max(100, -(-n // 50))
+
+
 @register()
 def ivfpq_search(spark, d):
-    """Product codes over 12 of 16 lists, then exact scores of ten times as many candidates."""
+    """Product codes over three quarters of the lists, then exact scores of a fiftieth of the vectors, so that recall holds as tables grow."""
     v = _vectors(spark, d)
-    q = _trained(v)
-    found = ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, 100, 12)
+    lists, probes, most = _sizes(v.count())
+    q = _trained(v, lists)
+    found = ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, most, probes)
     return ivf.rescored(found, _queries(v), v, 10).select("query_id", "passage_id", "rank", _score())
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack import queries
 from lodestack.functions import text as T
 from lodestack.functions.vectors import inner, masked_mean, negative_distance
 from lodestack.operators import ids, ivf, lookup, metrics, ranking, verify
@@ -169,6 +170,13 @@ def test_index_recall_append_and_domains(spark):
         ivf.load(spark, store, "another")
 
 
+@pytest.mark.parametrize("n", [500, 2000, 32000])
+def test_registered_recall_as_tables_grow(spark, tmp_path, n):
+    vectors(spark, n, 64)[1].select(F.col("passage_id").alias("vec_id"), "embedding", F.col("file_id").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found, exact = (queries.QUERIES[q](spark, str(tmp_path)) for q in ("ivfpq_search", "exact_topk_ip"))
+    assert ivf.recall(found, exact).first().recall >= 0.9
+
+
 def test_sample_quota(spark):
     _, v = vectors(spark, 100)
     got = ivf.sample(v.where("passage_id > 2"), 20).groupBy("file_id").count().collect()
