@@ -14,12 +14,13 @@ from ..sources.catalog import not_done, write_store
 Encoder = Callable[[Iterator], Iterator]
 
 
-def embed(rows: DataFrame, key: str = "passage_id", encoder: Encoder | None = None, dim: int = 64, max_length: int = 128, output: str = "embedding") -> DataFrame:
-    """key and embedding. The default counts hashed tokens of at most `max_length` and scales to unit length."""
+def embed(rows: DataFrame, key: str = "passage_id", encoder: Encoder | None = None, dim: int = 64, max_length: int | None = None, output: str = "embedding") -> DataFrame:
+    """key and embedding. The default counts all hashed tokens, or the first `max_length`, and scales to unit length."""
     if encoder is not None:
         kind = rows.schema[key].dataType.simpleString()
         return rows.select(key, "text").mapInPandas(encoder, f"{key} {kind}, {output} array<float>")
-    return rows.select(key, hashed_vector(F.slice(tokens(F.col("text")), 1, max_length), dim).cast("array<float>").alias(output))
+    parts = tokens(F.col("text"))
+    return rows.select(key, hashed_vector(parts if max_length is None else F.slice(parts, 1, max_length), dim).cast("array<float>").alias(output))
 
 
 def embed_missing(passages: DataFrame, store: str, overwrite: bool = False, **how) -> None:

@@ -168,7 +168,7 @@ _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda
 n AS (SELECT doc_id, (('0x' || substr(md5('0:' || t), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
 SELECT doc_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT, 5)::DOUBLE AS value FROM n""")
 def default_embedding(spark, d):
-    rows = embed(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    rows = embed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", max_length=128)  # as its SQL says
     rows = rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
     return rows.select("doc_id", "dim", F.round("value", 5).cast("double").alias("value"))
 

@@ -241,6 +241,18 @@ def test_build_reuses_and_verifies(spark):
     assert again["documents"].count() == 61
 
 
+def test_build_embeds_whole_passages(spark):
+    words = [f"w{i}" for i in range(191)]
+    texts = spark.createDataFrame([("f.jsonl", " ".join(words), 0)], "file_name string, text string, line int")
+    out = build.build(texts, shared_path(spark, "store"), n_lists=1, subs=None, dim=16, order=["line"])
+    assert out["passages"].count() == 1
+    slots = spark.createDataFrame([(w,) for w in words], "w string").groupBy(T.slot(F.col("w"), 16).alias("s")).count().collect()
+    want = np.zeros(16)
+    for r in slots:
+        want[r.s] = r["count"]
+    assert np.allclose(out["embeddings"].first().embedding, want / np.linalg.norm(want), atol=1e-6)
+
+
 def test_embedding_stores(spark):
     rows = spark.createDataFrame([(i, i % 2, f"word{i} b") for i in range(6)], "passage_id long, file_id int, text string")
     store = shared_path(spark, "vectors")
