@@ -186,9 +186,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of its near-duplicates, with all their columns."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of near-duplicates, with all its columns: the one with the least doc_id, null ids last.
+
+    Rows are told apart by a written number, so that repeated and null ids leave one row too.
+    """
+    marked = written(docs.withColumn("_row", F.monotonically_increasing_id()), "marked")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    near = near_duplicates(marked.select(key.alias("_key"), "text"), key="_key")
+    kept = near.where(F.col("_key.row") == F.col("component_id.row")).select(F.col("_key.row").alias("_row"))
+    return marked.join(kept, "_row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op7_simhash(spark, sf_dir):

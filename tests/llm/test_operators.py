@@ -385,6 +385,14 @@ def test_simhash(spark, docs, folder):
     assert {r.doc_id for r in kept.collect()} == set(want.values())
 
 
+def test_keep_first_of_repeated_and_null_ids(spark):
+    a, b, c = (" ".join(f"{w}{i * i % 83}" for i in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(5, a), (5, a), (None, a), (None, b), (None, b), (7, c), (5, c), (1, c), (9, "other words stand here alone")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert kept.columns == ["doc_id", "text"]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(5, a), (None, b), (1, c), rows[-1]], key=str)
+
+
 def test_toxicity_neighbours_are_exact():
     rng = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(30)]
