@@ -3,11 +3,12 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def plain(df, columns):
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return "null"
         return repr(round(float(v), 9)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
