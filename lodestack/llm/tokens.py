@@ -99,7 +99,7 @@ class Encoder:
         while (i := ids.index(None, i + 1)) < len(rest):
             w = rest[i]
             last = w[-1:]
-            if (last == "," or last == ".") and (stem := get(w[:-1])) and w[-2:-1].isalpha():
+            if (last == "," or last == ".") and _PLAIN.fullmatch(w[-2:-1]) and (stem := get(w[:-1])):
                 ids[i] = stem + (comma if last == "," else stop)
             elif w and not w[0].isspace() and not last.isspace():
                 ids[i] = self._word(w, True)

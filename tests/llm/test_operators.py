@@ -266,6 +266,21 @@ def test_encoder_equals_tokenizer(name, drops):
         assert e.encode(t) == want, t
 
 
+@pytest.mark.parametrize("name,drops", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_encoder_with_a_warm_cache(name, drops):
+    """Random strings, twice in different orders through one encoder whose cache fills as it goes: always the tokenizer's ids."""
+    rng = np.random.default_rng(7)
+    letters = ["a", "L", "i", "\u0130", "\u0131", "I", "e\u0301", "\u0307", "\u0327", "\u00df", "\u01c5", "\u03a3", "\u65e5", "5", "'s", "\u00a0", "\n", "\t", "<|endoftext|>"]
+    marks = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    stems = ["".join(rng.choice(letters, int(rng.integers(1, 4)))) for _ in range(400)] + ["L\u0130", "\u015eEHR\u0130"]
+    parts = [s + m for s in stems for m in ("", ",", ".", str(rng.choice(marks)), str(rng.choice(marks)) + str(rng.choice(marks)))]
+    texts = [" ".join(rng.choice(parts, int(rng.integers(1, 6)))) for _ in range(4000)] + ["L\u0130", "L\u0130, x", "\u015eEHR\u0130 \u015eEHR\u0130. y"]
+    e = tokens.Encoder(tokens.vocabulary(name), drops)
+    want = {t: np.array([*x.ids, 2], "<u4").tobytes() for t, x in zip(texts, e.tokenizer.encode_batch_fast(texts, add_special_tokens=False))}
+    for order in (texts, [texts[i] for i in rng.permutation(len(texts))], texts[::-1]):
+        assert [t for t in order if e.encode(t) != want[t]] == []
+
+
 def test_token_files(spark, docs, folder):
     got = {r.doc_id: r for r in QUERIES["op5_token_output"](spark, folder).collect()}
     e, start = tokens.Encoder(tokens.vocabulary("byte_bpe_50k.json"), False), 0
