@@ -112,7 +112,7 @@ def decode(png: bytes) -> np.ndarray:
     """The samples of a PNG, (rows, columns, samples); every chunk's checksum and the stream's are tested."""
     if png[:8] != SIGNATURE:
         raise Damaged("no PNG signature")
-    at, head, data, ended = 8, None, [], False
+    at, head, data, ended, last = 8, None, [], False, b""
     while not ended:
         if at + 12 > len(png):
             raise Damaged("cut off")
@@ -120,20 +120,30 @@ def decode(png: bytes) -> np.ndarray:
         body, crc = png[at + 8 : at + 8 + n], png[at + 8 + n : at + 12 + n]
         if len(crc) < 4 or zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
             raise Damaged("chunk checksum")
+        if (kind == b"IHDR") != (at == 8) or kind == b"IDAT" and data and last != b"IDAT":
+            raise Damaged("chunks out of order")
         if kind == b"IHDR":
+            if n != 13:
+                raise Damaged("header of a wrong size")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             data.append(body)
-        ended = kind == b"IEND"
+        elif not kind[0] & 32 and kind not in (b"IEND", b"PLTE"):
+            raise Damaged("unknown chunk that must be understood")
+        ended, last = kind == b"IEND", kind
         at += 12 + n
-    if head is None or head[2] != 8 or head[3] not in SAMPLES or head[6]:
-        raise Damaged("not an 8-bit, non-interlaced, unindexed image")
+    if head[2] != 8 or head[3] not in SAMPLES or any(head[4:]):
+        raise Damaged("not an 8-bit, non-interlaced, unindexed image with the one compression and filter method")
     width, height, samples = head[0], head[1], SAMPLES[head[3]]
+    if not width or not height:
+        raise Damaged("no samples")
+    size = height * (width * samples + 1)
+    stream = zlib.decompressobj()
     try:
-        raw = zlib.decompress(b"".join(data))
+        raw = stream.decompress(b"".join(data), size + 1)  # no more than the header allows, whatever the stream holds
     except zlib.error as e:
         raise Damaged(f"data: {e}") from e
-    if not height or len(raw) != height * (width * samples + 1):
+    if len(raw) != size or not stream.eof or stream.unused_data:
         raise Damaged("wrong amount of data")
     return unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), width, samples)
 

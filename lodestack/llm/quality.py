@@ -43,9 +43,6 @@ RULES = (
     Rule("some function words", "stop_ratio", 0.01, None),
     Rule("few repeated lines", "dup_line_ratio", None, 0.5),
 )
-BASE = ("enough words", "few repeated phrases")
-
-
 def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
 
@@ -101,9 +98,9 @@ def measured(docs: DataFrame, text: str = "text", carry: Sequence[str] = ("doc_i
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """`measured` with base_failed (too short, or mostly repeated phrases) and kept (every rule holds)."""
+    """`measured` with base_failed (too short, or mostly repeated phrases) and kept (not that, and every rule of the table holds)."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measured(docs, text, carry).withColumn("base_failed", base).withColumn("kept", ~base & _held([r for r in rules if r.name not in BASE]))
+    return measured(docs, text, carry).withColumn("base_failed", base).withColumn("kept", ~base & _held(rules))
 
 
 def keep_good(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:

@@ -83,6 +83,9 @@ def test_quality_rules_are_a_table(docs):
     rules = (quality.Rule("long", "n_words", 10, 20),)
     n = quality.judged(docs.where("doc_id >= 100"), rules).where("n_words between 10 and 20 and not base_failed").count()
     assert quality.keep_good(docs.where("doc_id >= 100"), rules).count() == n
+    good = docs.sparkSession.createDataFrame([(1, " ".join(f"the word{i}" for i in range(50)))], "doc_id long, text string")
+    assert quality.keep_good(good).count() == 1
+    assert quality.keep_good(good, (quality.Rule("enough words", "n_words", 200, None),)).count() == 0
 
 
 def _filtered(image, kinds):
@@ -118,6 +121,45 @@ def test_png_filters(samples, colour):
         media.decode(png[:-13])
 
 
+def _png(head, *chunks):
+    return media.SIGNATURE + media._chunk(b"IHDR", head) + b"".join(media._chunk(*c) for c in chunks) + media._chunk(b"IEND", b"")
+
+
+def test_png_damage_is_told(spark):
+    pack, row = lambda *x: struct.pack(">IIBBBBB", *x), zlib.compress(bytes(10))
+    good = _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IDAT", row))
+    assert media.decode(good).shape == (1, 9, 1)
+    bad = [
+        _png(b"x" * 12, (b"IDAT", row)), _png(b"", (b"IDAT", row)), _png(pack(0, 1, 8, 0, 0, 0, 0), (b"IDAT", zlib.compress(bytes(1)))), _png(pack(9, 0, 8, 0, 0, 0, 0), (b"IDAT", zlib.compress(b""))),
+        _png(pack(9, 1, 8, 0, 1, 0, 0), (b"IDAT", row)), _png(pack(9, 1, 8, 0, 0, 1, 0), (b"IDAT", row)), _png(pack(9, 1, 16, 0, 0, 0, 0), (b"IDAT", row)), _png(pack(9, 1, 8, 3, 0, 0, 0), (b"IDAT", row)),
+        _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IDAT", zlib.compress(bytes(1 << 26)))), _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IDAT", row[:-2])), _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IDAT", row + b"x")), _png(pack(9, 1, 8, 0, 0, 0, 0)),
+        _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IDAT", row[:4]), (b"tEXt", b"a"), (b"IDAT", row[4:])), _png(pack(9, 1, 8, 0, 0, 0, 0), (b"ABCD", b""), (b"IDAT", row)), _png(pack(9, 1, 8, 0, 0, 0, 0), (b"IHDR", pack(9, 1, 8, 0, 0, 0, 0)), (b"IDAT", row)),
+        media.SIGNATURE + media._chunk(b"IDAT", row) + media._chunk(b"IEND", b""), b"", good[:20],
+    ]
+    rows = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate([*bad, good])], "doc_id int, media binary")
+    errors = {r.doc_id: r.error for r in media.describe(rows, ("doc_id",)).collect()}
+    assert [i for i in range(len(bad)) if errors[i] is None] == [] and errors[len(bad)] is None
+    assert [r.doc_id for r in media.read_png(rows, ("doc_id",)).where("error is null").collect()] == [len(bad)]
+
+
+def test_cosine_hash_by_brute_force():
+    for seed, (h, w) in enumerate([(1, 64), (7, 64), (200, 64), (32, 32), (45, 3)]):
+        image = np.random.default_rng(seed).integers(0, 256, (h, w, 1)).astype(np.uint8)
+        edges = lambda n: [i * n // 32 for i in range(33)]
+
+        def means(rows):
+            n, e = len(rows), edges(len(rows))
+            return [rows[e[i]] if n < 32 else [sum(int(r[c]) for r in rows[e[i] : e[i + 1]]) // (e[i + 1] - e[i]) for c in range(len(rows[0]))] for i in range(32)]
+
+        grey = [[int(x[0]) for x in row] for row in image]
+        small = [*zip(*means([*zip(*means(grey))]))]
+        cos = [[round(1024 * math.cos(math.pi * (i + 0.5) * k / 32)) for i in range(32)] for k in range(8)]
+        low = [sum(cos[u][y] * cos[v][x] * small[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        bits = "".join("1" if i and x > middle else "0" for i, x in enumerate(low))
+        assert media.cosine_hash(image) == f"{int(bits, 2):016x}"
+
+
 def test_media(spark, docs, folder):
     got = {r.doc_id: r for r in QUERIES["op2_media_columns"](spark, folder).collect()}
     for d in docs.collect():
