@@ -508,14 +508,24 @@ def test_mixing(spark, docs, folder):
     assert out.columns == docs.columns
 
 
-def test_mixing_by_length(spark):
-    rows = [(i, "s", "w " * (1 + i % 40)) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    plan, sizes = mixing.planned(df, share=0.7, even_lengths=False)
-    out = mixing.applied(sizes, plan)
-    r = out.agg(F.sum(F.col("size") * F.col("rate")), F.first("target"), F.max("rate"), F.sum(F.col("size") * F.col("copies"))).first()
-    assert abs(r[0] - r[1]) < 1e-4 * r[1] and r[2] <= 2 and abs(r[3] - r[1]) <= 40
-    assert plan.first().b < 0
+@pytest.mark.parametrize("share", [0.05, 0.7, 1.0, 1.3, 1.99])
+def test_mixing_tilt_by_bisection(spark, share):
+    """One source: the multiplier that Newton's rounds find against plain bisection of the same dual in numpy."""
+    rng = np.random.default_rng(4)
+    n = [*(1 + i % 40 for i in range(400)), 5000, 20_000, *rng.integers(1, 300, 100).tolist()]
+    df = spark.createDataFrame([(i, "s", "w " * k) for i, k in enumerate(n)], "doc_id long, source string, text string")
+    plan, sizes = mixing.planned(df, share=share)
+    b, x = plan.first().b, np.array(n) / np.mean(n)
+    tokens = lambda b: (x * np.minimum(2, np.exp(np.minimum(b * x, 50)))).sum()
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if tokens(middle) < share * x.sum() else (low, middle)
+    assert abs(b - low) <= 1e-6 * max(1, abs(low)) and abs(tokens(b) - share * x.sum()) <= 1e-6 * x.sum()
+    assert abs(b) > 1e-3 if share != 1 else abs(b) < 1e-6
+    out = mixing.applied(sizes, plan).toPandas()
+    assert np.allclose(out["rate"], np.minimum(2, np.exp(np.minimum(b * out["size"] / np.mean(n), 50)))) and (out["copies"] <= 2).all()
+    assert abs((out["size"] * out["copies"]).sum() - share * sum(n)) <= 300
 
 
 @pytest.mark.parametrize("seed", range(4))
