@@ -127,7 +127,8 @@ def packed(docs: DataFrame, path: str | None = None, drops_space: bool = True, r
 
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     ranks = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
-    ranked = cut.join(ranks, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("earlier") + F.col("nth")).alias("rank"))
+    # Tasks times lengths rows: never one to broadcast, so it is merged by key.
+    ranked = cut.join(ranks.hint("merge"), ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("earlier") + F.col("nth")).alias("rank"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
