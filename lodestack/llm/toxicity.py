@@ -1,13 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-The vector space has the words whose use differs between labels beyond chance (log-likelihood ratio of at least
-`least_ratio`, at most `most_words`), with inverse document frequencies counted over all documents. The examples,
-a bounded hashed sample of at most about `most_examples` labelled rows, form an inverted index in blocks of 64 with
-each block's largest weight per word; a text visits blocks from the highest bound down and stops when no bound
-can reach its k-th neighbour, so the neighbours are exact. Their votes weigh by cosine and are shrunk to the base
-rate, and a logistic curve fitted to leave-one-out votes makes them probabilities. Neighbours are returned as evidence.
+The examples are a bounded, hashed sample of at most about `most_examples` labelled rows, whole texts with all their
+words. A word's weight in a text is (1 + log of its count there) times its inverse document frequency, counted over all
+documents, times its scale: one plus the log-likelihood ratio of its use in toxic and other examples. The scale is a metric
+learned from the labels; it leaves no word out (`scaled=False` gives plain TF-IDF). Words that no example has are at right
+angles to every example: they would shrink all of a text's cosines alike and are left out of its norm.
 
-Words are matched by Spark where the text is read; only matched words are written, counted and scored.
+Examples that share their strongest common word stand together and are cut into blocks of 64. The index has for each word its
+postings, block by block, and each block's largest weight. A text's bound for a block is the sum of its words' largest
+weights there; the blocks with the highest bounds are scored first, and then all others whose bound reaches the k-th best so
+far, so the k neighbours are exact. They vote by cosine, shrunk to the base rate, and a logistic curve fitted to
+leave-one-out votes makes the votes probabilities. Neighbours are returned as evidence.
+
+Documents are read where they lie, once to count words and once to be scored; nothing is shuffled but one count per word
+and task. The driver holds the examples, their words and index, all bounded by `most_examples` texts.
 
 Defined cases: a text that is null or has none of the words has no neighbours and gets the calibrated base rate; a document with
 several labels is toxic if one says so; ties in cosine go to the example with the least doc_id; without labels, or
@@ -17,23 +23,29 @@ with one kind of label only, every score is the base rate (0 without labels); ot
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket, written
 
-SEED, MOST_EXAMPLES, MOST_WORDS, LEAST_RATIO, NEIGHBOURS, BLOCK = 42, 8000, 2000, 20.0, 25, 64
+SEED, MOST_EXAMPLES, NEIGHBOURS, BLOCK = 42, 4000, 25, 64
 #: Weight of the base rate among the votes, in neighbours at cosine 1.
 SHRINK = 0.5
+#: Texts whose scores a task keeps for further copies of them, at most.
+KEPT = 20_000
+
+_WORD = re.compile(r"[^\W_]+")
 
 
-def text_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
+def text_words(text: str | None) -> list[str]:
+    """Runs of letters and numbers, in lower case."""
+    return _WORD.findall((text or "").lower())
 
 
 def choose_examples(labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
@@ -43,81 +55,108 @@ def choose_examples(labels: DataFrame, most: int = MOST_EXAMPLES) -> DataFrame:
     return one.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def choose_words(examples: DataFrame, most: int = MOST_WORDS, least_ratio: float = LEAST_RATIO) -> list[str]:
-    """The words of `examples` (toxic, text) whose document counts differ most between labels."""
-    n = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    total, bad = float(sum(n.values())), float(n.get(1, 0))
-    if not bad or bad == total:
-        return []
-    words = examples.select("toxic", F.explode(F.array_distinct(text_words(F.col("text")))).alias("word"))
-    seen = words.groupBy("word").agg(F.count("*").alias("df"), F.sum("toxic").alias("hits")).where("df >= 3")
-    cells = [("hits", F.col("df") * bad / total), ("df - hits", F.col("df") * (total - bad) / total), (f"{bad} - hits", (total - F.col("df")) * bad / total), (f"{total - bad} - df + hits", (total - F.col("df")) * (total - bad) / total)]
-    ratio = sum((F.when(F.expr(o) > 0, 2 * F.expr(o) * F.log(F.expr(o) / e)).otherwise(0.0) for o, e in cells), F.lit(0.0))
-    return sorted(r.word for r in seen.withColumn("ratio", ratio).where(F.col("ratio") >= least_ratio).orderBy(F.desc("ratio"), "word").limit(most).collect())
+def scales(counts: list[np.ndarray], toxic: np.ndarray, n_words: int) -> np.ndarray:
+    """One plus each word's log-likelihood ratio between the toxic examples and the others; `counts` has each example's distinct words."""
+    hits, misses = (np.bincount(np.concatenate([np.zeros(0, np.int64), *(w for w, t in zip(counts, toxic) if t == k)]), minlength=n_words).astype(float) for k in (1, 0))
+    n = np.array([toxic.sum(), len(toxic) - toxic.sum()], float)
+    share = (hits + misses) / max(n.sum(), 1)
+    ratio = np.zeros(n_words)
+    for seen, of in ((hits, n[0]), (misses, n[1])):
+        for x, e in ((seen, share * of), (of - seen, (1 - share) * of)):
+            ratio += np.where(x > 0, x * np.log(np.maximum(x, 1e-12) / np.maximum(e, 1e-12)), 0.0)
+    return 1 + 2 * np.maximum(ratio, 0)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class BlockMaxIndex:
-    """Examples in blocks of BLOCK; a posting list and a block maximum for each word."""
-
-    def __init__(self, vectors: list[dict[str, float]]):
-        self.n = len(vectors)
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for w, x in v.items():
-                lists.setdefault(w, []).append((i, x))
-        self.postings, self.blocks = {}, {}
-        for w, rows in lists.items():
-            at, x = np.array([i for i, _ in rows]), np.array([x for _, x in rows])
-            starts = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
-            self.postings[w] = (at, x)
-            self.blocks[w] = (at[starts] // BLOCK, np.maximum.reduceat(x, starts), np.append(starts, len(at)))
-
-    def nearest(self, q: dict[str, float], k: int) -> list[tuple[float, int]]:
+    """Postings of each word in runs of blocks, with each run's largest weight. Examples are given as (words, weights)."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_words: int, block: int = BLOCK):
+        self.n, self.block, sizes = len(vectors), block, [len(w) for w, _ in vectors]
+        self.n_blocks = -(-self.n // block)
+        words = np.concatenate([np.zeros(0, np.int64), *(w for w, _ in vectors)])
+        weights = np.concatenate([np.zeros(0), *(x for _, x in vectors)])
+        common = np.bincount(words, minlength=n_words) >= max(2, self.n // 50)
+        leader = np.full(self.n, -1)
+        for i, (w, x) in enumerate(vectors):
+            if common[w].any():
+                leader[i] = w[np.where(common[w], x, -1).argmax()]
+        self.names = np.argsort(leader, kind="stable")  # place in the index to example
+        place = np.empty(self.n, np.int64)
+        place[self.names] = np.arange(self.n)
+        at = np.repeat(place, np.array(sizes, np.int64)) if self.n else np.zeros(0, np.int64)
+        order = np.lexsort((at, words))
+        words, self.at, self.weights = words[order], at[order], weights[order]
+        new = np.flatnonzero((np.diff(words, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
+        self.run_starts, self.run_block = np.append(new, len(words)), self.at[new] // block
+        self.run_most = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.word_runs = np.searchsorted(words[new], np.arange(n_words + 1))
+
+    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest positive cosines and their examples, least example first among equals."""
-        bound: Counter = Counter()
-        parts: dict[int, list[tuple[str, int, float]]] = {}
-        for w, x in q.items():
-            if w in self.blocks:
-                for j, (b, most) in enumerate(zip(self.blocks[w][0].tolist(), self.blocks[w][1].tolist())):
-                    bound[b] += x * most
-                    parts.setdefault(b, []).append((w, j, x))
-        best: list[tuple[float, int]] = []
-        for b, most in sorted(bound.items(), key=lambda r: (-r[1], r[0])):
-            if len(best) >= k and most + 1e-9 < best[k - 1][0]:
-                break
-            if len(best) >= k and round(most, 12) <= best[k - 1][0] and b * BLOCK > best[k - 1][1]:
-                continue  # at best a tie with a lesser example: many examples may be copies of one another
-            score = np.zeros(BLOCK)
-            for w, j, x in parts[b]:
-                (at, weights), ends = self.postings[w], self.blocks[w][2]
-                s = slice(ends[j], ends[j + 1])
-                score[at[s] - b * BLOCK] += x * weights[s]
-            hit = np.flatnonzero(score > 0)
-            best = sorted([*best, *zip(np.round(score[hit], 12).tolist(), (hit + b * BLOCK).tolist())], key=lambda r: (-r[0], r[1]))[:k]
-        return best
+        sizes = self.word_runs[words + 1] - self.word_runs[words]
+        runs, x = _spread(self.word_runs[words], sizes), np.repeat(weights, sizes)
+        bound = np.bincount(self.run_block[runs], x * self.run_most[runs], self.n_blocks)
+        order = np.argsort(-bound, kind="stable")
+        first = -(-2 * k // self.block)
+        score = np.zeros(self.n)
+        take = np.zeros(self.n_blocks, bool)
+        take[order[:first]] = True
+        self._score(score, take, runs, x)
+        kth = np.partition(score, -k)[-k] if self.n >= k else 0.0
+        rest = (bound > 0) & (bound + 1e-9 >= kth) & ~take
+        if rest.any():
+            self._score(score, rest, runs, x)
+        hit = np.flatnonzero((score > 0) & (score + 1e-9 >= (np.partition(score, -k)[-k] if self.n >= k else 0.0)))
+        score, names = np.round(score[hit], 12), self.names[hit]
+        best = np.lexsort((names, -score))[:k]
+        return list(zip(score[best].tolist(), names[best].tolist()))
+
+    def _score(self, score: np.ndarray, blocks: np.ndarray, runs: np.ndarray, x: np.ndarray) -> None:
+        of = blocks[self.run_block[runs]]
+        runs, x = runs[of], x[of]
+        sizes = self.run_starts[runs + 1] - self.run_starts[runs]
+        i = _spread(self.run_starts[runs], sizes)
+        score += np.bincount(self.at[i], self.weights[i] * np.repeat(x, sizes), self.n)
 
 
 class Votes:
-    """Index, labels and calibration; small enough to send to every task, since examples and words are bounded."""
-
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, list[str]]], rate: float, k: int = NEIGHBOURS):
-        examples = sorted(examples)
-        self.idf, self.rate, self.k, self.line = idf, rate, k, None
-        self.names, self.toxic = [e[0] for e in examples], np.array([e[1] for e in examples])
-        vectors = [self.vector(e[2]) for e in examples]
-        self.index = BlockMaxIndex(vectors)
+    """Words, index, labels and calibration; small enough to send to every task, since examples are bounded."""
+
+    def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: list[tuple[int, int, Counter]], rate: float, k: int = NEIGHBOURS, scaled: bool = True):
+        examples = sorted(examples, key=lambda e: e[:2])
+        self.ids, self.rate, self.k, self.line = {w: i for i, w in enumerate(vocabulary)}, rate, k, None
+        self.names, self.toxic = [e[0] for e in examples], np.array([e[1] for e in examples], int)
+        counted = [self._counted(e[2]) for e in examples]
+        self.weight = idf * scales([w for w, _ in counted], self.toxic, len(vocabulary)) if scaled else idf
+        vectors = [self._weighed(*c) for c in counted]
+        self.index = BlockMaxIndex(vectors, len(vocabulary))
         if 0 < self.toxic.sum() < len(examples):
-            near: dict[tuple, list] = {}  # copies have the same neighbours, but for themselves
-            for e, v in zip(examples, vectors):
-                key = tuple(sorted(e[2]))
+            near: dict[bytes, list] = {}  # copies have the same neighbours, but for themselves
+            votes = []
+            for i, (w, x) in enumerate(vectors):
+                key = w.tobytes() + x.tobytes()
                 if key not in near:
-                    near[key] = self.index.nearest(v, k + 1)
-            self.line = self._calibrated([self.vote([r for r in near[tuple(sorted(e[2]))] if r[1] != i][:k]) for i, e in enumerate(examples)])
+                    near[key] = self.index.nearest(w, x, k + 1)
+                votes.append(self.vote([r for r in near[key] if r[1] != i][:k]))
+            self.line = self._calibrated(votes)
 
-    def vector(self, words: list[str]) -> dict[str, float]:
-        v = {w: (1 + math.log(n)) * self.idf[w] for w, n in sorted(Counter(words).items()) if w in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
-        return {w: x / norm for w, x in v.items()}
+    def _counted(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        pairs = sorted((i, n) for w, n in counts.items() if (i := self.ids.get(w)) is not None)
+        return np.array([i for i, _ in pairs], np.int64), np.array([n for _, n in pairs], float)
+
+    def _weighed(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(counts)) * self.weight[words]
+        return words, x / (math.sqrt((x * x).sum()) or 1.0)
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of a text's words, at length 1."""
+        return self._weighed(*self._counted(counts))
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of toxic neighbours by cosine, as log odds."""
@@ -139,55 +178,70 @@ class Votes:
         return float(max(line[0], 1e-3)), float(line[1])
 
     def score(self, words: list[str]) -> tuple[float, list[dict]]:
-        near = self.index.nearest(self.vector(words), self.k) if words else []
         if not self.line:
             return float(self.rate), []
+        near = self.index.nearest(*self.vector(Counter(words)), self.k)
         z = self.line[0] * self.vote(near) + self.line[1]
         return 1 / (1 + math.exp(-min(max(z, -30), 30))), [{"doc_id": self.names[i], "cosine": s, "toxic": int(self.toxic[i])} for s, i in near[:3]]
 
 
-def scored(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES, most_words: int = MOST_WORDS, least_ratio: float = LEAST_RATIO, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, score, and evidence (the nearest examples) of every row of `docs` (doc_id long, text), learned from `labels`."""
-    docs = docs.select("doc_id", "text")
+def document_counts(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
+    """In how many of all `docs` (text) each word of `vocabulary` stands: one row per word and task, added up by Spark."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, n = {w: i for i, w in enumerate(vocabulary)}, np.zeros(len(vocabulary), np.int64)
+        for b in batches:
+            for t in b.column(0):
+                n[[i for w in set(text_words(t.as_py())) if (i := ids.get(w)) is not None]] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["word", "n"])
+
+    sums = docs.select("text").mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[sums.column("word").to_numpy()] = sums.column("n").to_numpy()
+    return out
+
+
+def learned(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, scaled: bool = True) -> Votes:
     sample = written(choose_examples(labels, most_examples), "examples")
     # The sample's bound makes it fit for a broadcast: 12 bytes a row.
-    chosen = F.broadcast(sample.select(F.col("doc_id").alias("_id"), "toxic"))
-    vocabulary = choose_words(written(docs.join(chosen, F.col("doc_id") == F.col("_id")).drop("_id"), "labelled"), most_words, least_ratio)
-    matched = F.filter(text_words(F.col("text")), lambda w: w.isin(vocabulary)) if vocabulary else F.array().cast("array<string>")
-    found = written(docs.select("doc_id", matched.alias("words")), "matched")
-    n = found.count()
+    rows = docs.join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per word and task: at most `most_words`."""
-        seen: Counter = Counter()
         for b in batches:
-            for words in b.column(0).to_pylist():
-                seen.update(set(words))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+            found = [Counter(text_words(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "words", "counts"])
 
-    df = {r.word: r.n for r in found.select("words").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
-    idf = {w: math.log((1 + n) / (1 + m)) + 1 for w, m in df.items()}
-    rows = found.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "toxic", "words").collect()
-    examples = [(r.doc_id, r.toxic, list(r.words)) for r in rows]
-    rate = sum(e[1] for e in examples) / len(examples) if examples else 0.0
-    votes = Votes(idf, examples, rate, k)
+    examples = [(r["doc_id"], r["toxic"], Counter(dict(zip(r["words"], r["counts"])))) for b in rows.mapInArrow(counted, "doc_id long, toxic int, words array<string>, counts array<long>").toArrow().to_batches() for r in b.to_pylist()]
+    vocabulary = sorted(set().union(*(c for _, _, c in examples)))
+    n = docs.count()
+    idf = np.log((1 + n) / (1 + document_counts(docs, vocabulary))) if vocabulary else np.zeros(0)
+    rate = sum(t for _, t, _ in examples) / len(examples) if examples else 0.0
+    return Votes(vocabulary, np.maximum(idf, 0), examples, rate, k, scaled)
+
+
+def scored(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLES, k: int = NEIGHBOURS, scaled: bool = True) -> DataFrame:
+    """doc_id, score, and evidence (the nearest examples) of every row of `docs` (doc_id long, text), learned from `labels`."""
+    docs = docs.select("doc_id", "text")
+    votes = learned(docs, labels, most_examples, k, scaled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple, tuple] = {}
+        kept: dict[int, tuple] = {}  # by a text's hash, told from others by the text itself
         for b in batches:
             out = []
-            for words in b.column(1).to_pylist():
-                key = tuple(sorted(words))
-                if key not in kept:
-                    if len(kept) >= 100_000:
+            for t in b.column(1):
+                text = t.as_py() or ""
+                at = hash(text)
+                if at not in kept or kept[at][0] != text:
+                    if len(kept) >= KEPT:
                         kept.clear()
-                    kept[key] = votes.score(words)
-                out.append(kept[key])
+                    kept[at] = (text if len(text) <= 4096 else None, votes.score(text_words(text)))
+                out.append(kept[at][1])
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    return docs.mapInArrow(run, f"doc_id {kind}, score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
 
 
 def op8_toxicity(spark, sf_dir):
