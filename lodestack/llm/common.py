@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, shared_path, table, written  # noqa: F401
+from ..session import discard, shared_dir, shared_path, table, written  # noqa: F401
 
 #: ASCII white space, which parts words in every operator here.
 SPACE = "[\\x20\\x09-\\x0D]"

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import words, written
+from .common import discard, words, written
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SEED, BINS, ROUNDS = 42, 1024, 3
@@ -190,6 +190,7 @@ def planned(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
     for r, t in zip(found, targets):
         plan[r.source] = {"plan_source": r.source, "source_size": r.size, "n_docs": r.n, "target": t, "mean": max(r.size / r.n, 1e-9), "b": 0.0, "full": t >= most * r.size, "done": False} | dict.fromkeys(("low", "low2", "low3", "room", "room2", "width", "need"), 0.0)
     _newton(hist, plan, most)
+    discard(hist)
     _thresholds(sizes, plan, most)
     return _table(docs.sparkSession, plan), sizes
 

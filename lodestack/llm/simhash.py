@@ -173,28 +173,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = 3, dense_limi
     return near.unionByName(large.join(small, "key").where("a <> b").select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+#: Rows of one fingerprint from which on it is joined by broadcast; there are at most rows / HOT_ROWS such fingerprints.
+HOT_ROWS = 1_000_000
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", hot_rows: int = HOT_ROWS, **how) -> DataFrame:
     """`key`, fp and component_id: the least key reachable over links, itself included. One row per row of `docs`."""
     marked = written(fingerprints(docs, text, key), "fingerprints")
-    least = marked.groupBy("fp").agg(F.min(key).alias("first"))
+    least = marked.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("n"))
     groups = components(links(least.select("fp"), **how))
-    least = least.join(groups, least.fp == groups.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = least.join(groups, least.fp == groups.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = written(least, "roots")
     owner = least.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = least.join(owner, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    named = written(least.join(owner, "root").select("fp", "n", "component_id"), "named")
+    # A fingerprint that a large part of all rows have would meet in one task.
+    hot = named.where(F.col("n") > hot_rows).select("fp", F.col("component_id").alias("_hot"))
+    rest = marked.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(named.where(F.col("n") <= hot_rows), "fp")
+    often = marked.join(F.broadcast(hot), "fp").withColumnRenamed("_hot", "component_id")
+    return rest.select(key, "fp", "component_id").unionByName(often.select(key, "fp", "component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns: the one with the least doc_id, null ids last.
 
-    Rows are told apart by a written number, so that repeated and null ids leave one row too.
+    Rows are told apart by a written number, so that repeated and null ids leave one row too; columns may have any names.
     """
-    marked = written(docs.withColumn("_row", F.monotonically_increasing_id()), "marked")
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    near = near_duplicates(marked.select(key.alias("_key"), "text"), key="_key")
-    kept = near.where(F.col("_key.row") == F.col("component_id.row")).select(F.col("_key.row").alias("_row"))
-    return marked.join(kept, "_row", "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    marked = written(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.monotonically_increasing_id().alias("row")), "marked")
+    key = F.struct(F.col("whole.doc_id").isNull().alias("no_id"), F.col("whole.doc_id").alias("id"), F.col("row"))
+    near = near_duplicates(marked.select(key.alias("key"), F.col("whole.text").alias("text")), key="key")
+    kept = near.where(F.col("key.row") == F.col("component_id.row")).select(F.col("key.row").alias("row"))
+    return marked.join(kept, "row", "left_semi").select("whole.*")
 
 
 def op7_simhash(spark, sf_dir):
