@@ -75,15 +75,3 @@ def overlap(query: Column, passage: Column) -> Column:
 def slot(text: Column, n: int, seed: int = 0) -> Column:
     """A number under n from a text's digest; any SQL engine can say the same."""
     return (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 8), 16, 10).cast("long") % n).cast("int")
-
-
-def hashed_vector(parts: Column, dim: int) -> Column:
-    """The default encoder: counts of tokens by hashed slot, scaled to unit length (zeros without tokens)."""
-    add = lambda v, t: F.zip_with(v, F.sequence(F.lit(0), F.lit(dim - 1)), lambda x, i: x + (i == t).cast("double"))
-    return unit(F.aggregate(F.transform(parts, lambda t: slot(t, dim)), F.array_repeat(F.lit(0.0), dim), add))
-
-
-def unit(v: Column) -> Column:
-    """Scaled to length 1. The length is an argument of the lambda's array, so it is computed once a row."""
-    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda x, n: F.when(n > 0, x / n).otherwise(0.0))

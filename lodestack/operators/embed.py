@@ -1,26 +1,55 @@
-"""Embeddings: a plug point for batch encoders, with a deterministic default made of Catalyst expressions."""
+"""Embeddings: a plug point for batch encoders, with a deterministic default that counts hashed tokens."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hashed_vector, tokens
 from ..sources.catalog import not_done, write_store
 
 #: Takes batches with the key and `text` and gives batches with the key and `embedding`.
 Encoder = Callable[[Iterator], Iterator]
+#: Tokens whose slot a task remembers.
+KEPT_TOKENS = 500_000
 
 
-def embed(rows: DataFrame, key: str = "passage_id", encoder: Encoder | None = None, dim: int = 64, max_length: int | None = None, output: str = "embedding") -> DataFrame:
-    """key and embedding. The default counts all hashed tokens, or the first `max_length`, and scales to unit length."""
+def hashed(batches: Iterator[pa.RecordBatch], dim: int, max_length: int | None, seed: int = 0) -> Iterator[pa.RecordBatch]:
+    """Counts of the tokens of each text (first column) by `slot`, at unit length; zeros for a text without tokens."""
+    slots: dict[bytes, int] = {}
+    for b in batches:
+        out = np.zeros((b.num_rows, dim))
+        for i, t in enumerate(b.column(0)):
+            parts = (t.as_py() or b"").split()  # at ASCII white space
+            at = []
+            for w in parts if max_length is None else parts[:max_length]:
+                s = slots.get(w)
+                if s is None:
+                    s = int(hashlib.md5(b"%d:" % seed + w).hexdigest()[:8], 16) % dim
+                    if len(slots) < KEPT_TOKENS:
+                        slots[w] = s
+                at.append(s)
+            out[i] = np.bincount(at, minlength=dim) if at else 0
+        out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+        flat = pa.array(out.astype(np.float32).ravel())
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat)], [*b.schema.names[1:], "embedding"])
+
+
+def embed(rows: DataFrame, key: str = "passage_id", encoder: Encoder | None = None, dim: int = 64, max_length: int | None = None, output: str = "embedding", carry: tuple[str, ...] = ()) -> DataFrame:
+    """key, embedding and the columns `carry`. The default counts all hashed tokens, or the first `max_length`, and scales to unit length.
+
+    A caller's encoder need not know of `carry`: what it leaves out is joined back by key.
+    """
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, *carry)}
     if encoder is not None:
-        kind = rows.schema[key].dataType.simpleString()
-        return rows.select(key, "text").mapInPandas(encoder, f"{key} {kind}, {output} array<float>")
-    parts = tokens(F.col("text"))
-    return rows.select(key, hashed_vector(parts if max_length is None else F.slice(parts, 1, max_length), dim).cast("array<float>").alias(output))
+        found = rows.select(key, "text").mapInPandas(encoder, f"{key} {kinds[key]}, {output} array<float>")
+        return found.join(rows.select(key, *carry), key) if carry else found
+    picked = rows.select(F.col("text").cast("binary").alias("_text"), key, *carry)
+    return picked.mapInArrow(lambda batches: hashed(batches, dim, max_length), ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + f", {output} array<float>").select(key, output, *carry)
 
 
 def embed_missing(passages: DataFrame, store: str, overwrite: bool = False, **how) -> None:
@@ -29,10 +58,9 @@ def embed_missing(passages: DataFrame, store: str, overwrite: bool = False, **ho
 
     spark = passages.sparkSession
     todo = not_done(passages, spark.read.parquet(store), "file_id", overwrite) if table_exists(spark, store) else passages
-    write_store(embed(todo, **how).join(todo.select("passage_id", "file_id"), "passage_id"), store, "file_id", "overwrite")
+    write_store(embed(todo, carry=("file_id",), **how), store, "file_id", "overwrite")
 
 
 def embed_again(passages: DataFrame, store: str, file_ids: list[int], **how) -> None:
     """Replaces the embeddings of the files named and leaves the others."""
-    some = passages.where(F.col("file_id").isin(file_ids))
-    write_store(embed(some, **how).join(some.select("passage_id", "file_id"), "passage_id"), store, "file_id", "overwrite")
+    write_store(embed(passages.where(F.col("file_id").isin(file_ids)), carry=("file_id",), **how), store, "file_id", "overwrite")

@@ -1,33 +1,49 @@
-"""Dense ids without a global sort in one task, and line positions in split files."""
+"""Dense ids and running sums without a global sort in one task, and line positions in split files."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
 
-_ROW = (1 << 33) - 1
-
 
-def dense_ids(rows: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
-    """`rows` with ids from `start`, without gaps, in the order of `order` (which should be unique, or ties fall as they lie).
+def running_sums(rows: DataFrame, order: list[str], amount: str | None = None, name: str = "start", start: int = 0) -> DataFrame:
+    """`rows` with `name`: `start` and the sum of `amount` (a long, 1 without one) over all rows before, in the order of `order`.
 
-    Rows are dealt by ranges, sorted within tasks and written once with their place in the task; only the count of
-    each task goes to the driver.
+    `order` should be unique, or ties fall as they lie. Rows are dealt by ranges, sorted and added up within tasks and written
+    once; one sum per task goes to the driver. Give it keys and amounts alone where the rest of a row is large.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
-    counts = sorted((r.part, r.n) for r in placed.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
-    before, total = [], start
-    for part, n in counts:
-        before.append({"_part": part, "_before": total})
-        total += n
-    offsets = spark.createDataFrame(pa.Table.from_pylist(before, pa.schema([("_part", pa.int64()), ("_before", pa.int64())])), "_part long, _before long")
-    joined = placed.join(F.broadcast(offsets), F.shiftright("_at", 33) == F.col("_part"))  # a row per task
-    return joined.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(_ROW))).drop("_at", "_part", "_before")
+    dealt = rows.withColumn("_n", F.col(amount).cast("long") if amount else F.lit(1).cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for b in batches:
+            n = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(n)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part, np.int32)), pa.array(done + ends - n), pa.array(n)], [*b.schema.names[:-1], "_part", "_local", "_n"])
+            done += int(ends[-1]) if len(n) else 0
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    placed = written(dealt.mapInArrow(run, f"{kinds}, _part int, _local long, _n long"), "placed")
+    sums = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
+    before = np.concatenate([[start], start + np.cumsum([n for _, n in sums])])[: len(sums)].astype(np.int64)
+    offsets = spark.createDataFrame(pa.table({"_of": pa.array([p for p, _ in sums], pa.int32()), "_before": pa.array(before)}), "_of int, _before long")
+    joined = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))  # a row per task
+    return joined.withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_of", "_before", "_local", "_n")
+
+
+def dense_ids(rows: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
+    """`rows` with ids from `start`, without gaps, in the order of `order`."""
+    return running_sums(rows, order, None, name, start)
 
 
 def starts(counts: DataFrame, order: str = "file_id", count: str = "n", name: str = "start") -> DataFrame:
@@ -37,18 +53,35 @@ def starts(counts: DataFrame, order: str = "file_id", count: str = "n", name: st
     return counts.withColumn(name, F.coalesce(F.sum(count).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def line_positions(spark, path: str) -> DataFrame:
-    """file_name, position (byte offset) and value of each line that is not blank; blank lines count for offsets alone.
+def line_positions(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, file_path, position (byte offset) and value of each line that is not blank; blank lines count for offsets alone.
 
-    A file's splits are summed apart: lengths run within a split, and each split's sum is added to the later ones.
+    A file's splits are summed apart: lengths are added up within a split as it is read, and each split's sum goes to the later ones.
     """
     from pyspark.sql import Window
 
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_block_start").alias("split"))
-    lines = written(lines.withColumn("_at", F.monotonically_increasing_id()).withColumn("size", F.octet_length("value") + 1), "lines")
-    inside = Window.partitionBy("file_name", "split").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("file_name").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lines.groupBy("file_name", "split").agg(F.sum("size").alias("n"))
-    sums = sums.select("file_name", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = lines.withColumn("local", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["file_name", "split"])
-    return placed.where(F.col("value").rlike("\\S")).select("file_name", (F.col("before") + F.col("local")).alias("position"), "value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines of a split come in order and a split is read by one task, one after another."""
+        at, done = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            names, splits = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (splits[1:] != splits[:-1])) + 1).tolist(), len(size)]
+            local = np.empty(len(size), np.int64)
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if (names[i], splits[i]) != at:
+                    at, done = (names[i], splits[i]), 0
+                ends = np.cumsum(size[i:j])
+                local[i:j], done = done + ends - size[i:j], done + int(ends[-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local), pa.array(size)], ["file_path", "split", "value", "local", "size"])
+
+    placed = written(lines.mapInArrow(run, "file_path string, split long, value string, local long, size long"), "lines")
+    earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("file_path", "split").agg(F.sum("size").alias("n"))
+    sums = sums.select("file_path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    rows = placed.where(F.col("value").rlike("\\S")).join(sums, ["file_path", "split"])
+    return rows.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", (F.col("before") + F.col("local")).alias("position"), "value")

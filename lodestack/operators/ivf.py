@@ -1,8 +1,12 @@
 """Inverted-file index with product quantisation: train on a sample, encode, append, probe and score.
 
-Trained tables (centroids, codebooks) are bounded by their settings, not by the corpus, and travel with the task.
-Postings are blocks: (list_id, domain, passage_ids, codes), at most `BLOCK` entries a row, so that a query meets
-rows of a list by the thousand. A list that is much longer than others is just more rows.
+Trained tables (centroids, codebooks) are bounded by their settings, not by the corpus, and travel with the task. They come
+from k-means rounds over the sample where it lies: a task adds up its rows by cluster, Spark adds up the tasks' sums, and
+one row per cluster reaches the driver.
+
+Postings are blocks: (list_id, domain, passage_ids, codes), at most `BLOCK` entries a row, stored in one folder per list.
+A search reads the folders of probed lists alone, and a list's queries meet its blocks in batches, one set of matrix
+operations each. A list that is much longer than others is just more rows.
 """
 
 from __future__ import annotations
@@ -16,10 +20,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_matrix
-from ..session import written
+from ..session import discard, written
 from .topk import ranked
 
-SEED, BLOCK = 1234, 4096
+SEED, BLOCK, QUERY_BLOCK = 1234, 4096, 256
 POSTINGS = "list_id int, domain string, passage_ids array<long>, codes binary"
 
 
@@ -38,15 +42,18 @@ class Quantiser:
             return np.ascontiguousarray(x, np.float32).view(np.uint8)
         subs, _, width = self.codebooks.shape
         rest = (x - self.centroids[lists]).reshape(len(x), subs, width)
-        far = [((rest[:, None, m] - self.codebooks[m][None]) ** 2).sum(axis=2) for m in range(subs)]
-        return np.stack([d.argmin(axis=1) for d in far], axis=1).astype(np.uint8)
+        return np.stack([_nearest(rest[:, m], self.codebooks[m]) for m in range(subs)], axis=1).astype(np.uint8)
 
     def score(self, q: np.ndarray, list_id: int, codes: np.ndarray) -> np.ndarray:
+        """Of queries (rows) and a list's entries (columns); sums of table look-ups, one table for each query and sub-space."""
         if self.codebooks is None:
-            return codes.view(np.float32).astype(np.float64) @ q
+            return q @ np.ascontiguousarray(codes).view(np.float32).astype(np.float64).T
         subs, _, width = self.codebooks.shape
-        table = np.einsum("mcw,mw->mc", self.codebooks, q.reshape(subs, width))
-        return q @ self.centroids[list_id] + table[np.arange(subs), codes].sum(axis=1)
+        tables = np.einsum("mcw,qmw->mqc", self.codebooks, q.reshape(len(q), subs, width))
+        out = np.repeat((q @ self.centroids[list_id])[:, None], len(codes), axis=1)
+        for m in range(subs):
+            out += tables[m][:, codes[:, m]]
+        return out
 
     @property
     def code_size(self) -> int:
@@ -68,48 +75,97 @@ def sample(embeddings: DataFrame, size: int, file: str = "file_id", key: str = "
     return picked.orderBy("_h", key).limit(size).drop("_h", "_r", "_n")
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, spherical: bool) -> np.ndarray:
-    k = min(k, len(np.unique(x, axis=0)))
-    c = x[rng.choice(len(x), k, replace=False)].copy()
-    for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1) if spherical else ((x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)).argmin(axis=1)
-        for j in range(k):
-            of = x[near == j]
-            c[j] = of.mean(axis=0) if len(of) else x[rng.integers(len(x))]
-        if spherical:
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The nearest row of `c` to each row of `x`; |x| is the same for all and left out."""
+    return ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
 
 
-def train(sampled: DataFrame, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, rounds: int = 15, vector: str = "embedding", key: str = "passage_id", seed: int = SEED) -> Quantiser:
-    """Spherical k-means for the lists, then k-means of residuals per sub-space, one task per sub-space.
+def _summed(rows: DataFrame, step, clusters: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums by cluster. `step` maps a matrix of vectors (first column of `rows`) to cluster numbers and what to add.
 
-    `sampled` is the bounded sample. Fewer distinct vectors than lists give fewer lists.
+    Each task sends one row for each cluster that it has; a cluster's rows meet in one task again, and one row of it is collected.
     """
-    rows = sampled.select(key, F.col(vector).cast("array<float>").alias("v")).orderBy(key).toArrow()
-    x = as_matrix(rows.column("v").combine_chunks()).astype(np.float64) if rows.num_rows else np.zeros((0, 1))
-    if not len(x):
+
+    def add(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        n, total = np.zeros(clusters), np.zeros((clusters, width))
+        for at, count, x in parts:
+            n += np.bincount(at, count, clusters)
+            order = np.argsort(at, kind="stable")
+            heads = np.flatnonzero(np.diff(at[order], prepend=-1))
+            if len(heads):
+                total[at[order][heads]] += np.add.reduceat(x[order], heads, axis=0)
+        of = np.flatnonzero(n)
+        return pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(n[of]), pa.array(list(total[of]), pa.list_(pa.float64()))], ["cluster", "n", "total"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield add((at, np.ones(len(at)), x) for b in batches if b.num_rows for at, x in [step(as_matrix(b.column(0)).astype(np.float64))])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield add((b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), as_matrix(b.column(2))) for b in batches if b.num_rows)
+
+    kinds = "cluster int, n double, total array<double>"
+    n, total = np.zeros(clusters), np.zeros((clusters, width))
+    for r in rows.mapInArrow(first, kinds).repartition("cluster").mapInArrow(second, kinds).collect():
+        n[r.cluster], total[r.cluster] = r.n, r.total
+    return n, total
+
+
+def _coarse_round(rows: DataFrame, centroids: np.ndarray, spherical: bool) -> np.ndarray:
+    n, total = _summed(rows, lambda x: (Quantiser(centroids).assign(x), x), *centroids.shape)
+    out = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centroids)  # a list without rows stays where it is
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12) if spherical else out
+
+
+def _fine_round(rows: DataFrame, q: Quantiser) -> np.ndarray:
+    """One round for the codebooks of all sub-spaces at once: a row adds its part of the residual to one code of each."""
+    subs, codes, width = q.codebooks.shape
+
+    def step(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = q.assign(x)
+        at = q.encode(x, lists).astype(np.int64) + codes * np.arange(subs)
+        return at.ravel(), (x - q.centroids[lists]).reshape(-1, width)
+
+    n, total = _summed(rows, step, subs * codes, width)
+    return np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], q.codebooks.reshape(-1, width)).reshape(subs, codes, width)
+
+
+def _first_rows(sampled: DataFrame, vector: str, key: str, n: int, seed: int) -> np.ndarray:
+    """At most n distinct vectors, the first ones by hashed key."""
+    picked = sampled.select(F.xxhash64(key, F.lit(seed)).alias("h"), key, F.col(vector).cast("array<float>").alias("v")).groupBy("v").agg(F.min(F.struct("h", key)).alias("first"))
+    rows = picked.orderBy("first").limit(n).select("v").toArrow()
+    return as_matrix(rows.column("v").combine_chunks()).astype(np.float64) if rows.num_rows else np.zeros((0, 1))
+
+
+def train(sampled: DataFrame, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, rounds: int = 10, vector: str = "embedding", key: str = "passage_id", seed: int = SEED) -> Quantiser:
+    """Spherical k-means for the lists, then k-means of the residuals in all sub-spaces at once, in rounds over the sample.
+
+    The driver holds centroids and codebooks; of the sample, no more than the `n_lists` and 2^bits rows that they start from.
+    Fewer distinct vectors than lists give fewer lists.
+    """
+    rows = written(sampled.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias(vector)), "sample")
+    centroids = _first_rows(rows, vector, key, n_lists, seed)
+    if not len(centroids):
         raise ValueError("no vectors to train on")
-    centroids = _kmeans(x, n_lists, rounds, np.random.default_rng(seed), True)
+    centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
+    vectors = rows.select(vector)
+    for _ in range(rounds):
+        before, centroids = centroids, _coarse_round(vectors, centroids, True)
+        if np.allclose(before, centroids, atol=1e-9):
+            break
     if not subs:
         return Quantiser(centroids)
-    if x.shape[1] % subs:
-        raise ValueError(f"{x.shape[1]} dimensions do not divide by {subs}")
-    near, width = (x @ centroids.T).argmax(axis=1), x.shape[1] // subs
-    rest = (x - centroids[near]).reshape(len(x), subs, width)
-    spark, codes = sampled.sparkSession, 1 << bits
-    parts = spark.createDataFrame(pa.table({"sub": pa.array(range(subs), pa.int32()), "data": pa.array([np.ascontiguousarray(rest[:, m]).tobytes() for m in range(subs)], pa.binary())}), "sub int, data binary")
-
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = []
-            for m, data in zip(b.column(0).to_pylist(), b.column(1)):
-                c = _kmeans(np.frombuffer(data.as_py()).reshape(-1, width), codes, rounds, np.random.default_rng(seed + 1 + m), False)
-                words.append(np.concatenate([c, np.repeat(c[:1], codes - len(c), axis=0)]).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.binary())], ["sub", "words"])
-
-    found = sorted(parts.repartition(subs, "sub").mapInArrow(fit, "sub int, words binary").collect())
-    return Quantiser(centroids, np.stack([np.frombuffer(bytes(r.words)).reshape(codes, width) for r in found]))
+    if centroids.shape[1] % subs:
+        raise ValueError(f"{centroids.shape[1]} dimensions do not divide by {subs}")
+    codes, width = 1 << bits, centroids.shape[1] // subs
+    start = _first_rows(rows, vector, key, codes, seed + 1)
+    start = (start - centroids[Quantiser(centroids).assign(start)]).reshape(len(start), subs, width).transpose(1, 0, 2)
+    q = Quantiser(centroids, np.concatenate([start, np.repeat(start[:, :1], codes - start.shape[1], axis=1)], axis=1))
+    for _ in range(rounds):
+        before, q = q, Quantiser(centroids, _fine_round(vectors, q))
+        if np.allclose(before.codebooks, q.codebooks, atol=1e-9):
+            break
+    discard(rows)
+    return q
 
 
 def save(q: Quantiser, spark: SparkSession, path: str, encoder: str = "hashed") -> None:
@@ -152,21 +208,37 @@ def encode(embeddings: DataFrame, q: Quantiser, domain: str | None = None, key:
                 yield pa.RecordBatch.from_arrays([pa.array(lists), b.column(2), b.column(0), pa.array([r.tobytes() for r in q.encode(x, lists)], pa.binary())], ["list_id", "domain", "passage_id", "code"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, parts = None, [], []
+        at, held, n = None, [], 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.string()), pa.array([ids], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary())], ["list_id", "domain", "passage_ids", "codes"])
+        def out(most: int) -> Iterator[pa.RecordBatch]:
+            ids, data = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            for i in range(0, most, block):
+                part = ids[i : min(i + block, most)]
+                yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.string()), pa.array([part], pa.list_(pa.int64())), pa.array([data[i : i + len(part)].tobytes()], pa.binary())], ["list_id", "domain", "passage_ids", "codes"])
+            held[:] = [(ids[most:], data[most:])]
 
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if row[:2] != at or len(ids) >= block:
-                    if ids:
-                        yield out()
-                    at, ids, parts = row[:2], [], []
-                ids.append(row[2])
-                parts.append(row[3])
-        if ids:
-            yield out()
+            if not b.num_rows:
+                continue
+            lists, names = b.column(0).to_numpy(zero_copy_only=False), b.column(1).fill_null("\0")
+            ids, size = b.column(2).to_numpy(zero_copy_only=False), q.code_size
+            ends = np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset : b.column(3).offset + b.num_rows + 1]
+            codes = np.frombuffer(b.column(3).buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, size)
+            new = (np.diff(lists) != 0) | (names[1:].to_numpy(zero_copy_only=False) != names[:-1].to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                where = (int(lists[i]), b.column(1)[i].as_py())
+                if where != at:
+                    if n:
+                        yield from out(n)
+                    at, held, n = where, [], 0
+                held.append((ids[i:j], codes[i:j]))
+                n += j - i
+                if n >= block:
+                    yield from out(n - n % block)
+                    n %= block
+        if n:
+            yield from out(n)
 
     label = F.col(domain) if domain else F.lit(None)
     rows = embeddings.select(F.col(key).cast("long"), F.col(vector).cast("array<float>"), label.cast("string").alias("domain")).mapInArrow(codes, "list_id int, domain string, passage_id long, code binary")
@@ -175,10 +247,26 @@ def encode(embeddings: DataFrame, q: Quantiser, domain: str | None = None, key:
     return spread.mapInArrow(pack, POSTINGS)
 
 
+def write_postings(postings: DataFrame, path: str, mode: str = "error") -> None:
+    """One folder per list, so that a search reads the lists that it probes."""
+    postings.repartition("list_id", F.pmod(F.xxhash64("passage_ids"), F.lit(4))).write.mode(mode).partitionBy("list_id").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POSTINGS).parquet(path)
+
+
 def append(postings: DataFrame, embeddings: DataFrame, q: Quantiser, path: str, **how) -> None:
-    """Adds the vectors that `postings` lacks to the store at `path`; doing it twice adds nothing."""
-    have = postings.select(F.explode("passage_ids").alias("passage_id"))
-    encode(embeddings.join(have, "passage_id", "left_anti"), q, **how).write.mode("append").parquet(path)
+    """Adds the vectors that `postings` lacks to the store at `path`; doing it twice adds nothing.
+
+    Lists are frozen, so a vector can only be in its own: it is looked for there, and other lists' folders are not read.
+    """
+    lists = assign(embeddings, q).withColumnRenamed("list_id", "_list")
+    placed = written(embeddings.join(lists, "passage_id"), "placed")
+    touched = [r["_list"] for r in placed.select("_list").distinct().collect()]  # at most the number of lists
+    have = postings.where(F.col("list_id").isin(touched)).select(F.explode("passage_ids").alias("passage_id"))
+    write_postings(encode(placed.join(have, "passage_id", "left_anti").drop("_list"), q, **how), path, "append")
+    discard(placed)
 
 
 def next_id(rows: DataFrame, key: str) -> int:
@@ -215,19 +303,37 @@ def probes(queries: DataFrame, q: Quantiser, nprobe: int, key: str = "query_id",
 def search(queries: DataFrame, postings: DataFrame, q: Quantiser, k: int = 10, nprobe: int = 256) -> DataFrame:
     """query_id, passage_id, score, rank of the best k over the probed lists. Fewer candidates give fewer rows.
 
-    Probes meet posting blocks by list; a meeting is scored by table look-ups at once and sends on k rows at most.
+    The probes of a list are put in blocks of queries, and each block meets the list's posting blocks, by one set of matrix
+    operations; a meeting sends on k rows a query at most. Where not all lists are probed, only the probed ones are read.
     """
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Probes, sorted by list, as rows of at most QUERY_BLOCK queries of one list."""
+        for b in batches:
+            lists = b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                for a in range(i, j, QUERY_BLOCK):
+                    part = b.slice(a, min(QUERY_BLOCK, j - a))
+                    yield pa.RecordBatch.from_arrays([pa.array([lists[a]], pa.int32()), pa.array([part.column(0).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([as_matrix(part.column(3)).astype(np.float64).tobytes()], pa.binary())], ["list_id", "query_ids", "vectors"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                vec = b.column(2)[i].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                of = b.column(1)[i].values.to_numpy(zero_copy_only=False)
+                x = np.frombuffer(b.column(2)[i].as_py()).reshape(len(of), -1)
                 ids = b.column(3)[i].values.to_numpy(zero_copy_only=False)
-                score = np.round(q.score(vec, b.column(1)[i].as_py(), np.frombuffer(b.column(4)[i].as_py(), np.uint8).reshape(len(ids), q.code_size)), 9)
-                best = np.lexsort((ids, -score))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), b.column(0)[i].as_py())), pa.array(ids[best]), pa.array(score[best])], ["query_id", "passage_id", "score"])
-
-    met = probes(queries, q, nprobe).join(postings, "list_id").select("query_id", "list_id", "qvec", "passage_ids", "codes")
+                score = np.round(q.score(x, b.column(0)[i].as_py(), np.frombuffer(b.column(4)[i].as_py(), np.uint8).reshape(len(ids), q.code_size)), 9)
+                best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(of, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["query_id", "passage_id", "score"])
+
+    probed = probes(queries, q, nprobe)
+    if nprobe < len(q.centroids) or "nprobe" in queries.columns:
+        probed = written(probed, "probes")
+        lists = [r.list_id for r in probed.select("list_id").distinct().collect()]  # at most the number of lists
+        postings = postings.where(F.col("list_id").isin(lists))
+    asked = probed.repartition("list_id").sortWithinPartitions("list_id").mapInArrow(gathered, "list_id int, query_ids array<long>, vectors binary")
+    met = asked.join(postings, "list_id").select("list_id", "query_ids", "vectors", "passage_ids", "codes")
     return ranked(met.mapInArrow(run, "query_id long, passage_id long, score double"), k)
 
 
@@ -239,28 +345,12 @@ def rescored(found: DataFrame, queries: DataFrame, embeddings: DataFrame, k: int
     return ranked(rows.select("query_id", "passage_id", F.round(inner(F.col("qvec"), F.col("embedding")), 9).alias("score")), k)
 
 
-def lloyd(embeddings: DataFrame, centroids: np.ndarray, rounds: int, key: str = "passage_id", vector: str = "embedding") -> np.ndarray:
-    """Distributed k-means steps from given centroids, by inner product; each task sends a sum and a count per list."""
-    rows = written(embeddings.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias(vector)), "vectors")
+def lloyd(embeddings: DataFrame, centroids: np.ndarray, rounds: int, vector: str = "embedding") -> np.ndarray:
+    """Distributed k-means rounds from given centroids: lists by inner product, then plain means."""
+    rows = written(embeddings.select(F.col(vector).cast("array<float>").alias(vector)), "vectors")
     for _ in range(rounds):
-        q = Quantiser(centroids)
-
-        def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            total, n = np.zeros(q.centroids.shape), np.zeros(len(q.centroids))
-            for b in batches:
-                if b.num_rows:
-                    x = as_matrix(b.column(0)).astype(np.float64)
-                    at = q.assign(x)
-                    np.add.at(total, at, x)
-                    n += np.bincount(at, minlength=len(n))
-            lists = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), pa.array(n[lists]), pa.array(total[lists].tolist(), pa.list_(pa.float64()))], ["list_id", "n", "total"])
-
-        parts = rows.select(vector).mapInArrow(run, "list_id int, n double, total array<double>")
-        sums = parts.select("list_id", "n", F.posexplode("total").alias("i", "x")).groupBy("list_id", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        centroids = centroids.copy()
-        for r in sums.collect():
-            centroids[r.list_id, r.i] = r.x / r.n
+        centroids = _coarse_round(rows, centroids, False)
+    discard(rows)
     return centroids
 
 

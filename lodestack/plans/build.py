@@ -5,41 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import domain_of
+from ..functions.text import domain_of, passage_file
 from ..operators import ivf
 from ..operators.embed import embed
-from ..operators.ids import dense_ids
+from ..operators.ids import dense_ids, line_positions, running_sums
 from ..operators.passages import passage_table
 from ..operators.verify import verify
-from ..sources.catalog import file_catalogue, table_exists
+from ..sources.catalog import file_catalogue, json_line, missing_files, table_exists, text_of
 
 
-def _stage(spark: SparkSession, path: str, rebuild: bool, make) -> DataFrame:
-    """Reuses the table that is there, or writes it."""
+def _stage(spark: SparkSession, path: str, rebuild: bool, make, by: str | None = None) -> DataFrame:
+    """Reuses the table that is there, or writes it, one folder per value of `by`."""
     if rebuild or not table_exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
+        out = make().write.mode("overwrite")
+        (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.parquet(path)
 
 
+def complete(needed: DataFrame, present: DataFrame, key: str = "file_id") -> DataFrame:
+    """`present`, or an error that names some of the files that it lacks."""
+    lost = [str(r[0]) for r in missing_files(needed, present, key).limit(10).collect()]
+    if lost:
+        raise ValueError(f"missing, by {key}: {', '.join(sorted(lost))}")
+    return present
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file_name, doc_position (byte offset of the line) and text of each line of the JSON-lines files at `path` that is not blank."""
+    return line_positions(spark, path).select("file_name", F.col("position").alias("doc_position"), text_of(F.col("value")).alias("text"))
+
+
+def passage_positions(passages: DataFrame) -> DataFrame:
+    """passage_id and passage_position: where its line begins in its file's JSON-lines file of passages, in the order of passage_id."""
+    sizes = passages.select("passage_id", "file_id", (F.octet_length(json_line("passage_id", "text")) + 1).cast("long").alias("size"))
+    placed = running_sums(sizes, ["passage_id"], "size", "at")
+    first = placed.groupBy("file_id").agg(F.min("at").alias("first"))
+    return placed.join(F.broadcast(first), "file_id").select("passage_id", (F.col("at") - F.col("first")).alias("passage_position"))  # a row per file
+
+
+def write_passage_files(passages: DataFrame, path: str) -> None:
+    """The passages as JSON lines, one folder per file_id; a file's lines are in order and in one file, as `passage_positions` says."""
+    rows = passages.select("file_id", "passage_id", json_line("passage_id", "text").alias("value"))
+    rows.repartition("file_id").sortWithinPartitions("file_id", "passage_id").select("file_id", "value").write.partitionBy("file_id").text(path)
+
+
 def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, sample_size: int = 10_000_000, rebuild: bool = False, retrain: bool = False, dim: int = 64, encoder=None, encoder_name: str = "hashed", order: list[str] | None = None) -> dict[str, DataFrame]:
-    """All tables of a corpus from `texts` (file_name, text and what `order` names). Texts that are null count as empty.
+    """All tables of a corpus from `texts` (file_name, text and what `order` names, by default the line's doc_position if there is one).
 
-    `rebuild` makes every table anew; `retrain` the quantiser and what follows from it.
+    Texts that are null count as empty. Document ids follow the file's name and then `order`. `rebuild` makes every table anew; `retrain`
+    the quantiser and what follows from it. An index over embeddings that lack a file is an error.
     """
     spark = texts.sparkSession
+    order = order or (["doc_position"] if "doc_position" in texts.columns else ["text"])
     files = _stage(spark, f"{store}/files", rebuild, lambda: file_catalogue(texts))
     named = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(files), "file_name")  # a row per file name
-    docs = _stage(spark, f"{store}/documents", rebuild, lambda: dense_ids(named, ["file_id", *(order or ["text"])], "doc_id"))
-    passages = _stage(spark, f"{store}/passages", rebuild, lambda: passage_table(docs.select("doc_id", "file_id", "file_name", "text"), size, least_last))
-    vectors = _stage(spark, f"{store}/embeddings", rebuild, lambda: embed(passages, encoder=encoder, dim=dim).join(passages.select("passage_id", "file_id", domain_of(F.col("file_name")).alias("domain")), "passage_id"))
+    docs = _stage(spark, f"{store}/documents", rebuild, lambda: dense_ids(named, ["file_id", *order], "doc_id"))
+
+    def cut() -> DataFrame:
+        rows = passage_table(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), *(c for c in ["doc_position"] if c in docs.columns), "text"), size, least_last)
+        return rows.withColumn("passage_file", passage_file(F.col("file_name")))
+
+    cuts = _stage(spark, f"{store}/passages", rebuild, cut)
+    positions = _stage(spark, f"{store}/passage_positions", rebuild, lambda: passage_positions(cuts))
+    passages = cuts.join(positions, "passage_id")
+    vectors = _stage(spark, f"{store}/embeddings", rebuild, lambda: embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")))
     again = rebuild or retrain
     if again or not table_exists(spark, f"{store}/index/index_meta"):
-        rows = ivf.sample(vectors, sample_size)
+        rows = ivf.sample(complete(cuts, vectors), sample_size)
         path = f"{store}/index"
         for part in ("centroids", "codebooks", "index_meta"):
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         ivf.save(ivf.train(rows, n_lists, subs, bits), spark, path, encoder_name)
     q = ivf.load(spark, f"{store}/index", encoder_name)
-    postings = _stage(spark, f"{store}/postings", again, lambda: ivf.encode(vectors, q, "domain"))
-    return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "report": verify(docs, passages, vectors, postings)}
+    _stage(spark, f"{store}/postings", again, lambda: ivf.encode(vectors, q, "domain"), "list_id")
+    postings = ivf.read_postings(spark, f"{store}/postings")
+    return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings)}
+
+
+def build_files(spark: SparkSession, path: str, store: str, **how) -> dict[str, DataFrame]:
+    """`build` of the JSON-lines files at `path`: scan, line positions, ids by (file, line), passages, embeddings and index."""
+    return build(read_lines(spark, path), store, **how)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import enough_words, fetch_size
+from ..operators import ivf
+from ..operators.embed import embed
 from ..operators.ranking import lexical, rank_documents, rerank
 from ..operators.topk import exact_topk, ranked
 
@@ -38,19 +40,30 @@ def rejected(requests: DataFrame) -> DataFrame:
     return with_defaults(requests).where(~valid())
 
 
+def with_vectors(requests: DataFrame, **how) -> DataFrame:
+    """Adds qvec, the query embedded as passages are; `how` goes to `embed`."""
+    vectors = embed(requests.select("query_id", F.col("query").alias("text")), "query_id", output="qvec", **how)
+    return requests.drop("qvec").join(vectors, "query_id")
+
+
+#: Columns of passages that results carry, where the table has them.
+PASSAGE_COLUMNS = ("passage_file", "passage_position", "doc_file", "doc_position")
+
+
 def search_passages(requests: DataFrame, passages: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], scorer: Callable[[DataFrame], DataFrame] | None = lexical) -> DataFrame:
     """Ranked passages of `accepted` requests that carry qvec.
 
-    `candidates` gives query_id, passage_id, score for queries and a number, in the form of exact or index search. Fetching and
-    the word filter come before the cut to base_k, which comes before re-ranking and the cut to k; the word filter stays
-    above the top-k, since below it would change what is fetched.
+    `candidates` gives query_id, passage_id, score for queries and a number, in the form of exact or index search; it is asked for no
+    more than the largest fetch_k. Fetching and the word filter come before the cut to base_k, which comes before re-ranking and the
+    cut to k; the word filter stays above the top-k, since below it would change what is fetched.
     """
     asked = requests.where(F.col("query").rlike("\\S"))
-    most = max(MOST["initial_k"], 256)
+    most = asked.agg(F.max("fetch_k")).first()[0] or 1
     settings = asked.select("query_id", "query", "k", "base_k", "fetch_k", "min_words", "rerank")
-    found = candidates(asked.select("query_id", "qvec"), most).drop("rank").join(settings, "query_id")
-    found = ranked(found, F.col("fetch_k")).drop("rank")
-    rows = found.join(passages.select("passage_id", "doc_id", F.col("text").alias("passage_text"), *(c for c in ("file_name", "passage_position") if c in passages.columns)), "passage_id")
+    extra = ["nprobe"] if "nprobe" in asked.columns else []
+    found = candidates(asked.select("query_id", "qvec", *extra), most).join(settings, "query_id")
+    found = found.where(F.col("rank") <= F.col("fetch_k")).drop("rank")
+    rows = found.join(passages.select("passage_id", "doc_id", F.col("text").alias("passage_text"), *(c for c in PASSAGE_COLUMNS if c in passages.columns)), "passage_id")
     rows = rows.where(enough_words(F.col("passage_text"), F.col("min_words")))
     rows = ranked(rows, F.col("base_k"))
     plain = rows.where(~F.col("rerank")).withColumn("rerank_score", F.lit(None).cast("double")).where("rank <= k")
@@ -66,7 +79,7 @@ def search_documents(found: DataFrame, docs: DataFrame, ranking="occurrence") ->
 def responses(requests: DataFrame, found: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """One row per request: query, results (empty where nothing was found) and documents (null unless asked for)."""
     listed = lambda df, *columns: df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("_list"))
-    hits = listed(found, "passage_id", "doc_id", "score", "rerank_score", "passage_text").withColumnRenamed("_list", "results")
+    hits = listed(found, "passage_id", "doc_id", "score", "rerank_score", "passage_text", *(c for c in PASSAGE_COLUMNS if c in found.columns)).withColumnRenamed("_list", "results")
     out = requests.select("query_id", "query", "return_fulltext").join(hits, "query_id", "left")
     empty = F.from_json(F.lit("[]"), hits.schema["results"].dataType)
     out = out.withColumn("results", F.coalesce("results", empty))
@@ -83,6 +96,19 @@ def exact(embeddings: DataFrame, **how) -> Callable[[DataFrame, int], DataFrame]
     return lambda queries, k: exact_topk(queries, embeddings, k, **how)
 
 
+def indexed(postings: DataFrame, q: ivf.Quantiser, nprobe: int = 256, embeddings: DataFrame | None = None, wider: int = 1) -> Callable[[DataFrame, int], DataFrame]:
+    """Candidates from the index, over `nprobe` lists or as many as a query's own column nprobe says.
+
+    With `embeddings`, `wider` times as many are fetched by their codes and scored again exactly.
+    """
+
+    def candidates(queries: DataFrame, k: int) -> DataFrame:
+        found = ivf.search(queries, postings, q, k * wider if embeddings is not None else k, nprobe)
+        return found if embeddings is None else ivf.rescored(found, queries, embeddings, k)
+
+    return candidates
+
+
 def batch_retrieval(found: DataFrame, passages: DataFrame) -> DataFrame:
     """Per query, parallel lists of passages, ids, scores and domains in rank order."""
     rows = found.join(passages.select("passage_id", "text", "domain"), "passage_id")

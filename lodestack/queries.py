@@ -9,15 +9,16 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.vectors import masked_mean
 from .operators import ivf, lookup, metrics, ranking, verify
-from .operators.embed import embed
+from .operators.embed import embed, embed_again, embed_missing
 from .operators.ids import dense_ids, line_positions, starts
-from .operators.passages import passage_table, passages, per_file
+from .operators.passages import passage_starts, passage_table, passages, per_file
 from .operators.topk import exact_topk
 from .plans import build as corpus_build
 from .plans import search as S
@@ -115,7 +116,10 @@ def passage_chunks_256_128(spark, d):
 
 @register(_CHUNKS.format(size=128, least=64) + "SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS passage_id, doc_id, chunk_index FROM p")
 def passage_ids_dense(spark, d):
-    return passage_table(table(spark, d, "documents").select("doc_id", "text")).select("passage_id", "doc_id", "chunk_index")
+    """From counts alone: a document's passages are numbered from its start on."""
+    begun = passage_starts(table(spark, d, "documents").select("doc_id", "text")).where("n > 0")
+    rows = begun.select("doc_id", "start", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk_index"))
+    return rows.select((F.col("start") + F.col("chunk_index")).alias("passage_id"), "doc_id", "chunk_index")
 
 
 @register("SELECT row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id, doc_id, source FROM documents")
@@ -161,14 +165,14 @@ def text_preview(spark, d):
     return table(spark, d, "documents").select("doc_id", T.preview(F.col("text")).alias("preview"))
 
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')[1:128]"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')"
 
 
 @register(f"""WITH t AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents),
 n AS (SELECT doc_id, (('0x' || substr(md5('0:' || t), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
 SELECT doc_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT, 5)::DOUBLE AS value FROM n""")
 def default_embedding(spark, d):
-    rows = embed(table(spark, d, "documents").select("doc_id", "text"), "doc_id", max_length=128)  # as its SQL says
+    rows = embed(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     rows = rows.select("doc_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
     return rows.select("doc_id", "dim", F.round("value", 5).cast("double").alias("value"))
 
@@ -181,19 +185,22 @@ def mean_pool(spark, d):
     return rows.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-@register("""SELECT vec_id, round((embedding[1]::DOUBLE + embedding[3]::DOUBLE) / 2, 6) AS first, round((embedding[2]::DOUBLE + embedding[4]::DOUBLE) / 2, 6) AS second FROM embeddings""")
+@register("""WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+SELECT vec_id, i % 4 AS dim, round(avg(x), 6) AS mean FROM x WHERE (i // 4) % 3 <> 2 GROUP BY 1, 2""")
 def mean_pool_rows(spark, d):
-    """The embedding's head as three token vectors of two dimensions, the last one masked."""
-    pairs = F.array(*(F.slice("embedding", i, 2).cast("array<double>") for i in (1, 3, 5)))
-    rows = table(spark, d, "embeddings").select("vec_id", masked_mean(pairs, F.array(F.lit(1), F.lit(1), F.lit(0)), 2).alias("m"))
-    return rows.select("vec_id", F.round(F.col("m")[0], 6).alias("first"), F.round(F.col("m")[1], 6).alias("second"))
+    """The whole embedding as token vectors of four dimensions, every third one masked."""
+    parts = F.transform(F.sequence(F.lit(0), F.size("embedding") / 4 - 1), lambda i: F.slice("embedding", (i * 4 + 1).cast("int"), 4).cast("array<double>"))
+    masks = F.transform(F.sequence(F.lit(0), F.size("embedding") / 4 - 1), lambda i: (i % 3 != 2).cast("int"))
+    rows = table(spark, d, "embeddings").select("vec_id", parts.alias("parts"), masks.alias("masks"))
+    rows = rows.select("vec_id", F.posexplode(masked_mean(F.col("parts"), F.col("masks"), 4)).alias("dim", "mean"))
+    return rows.select("vec_id", "dim", F.round("mean", 6).alias("mean"))
 
 
 # Search
 
 
 def _requests(spark, d, **settings) -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 100).alias("query"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     rows = _queries(_vectors(spark, d)).join(docs, "query_id", "left").withColumn("query", F.coalesce("query", F.lit("")))
     return S.accepted(rows.withColumns({k: F.lit(v) for k, v in settings.items()}))
 
@@ -204,7 +211,7 @@ def _passages(spark, d) -> DataFrame:
 
 
 _FOUND = """
-WITH q AS (SELECT e.vec_id AS query_id, coalesce(substr(d.text, 1, 100), '') AS query, e.embedding::DOUBLE[] AS v
+WITH q AS (SELECT e.vec_id AS query_id, coalesce(d.text, '') AS query, e.embedding::DOUBLE[] AS v
            FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id WHERE e.vec_id % 100 = 0),
 s AS (SELECT query_id, query, vec_id AS passage_id, round(list_inner_product(v, embedding::DOUBLE[]), 9) AS score FROM q, embeddings WHERE regexp_matches(query, '\\S')),
 f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS r FROM s) WHERE r <= {fetch}),
@@ -294,7 +301,7 @@ def search_responses(spark, d):
 FROM (SELECT doc_id, doc_id % 103 AS k, CASE WHEN doc_id % 5 = 0 THEN 25 ELSE doc_id * 7 % 1100 END AS i FROM documents)""")
 def request_validation(spark, d):
     i = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") * 7 % 1100).cast("int")
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 50).alias("query"), (F.col("doc_id") % 103).cast("int").alias("k"), i.alias("initial_k"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"), (F.col("doc_id") % 103).cast("int").alias("k"), i.alias("initial_k"))
     good, bad = S.accepted(rows), S.rejected(rows)
     return good.select("query_id", F.lit("accepted").alias("status")).unionByName(bad.select("query_id", F.lit("rejected").alias("status")))
 
@@ -306,20 +313,18 @@ l AS (SELECT *, {_TOKENS.format('query')} AS qt, {_TOKENS.format("coalesce(text,
 x AS (SELECT *, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, pt)) / len(qt) ELSE 0.0 END AS s FROM l)
 SELECT * FROM (SELECT query_id, passage_id, round(s, 6) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r0) AS rank FROM x) WHERE rank <= 10""")
 def rerank_lexical(spark, d):
-    from pyspark.sql import Window
-
     items = dense_ids(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), ["query_id"], "n")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("passage_text"), (F.col("doc_id") % items.count()).alias("n"))
-    pairs = docs.join(items, "n").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("passage_id")))
+    pairs = docs.join(items, "n").withColumn("rank", F.col("passage_id"))  # the order that ties keep
     return ranking.rerank(pairs, ranking.lexical, 10).select("query_id", "passage_id", F.round("rerank_score", 6).alias("rerank_score"), "rank")
 
 
-@register("""WITH w AS (SELECT unnest([doc_id, -1 - doc_id, doc_id + 1000000]) AS doc_id FROM documents WHERE doc_id % 10 = 0)
+@register("""WITH w AS (SELECT unnest([doc_id, -1 - doc_id, doc_id + 1000000000000]) AS doc_id FROM documents)
 SELECT w.doc_id, CASE WHEN d.doc_id IS NULL THEN 'not_found' ELSE 'found' END AS status, md5(d.text) AS text_md5 FROM w LEFT JOIN documents d USING (doc_id)""")
 def get_document(spark, d):
     docs = table(spark, d, "documents")
     x = F.col("doc_id")
-    wanted = docs.where("doc_id % 10 = 0").select(F.explode(F.array(x, -1 - x, x + 1000000)).alias("doc_id"))
+    wanted = docs.select(F.explode(F.array(x, -1 - x, x + 1000000000000)).alias("doc_id"))
     return lookup.documents_by_id(wanted, docs).select("doc_id", "status", F.md5("doc_text").alias("text_md5"))
 
 
@@ -361,24 +366,42 @@ def coarse_assign(spark, d):
 def kmeans_fixed_init(spark, d):
     v = _vectors(spark, d)
     c = ivf.lloyd(v, _seeds(v), 2)
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_id int, c array<double>")
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "list_id int, c array<double>")  # eight lists
     return rows.select("list_id", F.posexplode("c").alias("dim", "value")).select("list_id", "dim", F.round("value", 6).alias("value"))
 
 
-@register(f"""WITH {_LISTS}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
+_PROBES = f"""WITH {_LISTS}, q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
 r AS (SELECT query_id, list_id::INT AS list_id, list_inner_product(v, c) AS s, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(v, c) DESC, list_id) AS r FROM q, c0)
-SELECT query_id, list_id, round(s, 6) AS coarse FROM r WHERE r <= 3""")
+SELECT query_id, list_id, round(s, 6) AS coarse FROM r WHERE r <= """
+
+
+@register(_PROBES + "3")
 def probe_lists(spark, d):
     v = _vectors(spark, d)
     return ivf.probes(_queries(v), ivf.Quantiser(_seeds(v)), 3).select("query_id", "list_id", F.round("coarse", 6).alias("coarse"))
 
 
+@register(_PROBES + "1 + query_id // 100 % 8")
+def probes_per_query(spark, d):
+    """Each query says how many lists it probes."""
+    v = _vectors(spark, d)
+    asked = _queries(v).withColumn("nprobe", (1 + F.floor(F.col("query_id") / 100) % 8).cast("int"))
+    return ivf.probes(asked, ivf.Quantiser(_seeds(v)), 3).select("query_id", "list_id", F.round("coarse", 6).alias("coarse"))
+
+
 @register(_TOPK.format(score=_IP))
 def ivf_full_probe(spark, d):
     """All lists probed and vectors kept whole: equal to exact search."""
     v = _vectors(spark, d)
     q = ivf.Quantiser(_seeds(v))
-    return ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, 10, 8).select("query_id", "passage_id", "rank", _score())
+    return ivf.search(_queries(v), _stored(spark, ivf.encode(v, q)), q, 10, 8).select("query_id", "passage_id", "rank", _score())
+
+
+def _stored(spark: SparkSession, postings: DataFrame) -> DataFrame:
+    """The index on disk, one folder per list."""
+    path = shared_path(spark, "postings")
+    ivf.write_postings(postings, path)
+    return ivf.read_postings(spark, path)
 
 
 def _trained(v: DataFrame, n_lists: int = 16, subs: int = 16) -> ivf.Quantiser:
@@ -397,10 +420,48 @@ def ivfpq_search(spark, d):
     v = _vectors(spark, d)
     lists, probes, most = _sizes(v.count())
     q = _trained(v, lists)
-    found = ivf.search(_queries(v), written(ivf.encode(v, q), "postings"), q, most, probes)
+    found = ivf.search(_queries(v), _stored(spark, ivf.encode(v, q)), q, most, probes)
     return ivf.rescored(found, _queries(v), v, 10).select("query_id", "passage_id", "rank", _score())
 
 
+_HASHED = f"""t AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents),
+n AS (SELECT doc_id, (('0x' || substr(md5('0:' || t), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
+e AS (SELECT doc_id, dim, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM n)"""
+
+
+@register(f"""WITH {_HASHED},
+s AS (SELECT q.doc_id AS query_id, e.doc_id AS passage_id, round(sum(q.x * e.x), 9) AS score FROM e q JOIN e USING (dim) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM s)
+SELECT query_id, passage_id, passage_id % 97 AS doc_id, rank, round(score, 6) AS score, d.source || '_passages.jsonl' AS passage_file FROM r JOIN documents d ON d.doc_id = passage_id WHERE rank <= 10""")
+def search_indexed(spark, d):
+    """Queries as texts: embedded, searched in an index of the embedded documents with every list probed, and joined to passages."""
+    docs = table(spark, d, "documents")
+    v = written(embed(docs.select(F.col("doc_id").alias("passage_id"), "text"), "passage_id"), "vectors")
+    q = ivf.train(v, 16, None)
+    asked = S.accepted(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), F.lit(False).alias("rerank")))
+    passages = _passages(spark, d).withColumn("passage_file", T.passage_file(F.col("file_name")))
+    found = S.search_passages(S.with_vectors(asked), passages, S.indexed(_stored(spark, ivf.encode(v, q)), q, len(q.centroids)))
+    return found.select("query_id", "passage_id", "doc_id", "rank", _score(), "passage_file")
+
+
+@register(f"""WITH f AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS file_id FROM (SELECT DISTINCT source FROM documents)),
+w AS (SELECT doc_id, CASE WHEN file_id % 2 = 1 THEN {_WORDS} ELSE {_WORDS}[1:16] END AS w FROM documents JOIN f USING (source)),
+t AS (SELECT doc_id, unnest(w) AS t FROM w),
+n AS (SELECT doc_id, (('0x' || substr(md5('0:' || t), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS n FROM t GROUP BY ALL)
+SELECT doc_id AS passage_id, dim, round((n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT, 5)::DOUBLE AS value FROM n""")
+def embeddings_renewed(spark, d):
+    """A store of embeddings by an encoder that reads 16 tokens, some of whose files are embedded again by one that reads all."""
+    docs = table(spark, d, "documents")
+    files = catalog.file_catalogue(docs, "source")
+    rows = docs.join(F.broadcast(files), F.col("source") == F.col("file_name")).select(F.col("doc_id").alias("passage_id"), "file_id", "text")
+    store = shared_path(spark, "vectors")
+    for _ in range(2):  # the second time nothing is missing
+        embed_missing(rows, store, max_length=16)
+    embed_again(rows, store, [r.file_id for r in files.where("file_id % 2 = 1").collect()])
+    out = spark.read.parquet(store).select("passage_id", F.posexplode("embedding").alias("dim", "value")).where("value <> 0")
+    return out.select("passage_id", "dim", F.round("value", 5).cast("double").alias("value"))
+
+
 @register()
 def training_sample(spark, d):
     v = _vectors(spark, d)
@@ -408,16 +469,33 @@ def training_sample(spark, d):
     return catalog.cached(spark, path, lambda: ivf.sample(v, 300)).select("passage_id", "file_id")
 
 
-@register("SELECT vec_id AS passage_id, count(*) OVER () AS total FROM embeddings")
+def _entries(postings: DataFrame) -> DataFrame:
+    """passage_id, list_id and the first and last stored number of every entry of an index of whole vectors."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids = b.column(1)[i].values.to_numpy(zero_copy_only=False)
+                x = np.frombuffer(b.column(2)[i].as_py(), np.float32).reshape(len(ids), -1).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), b.column(0)[i].as_py(), np.int64)), pa.array(np.round(x.sum(axis=1), 4)), pa.array(np.round((x * np.arange(1, x.shape[1] + 1)).sum(axis=1), 3))], ["passage_id", "list_id", "total", "weighed"])
+
+    return postings.select("list_id", "passage_ids", "codes").mapInArrow(run, "passage_id long, list_id long, total double, weighed double").select("passage_id", "list_id", (F.col("total") + 0.0).alias("total"), (F.col("weighed") + 0.0).alias("weighed"))
+
+
+_ENTRIES = f"""WITH {_LISTS}, v AS (SELECT vec_id, i, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
+s AS (SELECT vec_id, round(sum(x), 4) + 0.0 AS total, round(sum(x * i), 3) + 0.0 AS weighed FROM v GROUP BY 1)
+SELECT a.vec_id AS passage_id, a.list_id, total, weighed FROM {_ASSIGN.format(c='c0')} a JOIN s USING (vec_id)"""
+
+
+@register(_ENTRIES)
 def ivf_append(spark, d):
-    """Half of the vectors, then all of them twice: every one is in the index once."""
+    """Half of the vectors, then all of them twice: every one is in the index once, in its list, with its own numbers."""
     v = _vectors(spark, d)
     q, path = ivf.Quantiser(_seeds(v)), shared_path(spark, "postings")
-    ivf.encode(v.where("passage_id % 2 = 0"), q).write.parquet(path)
+    ivf.write_postings(ivf.encode(v.where("passage_id % 2 = 0"), q), path)
     for _ in range(2):
-        ivf.append(spark.read.parquet(path), v, q, path)
-    rows = spark.read.parquet(path).select(F.explode("passage_ids").alias("passage_id"))
-    return rows.crossJoin(rows.agg(F.count("*").alias("total")))  # one row
+        ivf.append(ivf.read_postings(spark, path), v, q, path)
+    return _entries(ivf.read_postings(spark, path))
 
 
 @register("SELECT label::VARCHAR AS domain, count(*) AS n FROM embeddings WHERE label::VARCHAR <= '4' GROUP BY 1")
@@ -427,7 +505,7 @@ def domain_snapshot(spark, d):
     return ivf.in_domains(posts, "4").groupBy("domain").agg(F.sum(F.size("passage_ids")).alias("n"))
 
 
-@register("""WITH t AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS n FROM embeddings) SELECT vec_id AS passage_id FROM t""")
+@register(_ENTRIES)
 def stream_maintenance(spark, d):
     """Embeddings that arrive as several files, taken up by a stream; what it has indexed."""
     v = _vectors(spark, d)
@@ -436,7 +514,7 @@ def stream_maintenance(spark, d):
     q = ivf.Quantiser(_seeds(v))
     for _ in range(2):  # the second run finds nothing new
         maintain(spark, f"{base}/in", v.schema, q, f"{base}/postings", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
-    return spark.read.parquet(f"{base}/postings").select(F.explode("passage_ids").alias("passage_id"))
+    return _entries(ivf.read_postings(spark, f"{base}/postings"))
 
 
 @register(_TOPK.replace("SELECT query_id, passage_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10", """
@@ -509,18 +587,17 @@ def json_lines(spark, d):
     return catalog.read_texts(spark, path).groupBy(F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 
 
-@register("SELECT count(*) AS lines, count(DISTINCT doc_id) AS ids, 0::BIGINT AS wrong FROM documents")
+@register("""WITH l AS (SELECT doc_id, source, strlen(doc_id || '|' || replace(coalesce(text, ''), chr(10), ' ')) + 1 AS size FROM documents)
+SELECT doc_id, source, (sum(size) OVER (PARTITION BY source ORDER BY doc_id) - size)::BIGINT AS position FROM l""")
 def document_map(spark, d):
-    """Line positions of the documents written as JSON lines: each position plus its line's size is the next one of its file."""
-    from pyspark.sql import Window
-
+    """Documents written as lines, one file per source in the order of ids, and the byte position of each line."""
     path = shared_path(spark, "lines")
-    table(spark, d, "documents").select(catalog.json_line("text", "doc_id").alias("value")).write.text(path)
+    line = F.concat_ws("|", F.col("doc_id").cast("string"), F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    rows = table(spark, d, "documents").select("source", "doc_id", line.alias("value"))
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     at = line_positions(spark, path)
-    w = Window.partitionBy("file_name").orderBy("position")
-    at = at.withColumn("next", F.lead("position").over(w)).withColumn("end", F.col("position") + F.octet_length("value") + 1)
-    ids = F.get_json_object("value", "$.doc_id")
-    return at.agg(F.count("*").alias("lines"), F.countDistinct(ids).alias("ids"), F.count(F.when(F.col("next") != F.col("end"), 1)).alias("wrong"))
+    folder = F.regexp_extract("file_path", "/source=([^/]*)/", 1)
+    return at.select(F.substring_index("value", "|", 1).cast("long").alias("doc_id"), folder.alias("source"), "position")
 
 
 @register("SELECT 'documents' AS file, count(*) AS rows, true AS ok FROM documents UNION ALL SELECT 'labels', count(*), true FROM labels")
@@ -528,9 +605,8 @@ def conversion_report(spark, d):
     out = []
     for name in ("documents", "labels"):
         path = shared_path(spark, f"{name}.parquet")
-        table(spark, d, name).coalesce(1).write.parquet(path)
-        found = spark.read.parquet(path).select(F.col("_metadata.file_path").alias("p")).distinct()
-        report = catalog.conversion_report(spark, [r.p for r in found.collect()])
+        table(spark, d, name).write.parquet(path)
+        report = catalog.conversion_report(spark, catalog.files_below(spark, path))
         out.append(report.agg(F.sum("rows").alias("rows"), F.min("ok").alias("ok")).select(F.lit(name).alias("file"), "rows", "ok"))
     return out[0].unionByName(out[1])
 
@@ -639,7 +715,7 @@ def round_trip(spark, d):
 UNION ALL SELECT 'indexed', count(*) FROM p UNION ALL SELECT 'files', count(DISTINCT source) FROM documents UNION ALL SELECT 'violations', 0""")
 def corpus_build_stages(spark, d):
     texts = table(spark, d, "documents").select(F.col("source").alias("file_name"), "text", F.col("doc_id").alias("line"))
-    out = corpus_build.build(texts, shared_path(spark, "store"), n_lists=16, subs=8, sample_size=2000, order=["line"])
+    out = corpus_build.build(texts, shared_path(spark, "store"), n_lists=16, subs=8, order=["line"])
     named = lambda n, df: df.select(F.lit(n).alias("name"), F.col(df.columns[0]).cast("long").alias("n"))
     parts = [named("documents", out["documents"].agg(F.count("*"))), named("passages", out["passages"].agg(F.count("*"))), named("indexed", out["postings"].agg(F.sum(F.size("passage_ids")))), named("files", out["files"].agg(F.count("*"))), named("violations", out["report"].agg(F.sum("violations")))]
     all_ = parts[0]

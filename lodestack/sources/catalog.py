@@ -43,6 +43,13 @@ def conversion_report(spark: SparkSession, paths: list[str]) -> DataFrame:
     return listed.join(counts, same, "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), F.col("found").isNotNull().alias("ok"))
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """The data files in the folder `path`, by listing it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    return sorted(f.getPath().toString() for f in found if not f.getPath().getName().startswith(("_", ".")))
+
+
 def file_catalogue(rows: DataFrame, file: str = "file_name") -> DataFrame:
     """file_id (from 0 in name order) and file_name. Names are few beside rows, so one task numbers them."""
     from pyspark.sql import Window

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import ivf
-from ..sources.catalog import table_exists
 
 
 def maintain(spark: SparkSession, embeddings: str, schema: StructType | str, q: ivf.Quantiser, postings: str, checkpoint: str, domain: str | None = None, files_per_batch: int = 1000) -> StreamingQuery:
     """Appends the postings of files that have not been seen; the checkpoint remembers them.
 
-    A batch that is repeated after a failure adds nothing twice, since ids that are there already are left out.
-    With frozen centroids and codebooks the result equals one build over all files.
+    Each batch has a folder of its own, by its number, so that a batch that is repeated after a failure replaces itself. Nothing that was
+    indexed before is read, and the cost of a batch is that of its files. With frozen centroids and codebooks the result equals
+    one build over all files.
     """
 
-    def add(batch: DataFrame, _: int) -> None:
-        have = spark.read.parquet(postings) if table_exists(spark, postings) else spark.createDataFrame([], ivf.POSTINGS)
-        ivf.append(have, batch, q, postings, domain=domain)
+    def add(batch: DataFrame, number: int) -> None:
+        rows = ivf.encode(batch, q, domain=domain).withColumn("batch", F.lit(number))
+        rows.repartition("list_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "list_id").parquet(postings)
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(embeddings)
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -154,11 +155,11 @@ def test_index_recall_append_and_domains(spark):
     recalls = [ivf.recall(ivf.rescored(ivf.search(q, posts, model, 80, n), q, v, 10), exact).first().recall for n in (1, 4, 8)]
     assert recalls == sorted(recalls) and recalls[-1] >= 0.9
     path = shared_path(spark, "posts")
-    ivf.encode(v.where("passage_id < 300"), model, "domain").write.parquet(path)
+    ivf.write_postings(ivf.encode(v.where("passage_id < 300"), model, "domain"), path)
     for _ in range(2):
-        ivf.append(spark.read.parquet(path), v, model, path, domain="domain")
+        ivf.append(ivf.read_postings(spark, path), v, model, path, domain="domain")
     assert ivf.next_id(v, "passage_id") == 600
-    a = ivf.search(q, spark.read.parquet(path), model, 10, 8).select("query_id", "passage_id", "score")
+    a = ivf.search(q, ivf.read_postings(spark, path), model, 10, 8).select("query_id", "passage_id", "score")
     assert sorted(a.collect()) == sorted(ivf.search(q, posts, model, 10, 8).select("query_id", "passage_id", "score").collect())
     ids_ = ivf.in_domains(posts, "d1").select(F.explode("passage_ids").alias("i")).where("i % 3 = 2")
     assert ids_.count() == 0
@@ -177,6 +178,84 @@ def test_registered_recall_as_tables_grow(spark, tmp_path, n):
     assert ivf.recall(found, exact).first().recall >= 0.9
 
 
+def test_training_is_distributed_and_equals_numpy(spark):
+    """Coarse rounds against plain numpy from the same start; codebooks against a search over all codes."""
+    x, v = vectors(spark, 400)
+    start = x[:6].astype(float)
+    c = start.copy()
+    for _ in range(3):
+        near = (x.astype(float) @ c.T).argmax(axis=1)
+        c = np.stack([x[near == j].astype(float).mean(axis=0) if (near == j).any() else c[j] for j in range(6)])
+    assert np.allclose(ivf.lloyd(v, start, 3), c)
+    q = ivf.train(v, 6, 4, 4)
+    assert q.centroids.shape == (6, 16) and q.codebooks.shape == (4, 16, 4)
+    lists = q.assign(x.astype(float))
+    rest = (x - q.centroids[lists]).reshape(400, 4, 4)
+    far = ((rest[:, :, None] - q.codebooks[None]) ** 2).sum(axis=3)
+    codes = q.encode(x.astype(float), lists)
+    assert (codes == far.argmin(axis=2)).mean() > 0.999
+    assert far.min(axis=2).sum() < 0.7 * (rest**2).sum()
+    s = q.score(x[:3].astype(float), 2, codes)
+    want = [[x[i] @ q.centroids[2] + sum(x[i].reshape(4, 4)[m] @ q.codebooks[m, k[m]] for m in range(4)) for k in codes] for i in range(3)]
+    assert np.allclose(s, want)
+    same = v.where("passage_id < 3")
+    assert len(ivf.train(same.unionByName(same), 8, None).centroids) == 3
+
+
+def test_training_at_size(spark):
+    """200,000 vectors: rounds over the sample where it lies."""
+    rows = spark.range(200_000, numPartitions=8).select(F.col("id").alias("passage_id"), F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.xxhash64("id", i) / float(1 << 63)).cast("float")).alias("embedding"))
+    q = ivf.train(rows, 32, 4, 6, 4)
+    n = ivf.assign(rows, q).groupBy("list_id").count().collect()
+    assert len(n) == 32 and max(r["count"] for r in n) < 10 * 200_000 / 32
+
+
+def test_only_probed_lists_are_read(spark):
+    x, v = vectors(spark, 300)
+    model = ivf.Quantiser(np.eye(16)[:8])
+    path = shared_path(spark, "lists")
+    ivf.write_postings(ivf.encode(v, model), path)
+    q = v.where("passage_id < 2").select(F.col("passage_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    found = ivf.search(q, ivf.read_postings(spark, path), model, 5, 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(list_id" in plan or "PartitionFilters: [list_id" in plan
+    assert {r.passage_id for r in found.where("rank = 1").collect()} == {0, 1}
+    # Queries with a probe number of their own
+    got = ivf.search(q.withColumn("nprobe", F.lit(8)), ivf.read_postings(spark, path), model, 5, 1)
+    assert sorted((r.query_id, r.passage_id) for r in got.collect()) == sorted((r.query_id, r.passage_id) for r in exact_topk(q, v, 5).collect())
+
+
+def test_build_from_files_and_indexed_search(spark, tmp_path):
+    """JSON lines to answers: ids by (file, line), byte positions that hold, results with files and positions, custom plug points."""
+    texts = {f"{n}.jsonl": [" ".join(f"{n}{i}w{(i * j) % 90}" for j in range(1, 20 + 60 * i)) for i in range(4)] for n in ("beta", "alpha")}
+    (tmp_path / "in").mkdir()
+    for name, lines in texts.items():
+        (tmp_path / "in" / name).write_text("\n\n".join(json.dumps({"text": t}) for t in lines) + "\n")
+    out = build.build_files(spark, str(tmp_path / "in"), shared_path(spark, "store"), n_lists=2, subs=None)
+    docs = out["documents"].orderBy("doc_id").collect()
+    assert [(r.file_name, r.text) for r in docs] == [(n, t) for n in sorted(texts) for t in texts[n]]
+    for r in docs:
+        raw = (tmp_path / "in" / r.file_name).read_bytes()[r.doc_position :]
+        assert json.loads(raw.split(b"\n")[0])["text"] == r.text
+    assert out["report"].agg(F.sum("violations")).first()[0] == 0
+    build.write_passage_files(out["passages"], str(tmp_path / "passages"))
+    for r in out["passages"].collect():
+        (file,) = (tmp_path / "passages" / f"file_id={r.file_id}").glob("part-*")
+        line = json.loads(file.read_bytes()[r.passage_position :].split(b"\n")[0])
+        assert (line["passage_id"], line["text"]) == (r.passage_id, r.text)
+    asked = search.accepted(spark.createDataFrame([(1, texts["beta.jsonl"][3][:400], 3, False), (2, "  ", 3, False), (3, "beta3w1 beta3w2", 2, True)], "query_id long, query string, k int, rerank boolean"))
+    find = search.indexed(out["postings"], out["quantiser"], 2, out["embeddings"], 4)
+    found = search.search_passages(search.with_vectors(asked), out["passages"], find)
+    rows = found.orderBy("query_id", "rank").collect()
+    assert [r.query_id for r in rows] == [1, 1, 1, 3, 3] and rows[0].doc_file == "beta.jsonl" and rows[0].passage_file == "beta_passages.jsonl" and rows[0].passage_position is not None
+    first = search.responses(asked, found).where("query_id = 1").first().results[0]
+    assert first.doc_file == "beta.jsonl" and first.doc_position == docs[7].doc_position
+    turned = search.search_passages(search.with_vectors(asked), out["passages"], find, scorer=lambda p: p.withColumn("rerank_score", -F.col("passage_id").cast("double")))
+    assert [r.passage_id for r in turned.where("query_id = 3").orderBy("rank").collect()] == sorted(r.passage_id for r in turned.where("query_id = 3").collect())
+    with pytest.raises(ValueError, match="missing"):
+        build.complete(out["passages"], out["embeddings"].where("file_id = 0"))
+
+
 def test_sample_quota(spark):
     _, v = vectors(spark, 100)
     got = ivf.sample(v.where("passage_id > 2"), 20).groupBy("file_id").count().collect()
