@@ -189,8 +189,8 @@ def mean_pool(spark, d):
 SELECT vec_id, i % 4 AS dim, round(avg(x), 6) AS mean FROM x WHERE (i // 4) % 3 <> 2 GROUP BY 1, 2""")
 def mean_pool_rows(spark, d):
     """The whole embedding as token vectors of four dimensions, every third one masked."""
-    parts = F.transform(F.sequence(F.lit(0), F.size("embedding") / 4 - 1), lambda i: F.slice("embedding", (i * 4 + 1).cast("int"), 4).cast("array<double>"))
-    masks = F.transform(F.sequence(F.lit(0), F.size("embedding") / 4 - 1), lambda i: (i % 3 != 2).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 4 - 1).cast("int")), lambda i: F.slice("embedding", (i * 4 + 1).cast("int"), 4).cast("array<double>"))
+    masks = F.transform(F.sequence(F.lit(0), (F.size("embedding") / 4 - 1).cast("int")), lambda i: (i % 3 != 2).cast("int"))
     rows = table(spark, d, "embeddings").select("vec_id", parts.alias("parts"), masks.alias("masks"))
     rows = rows.select("vec_id", F.posexplode(masked_mean(F.col("parts"), F.col("masks"), 4)).alias("dim", "mean"))
     return rows.select("vec_id", "dim", F.round("mean", 6).alias("mean"))
@@ -694,21 +694,39 @@ def stats(spark, d):
     return metrics.corpus_stats(_vectors(spark, d), table(spark, d, "documents").withColumn("file_id", F.col("source")))
 
 
-@register("""SELECT 'document ids dense' AS rule, (coalesce(max(doc_id) + 1, 0) + count(*) - 2 * count(DISTINCT doc_id))::BIGINT AS violations FROM documents
-UNION ALL SELECT 'passage ids dense', (coalesce(max(vec_id) + 1, 0) + count(*) - 2 * count(DISTINCT vec_id))::BIGINT FROM embeddings
-UNION ALL SELECT 'passages have documents', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
-UNION ALL SELECT 'passages have embeddings', 0 UNION ALL SELECT 'embeddings have passages', 0
-UNION ALL SELECT 'index holds each row once', 0 UNION ALL SELECT 'rows are in the index', 0""")
+@register("""WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 13 <> 0), v AS (SELECT vec_id AS i FROM embeddings),
+e AS (SELECT i FROM v WHERE i % 7 <> 0 UNION ALL SELECT i + 1000000000000 FROM v WHERE i % 17 = 0), x AS (SELECT i FROM v WHERE i % 5 <> 0 UNION ALL SELECT i FROM v WHERE i % 11 = 0)
+SELECT 'document ids dense' AS rule, (count(*) - count(DISTINCT doc_id) + coalesce(max(doc_id) + 1, 0) - count(DISTINCT doc_id))::BIGINT AS violations FROM d
+UNION ALL SELECT 'passage ids dense', (count(*) - count(DISTINCT i) + coalesce(max(i) + 1, 0) - count(DISTINCT i))::BIGINT FROM v
+UNION ALL SELECT 'passages have documents', count(*) FROM v WHERE i NOT IN (SELECT doc_id FROM d)
+UNION ALL SELECT 'passages have embeddings', count(*) FROM v WHERE i NOT IN (SELECT i FROM e)
+UNION ALL SELECT 'embeddings have passages', count(*) FROM e WHERE i NOT IN (SELECT i FROM v)
+UNION ALL SELECT 'index holds each row once', count(*) FROM (SELECT i FROM x GROUP BY i HAVING count(*) > 1)
+UNION ALL SELECT 'rows are in the index', count(*) FROM e WHERE i NOT IN (SELECT i FROM x)""")
 def verify_report(spark, d):
+    """Every rule on tables that break it: documents and embeddings lost, embeddings of nothing, index entries lost and repeated."""
     v = _vectors(spark, d)
-    rows = v.withColumn("doc_id", F.col("passage_id"))
-    return verify.verify(table(spark, d, "documents"), rows, v, ivf.encode(v, ivf.Quantiser(_seeds(v))))
+    q, i = ivf.Quantiser(_seeds(v)), F.col("passage_id")
+    extra = v.where(i % 17 == 0).withColumn("passage_id", i + 1000000000000)
+    posts = ivf.encode(v.where(i % 5 != 0), q).unionByName(ivf.encode(v.where(i % 11 == 0), q))
+    return verify.verify(table(spark, d, "documents").where("doc_id % 13 <> 0"), v.withColumn("doc_id", i), v.where(i % 7 != 0).unionByName(extra), posts)
 
 
-@register("SELECT count(*) AS checked, 0::BIGINT AS missing, 0::BIGINT AS different FROM documents")
+@register("""SELECT count(*) AS checked, count(*) FILTER (doc_id % 9 = 0) AS missing, count(*) FILTER (doc_id % 9 <> 0 AND doc_id % 10 = 0) AS different FROM documents""")
 def round_trip(spark, d):
+    """Stored texts, some lost and some changed, against their source."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return verify.round_trip(docs, written(docs, "documents"))
+    kept = docs.where("doc_id % 9 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("x"))).otherwise(F.col("text")))
+    return verify.round_trip(docs, written(kept, "documents"))
+
+
+@register(_CHUNKS.format(size=128, least=64) + """, n AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents)
+SELECT row_number() OVER (ORDER BY new_id, chunk_index) - 1 AS passage_id, new_id AS doc_id, chunk_index, source || '_passages.jsonl' AS passage_file, md5(array_to_string(part, ' ')) AS text_md5 FROM p JOIN n USING (doc_id)""".replace("n AS (SELECT doc_id, row", "o AS (SELECT doc_id, row").replace("JOIN n USING", "JOIN o USING"))
+def corpus_build_passages(spark, d):
+    """Passages of a build whose documents are numbered by file and line, with their files and texts."""
+    texts = table(spark, d, "documents").select(F.col("source").alias("file_name"), "text", F.col("doc_id").alias("line"))
+    out = corpus_build.build(texts, shared_path(spark, "store"), n_lists=16, subs=None, order=["line"])
+    return out["passages"].select("passage_id", "doc_id", "chunk_index", "passage_file", F.md5("text").alias("text_md5"))
 
 
 @register(_CHUNKS.format(size=128, least=64) + """SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'passages', count(*) FROM p
