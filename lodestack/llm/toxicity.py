@@ -7,9 +7,10 @@ learned from the labels; it leaves no word out (`scaled=False` gives plain TF-ID
 angles to every example: they would shrink all of a text's cosines alike and are left out of its norm.
 
 Examples that share their strongest common word stand together and are cut into blocks of 64. The index has for each word its
-postings, block by block, and each block's largest weight. A text's bound for a block is the sum of its words' largest
-weights there; the blocks with the highest bounds are scored first, and then all others whose bound reaches the k-th best so
-far, so the k neighbours are exact. They vote by cosine, shrunk to the base rate, and a logistic curve fitted to
+postings, block by block, and each block's largest weight. Words that a sixteenth of the examples have would have postings in
+every block; they are rows of a matrix instead, and their part of all cosines is one product for a batch of texts. A text's
+bound for a block is the largest such part in it and the sum of its other words' largest weights there; the blocks with the
+highest bounds are scored first, and then all others whose bound reaches the k-th best so far, so the k neighbours are exact. They vote by cosine, shrunk to the base rate, and a logistic curve fitted to
 leave-one-out votes makes the votes probabilities. Neighbours are returned as evidence.
 
 Documents are read where they lie, once to count words and once to be scored; nothing is shuffled but one count per word
@@ -22,10 +23,13 @@ with one kind of label only, every score is the base rate (0 without labels); ot
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +39,12 @@ from pyspark.sql import functions as F
 from .common import bucket, written
 
 SEED, MOST_EXAMPLES, NEIGHBOURS, BLOCK = 42, 4000, 25, 64
+#: Texts that are scored at once.
+BATCH = 64
 #: Weight of the base rate among the votes, in neighbours at cosine 1.
 SHRINK = 0.5
-#: Texts whose scores a task keeps for further copies of them, at most.
-KEPT = 20_000
+#: Scores that a task keeps for further copies of a text, about.
+KEPT = 100_000
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -92,27 +98,56 @@ class BlockMaxIndex:
         at = np.repeat(place, np.array(sizes, np.int64)) if self.n else np.zeros(0, np.int64)
         order = np.lexsort((at, words))
         words, self.at, self.weights = words[order], at[order], weights[order]
+        self.frequent = np.flatnonzero(np.bincount(words, minlength=n_words) * 16 >= max(self.n, 16))
+        self.word_ends = np.searchsorted(words, np.arange(n_words + 1))
         new = np.flatnonzero((np.diff(words, prepend=-1) != 0) | (np.diff(self.at // block, prepend=-1) != 0))
         self.run_starts, self.run_block = np.append(new, len(words)), self.at[new] // block
         self.run_most = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
         self.word_runs = np.searchsorted(words[new], np.arange(n_words + 1))
 
-    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The k largest positive cosines and their examples, least example first among equals."""
+    @functools.cached_property
+    def matrix(self) -> np.ndarray:
+        """Weights of the frequent words, a row for each; made from the postings where it is used, since it is larger than they are."""
+        out = np.zeros((len(self.frequent), self.n_blocks * self.block))
+        for row, w in enumerate(self.frequent):
+            of = slice(self.word_ends[w], self.word_ends[w + 1])
+            out[row, self.at[of]] = self.weights[of]
+        return out
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """For each text, as (words, weights), the k largest positive cosines and their examples, least example first among equals."""
+        if not self.n:
+            return [[] for _ in texts]
+        asked = np.zeros((len(texts), len(self.frequent)))
+        rest = []
+        for i, (words, x) in enumerate(texts):
+            row = np.searchsorted(self.frequent, words)
+            often = np.zeros(len(words), bool)
+            inside = row < len(self.frequent)
+            often[inside] = self.frequent[row[inside]] == words[inside]
+            asked[i, row[often]] = x[often]
+            rest.append((words[~often], x[~often]))
+        return [self._best(score, words, x, k) for score, (words, x) in zip(asked @ self.matrix, rest)]
+
+    def _best(self, score: np.ndarray, words: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """`score` has the frequent words' part, and gets the others' in the blocks that can matter."""
         sizes = self.word_runs[words + 1] - self.word_runs[words]
         runs, x = _spread(self.word_runs[words], sizes), np.repeat(weights, sizes)
-        bound = np.bincount(self.run_block[runs], x * self.run_most[runs], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        first = -(-2 * k // self.block)
-        score = np.zeros(self.n)
-        take = np.zeros(self.n_blocks, bool)
-        take[order[:first]] = True
-        self._score(score, take, runs, x)
-        kth = np.partition(score, -k)[-k] if self.n >= k else 0.0
-        rest = (bound > 0) & (bound + 1e-9 >= kth) & ~take
-        if rest.any():
-            self._score(score, rest, runs, x)
-        hit = np.flatnonzero((score > 0) & (score + 1e-9 >= (np.partition(score, -k)[-k] if self.n >= k else 0.0)))
+        bound = score.reshape(-1, self.block).max(axis=1) + np.bincount(self.run_block[runs], x * self.run_most[runs], self.n_blocks)
+        first = np.zeros(self.n_blocks, bool)
+        first[np.argsort(-bound, kind="stable")[:8]] = True
+        self._score(score, first, runs, x)
+        k = min(k, len(score))
+        others = ~first & (bound > 0) & (bound + 1e-9 >= np.partition(score, -k)[-k])
+        if others.any():
+            self._score(score, others, runs, x)
+        # Where a block was passed over, its parts are below the k-th best, whatever they lack.
+        score = np.where(np.repeat(first | others, self.block), score, 0.0)[: self.n]
+        k = min(k, self.n)
+        hit = np.flatnonzero((score > 0) & (score + 1e-9 >= np.partition(score, -k)[-k]))
         score, names = np.round(score[hit], 12), self.names[hit]
         best = np.lexsort((names, -score))[:k]
         return list(zip(score[best].tolist(), names[best].tolist()))
@@ -122,7 +157,7 @@ class BlockMaxIndex:
         runs, x = runs[of], x[of]
         sizes = self.run_starts[runs + 1] - self.run_starts[runs]
         i = _spread(self.run_starts[runs], sizes)
-        score += np.bincount(self.at[i], self.weights[i] * np.repeat(x, sizes), self.n)
+        score += np.bincount(self.at[i], self.weights[i] * np.repeat(x, sizes), len(score))
 
 
 class Votes:
@@ -137,18 +172,17 @@ class Votes:
         vectors = [self._weighed(*c) for c in counted]
         self.index = BlockMaxIndex(vectors, len(vocabulary))
         if 0 < self.toxic.sum() < len(examples):
-            near: dict[bytes, list] = {}  # copies have the same neighbours, but for themselves
-            votes = []
-            for i, (w, x) in enumerate(vectors):
-                key = w.tobytes() + x.tobytes()
-                if key not in near:
-                    near[key] = self.index.nearest(w, x, k + 1)
-                votes.append(self.vote([r for r in near[key] if r[1] != i][:k]))
-            self.line = self._calibrated(votes)
+            near = [r for i in range(0, len(vectors), BATCH) for r in self.index.nearest(vectors[i : i + BATCH], k + 1)]
+            self.line = self._calibrated([self.vote([r for r in rows if r[1] != i][:k]) for i, rows in enumerate(near)])
 
     def _counted(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        pairs = sorted((i, n) for w, n in counts.items() if (i := self.ids.get(w)) is not None)
-        return np.array([i for i, _ in pairs], np.int64), np.array([n for _, n in pairs], float)
+        return self._numbered([w for w, n in counts.items() for _ in range(n)])
+
+    def _numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of the known words of a text, in order of number."""
+        at = np.array(list(map(self.ids.get, words, repeat(-1))), np.int64)
+        at, n = np.unique(at[at >= 0], return_counts=True)
+        return at, n.astype(float)
 
     def _weighed(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * self.weight[words]
@@ -177,12 +211,15 @@ class Votes:
                 break
         return float(max(line[0], 1e-3)), float(line[1])
 
-    def score(self, words: list[str]) -> tuple[float, list[dict]]:
+    def scores(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        """Each text's score and its nearest examples."""
         if not self.line:
-            return float(self.rate), []
-        near = self.index.nearest(*self.vector(Counter(words)), self.k)
-        z = self.line[0] * self.vote(near) + self.line[1]
-        return 1 / (1 + math.exp(-min(max(z, -30), 30))), [{"doc_id": self.names[i], "cosine": s, "toxic": int(self.toxic[i])} for s, i in near[:3]]
+            return [(float(self.rate), [])] * len(texts)
+        out = []
+        for near in self.index.nearest([self._weighed(*self._numbered(text_words(t))) for t in texts], self.k):
+            z = self.line[0] * self.vote(near) + self.line[1]
+            out.append((1 / (1 + math.exp(-min(max(z, -30), 30))), [{"doc_id": self.names[i], "cosine": s, "toxic": int(self.toxic[i])} for s, i in near[:3]]))
+        return out
 
 
 def document_counts(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
@@ -192,7 +229,8 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> np.ndarray:
         ids, n = {w: i for i, w in enumerate(vocabulary)}, np.zeros(len(vocabulary), np.int64)
         for b in batches:
             for t in b.column(0):
-                n[[i for w in set(text_words(t.as_py())) if (i := ids.get(w)) is not None]] += 1
+                at = np.array(list(map(ids.get, set(text_words(t.as_py())), repeat(-1))), np.int64)
+                n[at[at >= 0]] += 1
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["word", "n"])
 
@@ -226,17 +264,20 @@ def scored(docs: DataFrame, labels: DataFrame, most_examples: int = MOST_EXAMPLE
     votes = learned(docs, labels, most_examples, k, scaled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple] = {}  # by a text's hash, told from others by the text itself
+        kept: dict[bytes, tuple] = {}  # by a text's digest: copies are scored once
         for b in batches:
-            out = []
+            keys, new = [], {}
             for t in b.column(1):
                 text = t.as_py() or ""
-                at = hash(text)
-                if at not in kept or kept[at][0] != text:
-                    if len(kept) >= KEPT:
-                        kept.clear()
-                    kept[at] = (text if len(text) <= 4096 else None, votes.score(text_words(text)))
-                out.append(kept[at][1])
+                keys.append(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest())
+                if keys[-1] not in kept:
+                    new[keys[-1]] = text
+            if len(kept) >= KEPT:
+                kept = {key: kept[key] for key in keys if key in kept}
+            todo = list(new)
+            for i in range(0, len(todo), BATCH):
+                kept.update(zip(todo[i : i + BATCH], votes.scores([new[key] for key in todo[i : i + BATCH]])))
+            out = [kept[key] for key in keys]
             evidence = pa.array([e for _, e in out], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in out], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
