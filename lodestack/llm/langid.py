@@ -27,6 +27,8 @@ WINDOW, WIDTHS = 128, (2, 3, 4)
 STRIDE = WINDOW - max(WIDTHS) + 1
 SEED, DOCS_PER_LANG, WINDOWS_PER_DOC = 42, 1500, 4
 NOBODY = "und"
+#: Windows that are scored at once, of one document or of many.
+BATCH = 4096
 
 
 def windows(data: bytes) -> np.ndarray:
@@ -156,21 +158,38 @@ def predict(docs: DataFrame, model: ByteCNN | None, carry: tuple[str, ...] = ("d
     picked = docs.select(*carry, F.col(text).alias("_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
-    def of(t: str | None, tables) -> tuple[str, float]:
-        if model is None or t is None or not any(map(str.isalpha, t)):
-            return NOBODY, 0.0
-        x, total = windows(t.encode("utf-8", "replace")), np.zeros(len(model.langs))
-        for i in range(0, len(x), 4096):
-            total += model.log_probabilities(x[i : i + 4096], tables).sum(axis=0)
-        z = np.exp(total / len(x) - (total / len(x)).max())
-        best = int(z.argmax())
-        return model.langs[best], float(z[best] / z.sum())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables() if model else None  # made in the task: 2 MB that need not be sent
+        langs = model.langs if model else [NOBODY]
         for b in batches:
-            found = [of(t.as_py(), tables) for t in b.column(b.num_columns - 1)]
-            new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            total, n, held, held_n = np.zeros((b.num_rows, len(langs))), np.zeros(b.num_rows), [], 0
+
+            def flush(total=total, held=held) -> None:
+                """Adds the log probabilities of the windows held, of whichever documents, to their documents' sums."""
+                if held:
+                    p = model.log_probabilities(np.concatenate([x for _, x in held]), tables)
+                    starts = np.cumsum([0, *(len(x) for _, x in held[:-1])])
+                    np.add.at(total, [i for i, _ in held], np.add.reduceat(p, starts, axis=0))
+                    held.clear()
+
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                t = t.as_py()
+                if model is None or t is None or not any(map(str.isalpha, t)):
+                    continue
+                x = windows(t.encode("utf-8", "replace"))
+                n[i] = len(x)
+                for j in range(0, len(x), BATCH):
+                    held.append((i, x[j : j + BATCH]))
+                    held_n += len(held[-1][1])
+                    if held_n >= BATCH:
+                        flush()
+                        held_n = 0
+            flush()
+            mean = total / np.maximum(n, 1)[:, None]
+            z = np.exp(mean - mean.max(axis=1, keepdims=True))
+            best = z.argmax(axis=1)
+            score = np.where(n > 0, z[np.arange(len(z)), best] / z.sum(axis=1), 0.0)
+            new = [pa.array([langs[k] if m else NOBODY for k, m in zip(best, n)], pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns - 1)), *new], [*b.schema.names[:-1], "lang_pred", "score"])
 
     return picked.mapInArrow(run, f"{kinds}, lang_pred string, score double")

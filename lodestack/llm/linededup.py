@@ -244,7 +244,7 @@ def deduplicated(docs: DataFrame, shortest: int = 10, least: int = 2, counts: bo
     A text all of whose lines go becomes empty.
     """
     hashed = written(hashed_lines(docs.select("doc_id", "text"), shortest), "lines")
-    n = max(1, -(-(hashed.agg(F.sum(F.size("h"))).first()[0] or 0) // shard_lines))
+    n = max(2 * table_partitions(docs.sparkSession), -(-(hashed.agg(F.sum(F.size("h"))).first()[0] or 0) // shard_lines))
     gone = probe(hashed, build_index(hashed, n), n, least, task_lines).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("place")).alias("_gone")).withColumnsRenamed({"doc_id": "_id", "row": "_of"})
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = rows.join(gone, (F.col("_row.doc_id") == F.col("_id")) & (_row(F.col("_row.text")) == F.col("_of")), "left")

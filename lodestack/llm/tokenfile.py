@@ -35,6 +35,8 @@ from .tokens import encoded, vocabulary
 MAGIC = b"IDZ1"
 SEED, SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 42, 1000, 16_384, 32_768
 BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
+#: Tokens of one block that are held at a time when it is read.
+READ_TOKENS = 1 << 20
 #: Words that a worker keeps in front of the tokenizer (100 MB).
 KEPT_WORDS = 500_000
 _BLOCKS = T.StructType([T.StructField("part", T.LongType()), T.StructField("first_token", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
@@ -139,10 +141,15 @@ def read_tokens(spark: SparkSession, at: str, columns: str = "ids array<long>")
         for b in batches:
             for i in range(b.num_rows):
                 block, start = Block(b.column(2)[i].as_py(), dictionary), b.column(0)[i].as_py()
-                ids = [block.ids(k) for k in range(block.n)]
-                starts = start + np.concatenate([[0], np.cumsum(block.tokens.astype(np.int64))[:-1]])
-                last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest_only else pa.array([array("I", x).tolist() for x in ids], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(1)[i].values, pa.array(starts.astype(np.int64)), pa.array(block.tokens.astype(np.int64)), last], ["doc_id", "start", "n_tokens", columns.split()[0]])
+                tokens = block.tokens.astype(np.int64)
+                starts = start + np.concatenate([[0], np.cumsum(tokens)[:-1]])
+                k = 0
+                while k < block.n:  # frames of one token or many: as many at a time as READ_TOKENS allows, and one at least
+                    to = max(k + 1, int(np.searchsorted(np.cumsum(tokens[k:]), READ_TOKENS, "right")) + k)
+                    ids = [block.ids(j) for j in range(k, to)]
+                    last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest_only else pa.array([array("I", x).tolist() for x in ids], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([b.column(1)[i].values[k:to], pa.array(starts[k:to]), pa.array(tokens[k:to]), last], ["doc_id", "start", "n_tokens", columns.split()[0]])
+                    k = to
 
     placed = blocks.join(table, "part").select((F.col("before") + F.col("first_token")).alias("start"), "doc_ids", "data")
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {columns}")

@@ -410,6 +410,12 @@ def test_token_files(spark, docs, folder):
     to = shared_path(spark, "tokens")
     tokenfile.write_tokens(docs, to, sample_docs=1000)
     assert len(tokenfile.dictionary_of(spark, to)) <= tokenfile.DICTIONARY_BYTES
+    whole = {r.doc_id: (r.start, r.n_tokens, r.ids) for r in tokenfile.read_tokens(spark, to).collect()}
+    tokenfile.READ_TOKENS, most = 5, tokenfile.READ_TOKENS
+    try:
+        assert {r.doc_id: (r.start, r.n_tokens, r.ids) for r in tokenfile.read_tokens(spark, to).collect()} == whole
+    finally:
+        tokenfile.READ_TOKENS = most
     few = {r.doc_id: r.ids for r in tokenfile.lookup(spark, to, [3, 101, 5555]).collect()}
     assert set(few) == {3, 101} and np.array(few[3], "<u4").tobytes() == e._whole("a") + tokens._END
     block = tokenfile.pack_block([], [], hashlib.sha256(b"").digest())
@@ -598,9 +604,9 @@ def test_toxicity_neighbours_are_exact(scaled):
     for c, q in [*((e[2], v) for e, v in zip(examples[:60], vectors)), (Counter(["w1", "new", "new"]), vector(Counter(["w1"])))]:
         cosine = [sum(x * v.get(w, 0.0) for w, x in q.items()) for v in vectors]
         want = sorted(((round(s, 11), i) for i, s in enumerate(cosine) if s > 1e-12), key=lambda r: (-r[0], r[1]))[:25]
-        got = votes.index.nearest(*votes.vector(c), 25)
+        (got,) = votes.index.nearest([votes.vector(c)], 25)
         assert [i for _, i in got] == [i for _, i in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-10)
-    assert votes.index.nearest(*votes.vector(Counter(["unheard"])), 25) == []
+    assert votes.index.nearest([votes.vector(Counter(["unheard"]))], 25) == [[]] and len(votes.index.frequent) > 3
 
 
 def test_toxicity(spark):
@@ -729,3 +735,60 @@ def test_pipeline(spark, folder, docs):
         if name == "simhash near-dedup":
             assert 99 not in ids
     assert c.pack(spark, kept, folder).count() >= kept.count()
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The whole run on a small table against plain Python, stage by stage."""
+    import corpus_pipeline as c
+    import xxhash
+
+    rng = np.random.default_rng(8)
+    rows, shared = [], "This passage of a good many words stands in several of these documents and should stay in the first"
+    for i in range(60):
+        lines = [" ".join(f"the w{rng.integers(0, 400)} of v{rng.integers(0, 400)}" for _ in range(int(rng.integers(4, 9)))) for _ in range(int(rng.integers(3, 9)))]
+        if i % 4 == 0:
+            lines.insert(1, shared + " " * (i % 3))
+        rows.append((i, "\n".join(lines), ("x", "y", None, "z")[i % 4]))
+    rows += [(100, rows[7][1].replace("\n", " \n "), "x"), (101, rows[7][1], "y"), (102, "short one", "x"), (103, None, "y"), (104, "### $$$ " * 60, "z"), (105, "again and again " * 40, "z")]
+    spark.createDataFrame([(i, t, "en", s, None) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def good(t):
+        w, lines = words(t), [x for x in (t or "").split("\n") if words(x)]
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        stops = {v for x in quality.STOP_WORDS for v in (x, x.capitalize())}
+        return len(w) >= 50 and 2 * len(covered) <= len(w) and len(re.findall("[#*$%&|<>]", t)) <= 0.1 * len(w) and 2 <= sum(map(len, w)) / len(w) <= 20 and sum(x in stops for x in w) >= 0.01 * len(w) and 2 * (len(lines) - len(set(lines))) <= len(lines)
+
+    kept = {i: (t, s) for i, t, s in rows if good(t)}
+    assert set(kept) == {*range(60), 100, 101} - {i for i in range(60) if len(words(rows[i][1])) < 50}
+    lines = _deduped([(i, t) for i, (t, _) in kept.items()])
+    kept = {i: ("\n".join(x for x, k in lines[i] if k), s) for i, (_, s) in kept.items()}
+
+    def fp(t):
+        w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in ([" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else []))]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    first = _components({i: fp(t) for i, (t, _) in sorted(kept.items())})
+    kept = {i: x for i, x in kept.items() if first[i] == i}
+    e = tokens.Encoder(tokens.vocabulary("word_bpe_49k.json"), True)
+    ids = {i: e._whole(t) + tokens._END for i, (t, _) in kept.items()}
+    found = c.run(spark, str(tmp_path)).collect()
+    copies, pieces, sequences = Counter(r.doc_id for r in found if r.start == 0), defaultdict(Counter), defaultdict(list)
+    assert set(copies) <= set(kept) and all(n <= 2 for n in copies.values())
+    for r in found:
+        assert r.doc_tokens == len(ids[r.doc_id]) // 4 and r.ids_crc32 == zlib.crc32(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
+        pieces[r.doc_id][r.start, r.length] += 1
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for i, parts in pieces.items():
+        assert set(parts.values()) == {copies[i]} and sum(n for _, n in parts) == len(ids[i]) // 4
+    for parts in sequences.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(n for _, n in parts[:j]) for j in range(len(parts))] and sum(n for _, n in parts) <= 4096
+    size, by = {i: len(words(t)) for i, (t, _) in kept.items()}, defaultdict(list)
+    for i, (_, s) in kept.items():
+        by[s].append(i)
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    targets = mixing.capped_shares([sum(size[i] for i in by[s]) for s in order], [(3, 1, 2)[n % 3] for n in range(len(order))], 1.5 * sum(size.values()))
+    for s, t in zip(order, targets):
+        assert abs(sum(size[i] * copies[i] for i in by[s]) - t) <= max(size[i] for i in by[s])
