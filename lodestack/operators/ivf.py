@@ -4,13 +4,14 @@ Trained tables (centroids, codebooks) are bounded by their settings, not by the
 from k-means rounds over the sample where it lies: a task adds up its rows by cluster, Spark adds up the tasks' sums, and
 one row per cluster reaches the driver.
 
-Postings are blocks: (list_id, domain, passage_ids, codes), at most `BLOCK` entries a row, stored in one folder per list.
+Postings are blocks: (list_id, domain, passage_ids, codes), at most `BLOCK` entries a row, stored in one folder per batch and list.
 A search reads the folders of probed lists alone, and a list's queries meet its blocks in batches, one set of matrix
 operations each. A list that is much longer than others is just more rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -247,13 +248,17 @@ def encode(embeddings: DataFrame, q: Quantiser, domain: str | None = None, key:
     return spread.mapInArrow(pack, POSTINGS)
 
 
-def write_postings(postings: DataFrame, path: str, mode: str = "error") -> None:
-    """One folder per list, so that a search reads the lists that it probes."""
-    postings.repartition("list_id", F.pmod(F.xxhash64("passage_ids"), F.lit(4))).write.mode(mode).partitionBy("list_id").parquet(path)
+def write_postings(postings: DataFrame, path: str, batch: str = "build") -> None:
+    """Adds a batch to the store at `path`, in the place of one of that name: a folder per batch and, in it, per list.
+
+    A search reads the lists that it probes. Many small batches are made one by reading them and writing a new store.
+    """
+    rows = postings.withColumn("batch", F.lit(batch)).repartition("list_id", F.pmod(F.xxhash64("passage_ids"), F.lit(4)))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "list_id").parquet(path)
 
 
 def read_postings(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POSTINGS).parquet(path)
+    return spark.read.schema(POSTINGS).parquet(path).select("list_id", "domain", "passage_ids", "codes")
 
 
 def append(postings: DataFrame, embeddings: DataFrame, q: Quantiser, path: str, **how) -> None:
@@ -265,7 +270,7 @@ def append(postings: DataFrame, embeddings: DataFrame, q: Quantiser, path: str,
     placed = written(embeddings.join(lists, "passage_id"), "placed")
     touched = [r["_list"] for r in placed.select("_list").distinct().collect()]  # at most the number of lists
     have = postings.where(F.col("list_id").isin(touched)).select(F.explode("passage_ids").alias("passage_id"))
-    write_postings(encode(placed.join(have, "passage_id", "left_anti").drop("_list"), q, **how), path, "append")
+    write_postings(encode(placed.join(have, "passage_id", "left_anti").drop("_list"), q, **how), path, uuid.uuid4().hex)
     discard(placed)
 
 

@@ -11,14 +11,13 @@ from ..operators.embed import embed
 from ..operators.ids import dense_ids, line_positions, running_sums
 from ..operators.passages import passage_table
 from ..operators.verify import verify
-from ..sources.catalog import file_catalogue, json_line, missing_files, table_exists, text_of
+from ..sources.catalog import delete, file_catalogue, json_line, missing_files, table_exists, text_of
 
 
-def _stage(spark: SparkSession, path: str, rebuild: bool, make, by: str | None = None) -> DataFrame:
-    """Reuses the table that is there, or writes it, one folder per value of `by`."""
+def _stage(spark: SparkSession, path: str, rebuild: bool, make) -> DataFrame:
+    """Reuses the table that is there, or writes it."""
     if rebuild or not table_exists(spark, path):
-        out = make().write.mode("overwrite")
-        (out.partitionBy(by) if by else out).parquet(path)
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -74,11 +73,12 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
         rows = ivf.sample(complete(cuts, vectors), sample_size)
         path = f"{store}/index"
         for part in ("centroids", "codebooks", "index_meta"):
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            delete(spark, f"{path}/{part}")
         ivf.save(ivf.train(rows, n_lists, subs, bits), spark, path, encoder_name)
     q = ivf.load(spark, f"{store}/index", encoder_name)
-    _stage(spark, f"{store}/postings", again, lambda: ivf.encode(vectors, q, "domain"), "list_id")
+    if again or not table_exists(spark, f"{store}/postings"):
+        delete(spark, f"{store}/postings")
+        ivf.write_postings(ivf.encode(vectors, q, "domain"), f"{store}/postings")
     postings = ivf.read_postings(spark, f"{store}/postings")
     return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings)}
 

@@ -93,6 +93,11 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
     """The table at `path`, made and written first if it is not there."""
     if not table_exists(spark, path):

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,8 +18,7 @@ def maintain(spark: SparkSession, embeddings: str, schema: StructType | str, q:
     """
 
     def add(batch: DataFrame, number: int) -> None:
-        rows = ivf.encode(batch, q, domain=domain).withColumn("batch", F.lit(number))
-        rows.repartition("list_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "list_id").parquet(postings)
+        ivf.write_postings(ivf.encode(batch, q, domain=domain), postings, f"stream-{number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(embeddings)
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

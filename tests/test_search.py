@@ -269,7 +269,9 @@ def test_stream_equals_one_build(spark, tmp_path):
     for _ in range(2):
         maintain(spark, str(tmp_path / "in"), v.schema, model, str(tmp_path / "posts"), str(tmp_path / "check"), "domain", 2).awaitTermination()
     flat = lambda df: sorted(df.select("list_id", "domain", F.explode("passage_ids")).collect())
-    assert flat(spark.read.parquet(str(tmp_path / "posts"))) == flat(ivf.encode(v, model, "domain"))
+    assert flat(ivf.read_postings(spark, str(tmp_path / "posts"))) == flat(ivf.encode(v, model, "domain"))
+    plan = ivf.read_postings(spark, str(tmp_path / "posts")).where("list_id in (1, 2)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [list_id" in plan.replace("isnotnull(list_id#", "list_id#") or "PartitionFilters: [isnotnull(list_id" in plan
 
 
 def test_requests(spark):
@@ -318,6 +320,10 @@ def test_build_reuses_and_verifies(spark):
     assert out["report"].agg(F.sum("violations")).first()[0] == 0
     again = build.build(texts.limit(1), store, n_lists=4, subs=4, bits=4, dim=16)
     assert again["documents"].count() == 61
+    fewer = build.build(texts.limit(1), store, n_lists=2, subs=4, bits=4, dim=16, retrain=True)
+    assert len(fewer["quantiser"].centroids) == 2 and fewer["documents"].count() == 61 and fewer["report"].agg(F.sum("violations")).first()[0] == 0
+    anew = build.build(texts.where("line < 7"), store, n_lists=2, subs=4, bits=4, dim=16, order=["line"], rebuild=True)
+    assert anew["documents"].count() == 7 and anew["report"].agg(F.sum("violations")).first()[0] == 0
 
 
 def test_build_embeds_whole_passages(spark):
