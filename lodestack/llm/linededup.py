@@ -99,8 +99,9 @@ def _row(text: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, shortest: int = 10) -> DataFrame:
     """doc_id (long) and row, with place, h (hash) and f (fingerprint) of each line that is long enough, as arrays. Rows without doc_id are left out."""
+    # No filter on the arrays: Spark would make them once more below it.
     lines = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), _row(F.col("text")).alias("row"), F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(i.alias("i"), line_key(x).alias("key"))).alias("lines"))
-    lines = lines.select("doc_id", "row", F.filter("lines", lambda x: F.length(x["key"]) >= shortest).alias("lines")).where(F.size("lines") > 0)
+    lines = lines.select("doc_id", "row", F.filter("lines", lambda x: F.length(x["key"]) >= shortest).alias("lines"))
     return lines.select("doc_id", "row", F.transform("lines", lambda x: x["i"]).alias("place"), F.transform("lines", lambda x: F.xxhash64(x["key"])).alias("h"), F.transform("lines", lambda x: F.hash(x["key"])).alias("f"))
 
 
