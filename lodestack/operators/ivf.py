@@ -62,18 +62,21 @@ class Quantiser:
 
 
 def sample(embeddings: DataFrame, size: int, file: str = "file_id", key: str = "passage_id", seed: int = SEED) -> DataFrame:
-    """max(1, size // files) rows of each file by hash, no more than it has; then at most `size` in all.
+    """max(1, size // files) rows of each file by hash, no more than it has; of more files than `size`, that many by hash.
 
-    A first cut by hash at twice a file's share keeps a file's rows from meeting in one task; a file where the cut
-    leaves too few (which chance makes rare) is ranked whole.
+    So there are at most `size` rows in all, and they stay where they lie. A first cut by hash at twice a file's share keeps a
+    file's rows from meeting in one task; a file where the cut leaves too few (which chance makes rare) gives fewer.
     """
     counts = embeddings.groupBy(file).agg(F.count("*").alias("_n"))
-    quota = max(1, size // max(1, counts.count()))
+    files = counts.count()
+    if files > size:
+        counts = counts.orderBy(F.xxhash64(file, F.lit(seed)), file).limit(size)
+    quota = max(1, size // max(1, files))
     mark = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(2.0 * quota + 50) / F.col("_n"))
     near = embeddings.withColumn("_h", mark).join(counts, file).where(F.col("_h") < share * float(1 << 40))
     picked = near.withColumn("_r", F.row_number().over(Window.partitionBy(file).orderBy("_h", key))).where(F.col("_r") <= quota)
-    return picked.orderBy("_h", key).limit(size).drop("_h", "_r", "_n")
+    return picked.drop("_h", "_r", "_n")
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -131,16 +134,18 @@ def _fine_round(rows: DataFrame, q: Quantiser) -> np.ndarray:
 
 
 def _first_rows(sampled: DataFrame, vector: str, key: str, n: int, seed: int) -> np.ndarray:
-    """At most n distinct vectors, the first ones by hashed key."""
-    picked = sampled.select(F.xxhash64(key, F.lit(seed)).alias("h"), key, F.col(vector).cast("array<float>").alias("v")).groupBy("v").agg(F.min(F.struct("h", key)).alias("first"))
-    rows = picked.orderBy("first").limit(n).select("v").toArrow()
-    return as_matrix(rows.column("v").combine_chunks()).astype(np.float64) if rows.num_rows else np.zeros((0, 1))
+    """At most n distinct vectors, the first ones by hashed key among 4 n rows."""
+    rows = sampled.select(F.xxhash64(key, F.lit(seed)).alias("h"), key, F.col(vector).alias("v")).orderBy("h", key).limit(4 * n).select("v").toArrow()
+    if not rows.num_rows:
+        return np.zeros((0, 1))
+    x = as_matrix(rows.column("v").combine_chunks()).astype(np.float64)
+    return x[np.sort(np.unique(x, axis=0, return_index=True)[1])[:n]]
 
 
 def train(sampled: DataFrame, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, rounds: int = 10, vector: str = "embedding", key: str = "passage_id", seed: int = SEED) -> Quantiser:
     """Spherical k-means for the lists, then k-means of the residuals in all sub-spaces at once, in rounds over the sample.
 
-    The driver holds centroids and codebooks; of the sample, no more than the `n_lists` and 2^bits rows that they start from.
+    The driver holds centroids and codebooks; of the sample, no more than the rows that they start from, four times as many.
     Fewer distinct vectors than lists give fewer lists.
     """
     rows = written(sampled.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias(vector)), "sample")

@@ -260,6 +260,10 @@ def test_sample_quota(spark):
     _, v = vectors(spark, 100)
     got = ivf.sample(v.where("passage_id > 2"), 20).groupBy("file_id").count().collect()
     assert {r["count"] for r in got} == {4} and len(got) == 5
+    few = ivf.sample(v, 3)
+    assert few.count() == 3 and few.select("file_id").distinct().count() == 3
+    plan = ivf.sample(v, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "SinglePartition" not in plan
 
 
 def test_stream_equals_one_build(spark, tmp_path):
