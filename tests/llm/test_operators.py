@@ -328,7 +328,7 @@ def _ordinary(n, seed):
     for i in range(n):
         secret = "".join(rng.choice(list("0123456789abcdef"), 24))
         parts = [
-            f"write to jo{i}.d@mail{i % 5}.example.com", f"server {rng.integers(1, 255)}.{rng.integers(0, 255)}.3.{i % 200}", f"card {_card_number(rng)}", f"call +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}",
+            f"write to jo{i}.d@mail{i % 5}.example.com", f"server {rng.integers(1, 255)}.{rng.integers(0, 255)}.3.{i % 200}", f"{rng.choice(['card', 'by', 'no'])} {_card_number(rng)}", f"{rng.choice(['call', 'by', 'no'])} +1 ({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}",
             f"token = {secret}", f"order 20{i % 90 + 10}-0{i % 9 + 1}-11 12", f"part {rng.integers(10**7, 10**9)}", "look (at) this. Then go",
         ]
         rows.append((i, " and ".join(str(rng.choice(["x", "the"])) + " " + p for p in rng.permutation(parts)[:5])))
