@@ -84,10 +84,15 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
 
 
+#: Bytes of the tasks' sums that the driver may add up itself.
+DRIVER_BYTES = 16 << 20
+
+
 def _summed(rows: DataFrame, step, clusters: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and sums by cluster. `step` maps a matrix of vectors (first column of `rows`) to cluster numbers and what to add.
 
-    Each task sends one row for each cluster that it has; a cluster's rows meet in one task again, and one row of it is collected.
+    Each task sends one row for each cluster that it has. Where these could be more than DRIVER_BYTES, a cluster's rows meet in one
+    task again, and one row of it is collected.
     """
 
     def add(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -109,8 +114,12 @@ def _summed(rows: DataFrame, step, clusters: int, width: int) -> tuple[np.ndarra
 
     kinds = "cluster int, n double, total array<double>"
     n, total = np.zeros(clusters), np.zeros((clusters, width))
-    for r in rows.mapInArrow(first, kinds).repartition("cluster").mapInArrow(second, kinds).collect():
-        n[r.cluster], total[r.cluster] = r.n, r.total
+    parts = rows.mapInArrow(first, kinds)
+    if rows.rdd.getNumPartitions() * clusters * (width + 2) * 8 > DRIVER_BYTES:
+        parts = parts.repartition("cluster").mapInArrow(second, kinds)
+    for r in sorted(parts.collect(), key=lambda r: (r.cluster, r.total)):  # in one order, so that reruns agree
+        n[r.cluster] += r.n
+        total[r.cluster] += r.total
     return n, total
 
 
