@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table_partitions, written
 
-#: Lines of one shard (about 17 bytes of arrays for each that is distinct), and lines sent to one task, on the average.
+#: Lines of one shard (about 17 bytes of arrays for each that is distinct), and the most lines sent to one task, on the average.
 SHARD_LINES, TASK_LINES = 50_000, 200_000
 STEP = 0x9E3779B97F4A7C15
 
@@ -239,13 +239,15 @@ def probe(hashed: DataFrame, index: DataFrame, n_shards: int, least: int = 2, ta
     return both.mapInArrow(run, "doc_id long, row long, place int")
 
 
-def deduplicated(docs: DataFrame, shortest: int = 10, least: int = 2, counts: bool = True, shard_lines: int = SHARD_LINES, task_lines: int = TASK_LINES) -> DataFrame:
+def deduplicated(docs: DataFrame, shortest: int = 10, least: int = 2, counts: bool = True, shard_lines: int = SHARD_LINES, task_lines: int | None = None) -> DataFrame:
     """The rows of `docs` without the lines that at least `least` documents have and another one owns; with `counts`, n_lines and n_dropped too.
 
     A text all of whose lines go becomes empty.
     """
     hashed = written(hashed_lines(docs.select("doc_id", "text"), shortest), "lines")
-    n = max(2 * table_partitions(docs.sparkSession), -(-(hashed.agg(F.sum(F.size("h"))).first()[0] or 0) // shard_lines))
+    lines, tasks = hashed.agg(F.sum(F.size("h"))).first()[0] or 0, table_partitions(docs.sparkSession)
+    n = max(2 * tasks, -(-lines // shard_lines))
+    task_lines = task_lines or min(TASK_LINES, max(2000, lines // tasks))  # a task's even share, where that is less
     gone = probe(hashed, build_index(hashed, n), n, least, task_lines).groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("place")).alias("_gone")).withColumnsRenamed({"doc_id": "_id", "row": "_of"})
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     rows = rows.join(gone, (F.col("_row.doc_id") == F.col("_id")) & (_row(F.col("_row.text")) == F.col("_of")), "left")
