@@ -26,6 +26,8 @@ def vocabulary(name: str) -> str:
 
 #: Words that are one piece before merging: ASCII and Latin letters alone (but for the dotted capital I, whose lower case is two characters).
 _PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: The letters of `_PLAIN`.
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if _PLAIN.fullmatch(c))
 #: ASCII punctuation that a word may end in. An apostrophe may start a piece of its own kind, and | and > end special tokens.
 _MARKS = "!\"#$%&()*+,-./:;<=?@[\\]^_`{}~"
 
@@ -99,7 +101,7 @@ class Encoder:
         while (i := ids.index(None, i + 1)) < len(rest):
             w = rest[i]
             last = w[-1:]
-            if (last == "," or last == ".") and _PLAIN.fullmatch(w[-2:-1]) and (stem := get(w[:-1])):
+            if (last == "," or last == ".") and w[-2:-1] in _LETTERS and (stem := get(w[:-1])):
                 ids[i] = stem + (comma if last == "," else stop)
             elif w and not w[0].isspace() and not last.isspace():
                 ids[i] = self._word(w, True)
