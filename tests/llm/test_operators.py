@@ -24,6 +24,15 @@ TEXTS = [
 ]
 
 
+TURNS = [(c, t, ("user", "assistant")[t % 2], f"turn {t} of {c % 4 if t > 2 else c // 20}", "clash") for c in range(40) for t in range(c % 11 + 1)]
+TURNS += [(60, t, "user", "é" * (t % 3), None) for t in range(70)] + [(65, t, "user", "é" * (t % 3), None) for t in range(70)]
+TURNS += [(70, None, None, None, "c"), (70, None, "user", "two without turn", "c"), (71, 1, "user", "tie", "c"), (71, 1, "user", "tie", "c"), (71, 1, "assistant", "tie", "c"), (75, 0, "", "", None), (76, 5, None, LONG, "c")]
+TURNS += [(-7, 0, "user", "below"), (-5, 0, "user", "base below"), (None, 0, "user", "no conversation"), (10**15 + 3, 0, "user", "far")]
+TURNS = [(*t, None)[:5] for t in TURNS]
+VECTORS = [(i, [float((i * k) % 17) / 8 + (k == i % 5) for k in range(6)], "c") for i in range(60)]
+VECTORS += [(70, VECTORS[3][1], "c"), (70, VECTORS[3][1], "c"), (None, VECTORS[4][1], "c"), (71, None, "c"), (72, [1.0, None, 1.0, 1.0, 1.0, 1.0], "c"), (73, [float("nan")] * 6, None), (74, [float("inf")] * 6, None), (75, [1.0] * 5, None), (76, [], None)]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, ("en", "de", None)[i % 3], ("s1", "s2", None)[i % 3], None, "clash") for i, t in enumerate(TEXTS)]
@@ -37,13 +46,15 @@ def folder(docs, tmp_path_factory):
     docs.write.parquet(str(at / "documents.parquet"))
     labels = [(100 + i, 1, int(i % 3 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None)]
     docs.sparkSession.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(at / "labels.parquet"))
+    docs.sparkSession.createDataFrame(TURNS, "conv_id long, turn long, role string, text string, block string").repartition(3).write.parquet(str(at / "conversations.parquet"))
+    docs.sparkSession.createDataFrame(VECTORS, "vec_id long, embedding array<float>, x string").repartition(3).write.parquet(str(at / "embeddings.parquet"))
     return str(at)
 
 
 @pytest.fixture(scope="module")
 def nothing(docs, folder, tmp_path_factory):
     at = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels"):
+    for name in ("documents", "labels", "conversations", "embeddings"):
         docs.sparkSession.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(str(at / f"{name}.parquet"))
     return str(at)
 
