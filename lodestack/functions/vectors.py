@@ -28,10 +28,22 @@ def masked_mean(vectors: Column, mask: Column, dim: int) -> Column:
     return F.when(n > 0, F.transform(total, lambda x: x / n))
 
 
-def as_matrix(column: pa.Array) -> np.ndarray:
-    """An Arrow column of equally long lists of numbers as a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+def as_matrix(column: pa.Array, ids: pa.Array | None = None) -> np.ndarray:
+    """An Arrow column of equally long lists of numbers as a matrix; an error names the first row that does not fit, by `ids` if given."""
+    sizes = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    flat = column.flatten()
+    if len(sizes) and ((sizes != sizes[0]).any() or sizes[0] < 0):
+        i = int(np.flatnonzero((sizes != sizes[0]) | (sizes < 0))[0])
+        raise ValueError(f"vector {ids[i].as_py() if ids is not None else i} is {'null' if sizes[i] < 0 else f'of length {sizes[i]}, not {sizes[0]}'}")
+    if flat.null_count:
+        i = int(np.flatnonzero(flat.is_null().to_numpy(zero_copy_only=False))[0]) // int(sizes[0])
+        raise ValueError(f"vector {ids[i].as_py() if ids is not None else i} has a null entry")
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def with_vectors(rows: DataFrame, key: str, vector: str, *more: Column) -> DataFrame:
+    """key (long), vector (floats) and `more` of the rows that have a vector."""
+    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<float>").alias(vector), *more)
 
 
 BLOCK = "ids array<long>, dim int, vectors binary"
@@ -50,7 +62,7 @@ def blocks(rows: DataFrame, key: str, vector: str, size: int = 4096) -> DataFram
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1))))
+            held.append((b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1), b.column(0))))
             n += b.num_rows
             if n >= size:
                 ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
@@ -61,8 +73,7 @@ def blocks(rows: DataFrame, key: str, vector: str, size: int = 4096) -> DataFram
         if n:
             yield out(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
 
-    picked = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), F.col(vector).cast("array<float>"))
-    return picked.mapInArrow(run, BLOCK)
+    return with_vectors(rows, key, vector).mapInArrow(run, BLOCK)
 
 
 def from_block(ids: pa.Scalar, dim: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -54,14 +54,22 @@ def starts(counts: DataFrame, order: str = "file_id", count: str = "n", name: st
 
 
 def line_positions(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, file_path, position (byte offset) and value of each line that is not blank; blank lines count for offsets alone.
+    """file_name, file_path, position (byte offset) and value of each line that is not blank; blank lines count for offsets alone."""
+    return positioned(spark.read.option("lineSep", "\n").text(path).select(*line_columns()))
+
+
+def line_columns() -> list[Column]:
+    """Of lines as they are read, or streamed: the file, the split and the line."""
+    return [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), F.col("value")]
+
+
+def positioned(lines: DataFrame) -> DataFrame:
+    """`line_positions` of lines that come with their file_path and split.
 
     A file's splits are summed apart: lengths are added up within a split as it is read, and each split's sum goes to the later ones.
     """
     from pyspark.sql import Window
 
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), "value")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of a split come in order and a split is read by one task, one after another."""
         at, done = None, 0

@@ -23,15 +23,15 @@ def passages(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: C
     return rows.withColumn("n_tokens", F.size("_part")).withColumn("text", detokenize(F.col("_part"))).drop("_tokens", "_n", "_part")
 
 
-def passage_starts(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens) -> DataFrame:
-    """doc_id, n (its passages) and start (those of all documents before it). Texts are counted where they lie; only ids and counts move."""
+def passage_starts(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens, first: int = 0) -> DataFrame:
+    """doc_id, n (its passages) and start (`first` and those of all documents before it). Texts are counted where they lie; only ids and counts move."""
     counts = docs.select("doc_id", T.n_chunks(F.size(tokenize(F.col("text"))), size, least_last).alias("n"))
-    return running_sums(counts, ["doc_id"], "n")
+    return running_sums(counts, ["doc_id"], "n", start=first)
 
 
-def passage_table(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens, **how) -> DataFrame:
-    """`passages` with passage_id, from 0 without gaps, in the order of (doc_id, chunk_index); doc_id is unique."""
-    begun = passage_starts(docs, size, least_last, tokenize).select("doc_id", F.col("start").alias("_start"))
+def passage_table(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens, first: int = 0, **how) -> DataFrame:
+    """`passages` with passage_id, from `first` without gaps, in the order of (doc_id, chunk_index); doc_id is unique."""
+    begun = passage_starts(docs, size, least_last, tokenize, first).select("doc_id", F.col("start").alias("_start"))
     rows = passages(docs.join(begun, "doc_id"), size, least_last, tokenize, **how)
     return rows.withColumn("passage_id", F.col("_start") + F.col("chunk_index")).drop("_start")
 

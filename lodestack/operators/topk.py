@@ -1,4 +1,4 @@
-"""Exact nearest rows of a query table, by blocks of matrix products."""
+"""Exact nearest rows of a query table, by blocks of matrix products, and the running best of whatever a task scores."""
 
 from __future__ import annotations
 
@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import blocks, from_block
+from ..session import written
+
+#: Entries that a task keeps: 24 bytes each, and as many again that are new.
+HELD = 2_000_000
+#: Up to here the best of all queries that are small enough to be broadcast fit in a task.
+SMALL_K = 256
+#: Queries that one task takes past its vectors, block by block, when k is larger.
+QUERIES_A_TASK = 65_536
+FOUND = "query_id long, passage_id long, score double"
 
 
 def ranked(rows: DataFrame, k: Column | int, by: str = "query_id", score: str = "score", key: str = "passage_id") -> DataFrame:
@@ -18,25 +27,100 @@ def ranked(rows: DataFrame, k: Column | int, by: str = "query_id", score: str =
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "ip", query_key: str = "query_id", query_vector: str = "qvec", key: str = "passage_id", vector: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
-    """query_id, passage_id, score and rank of the k best by inner product ("ip") or negative distance ("l2").
+class Best:
+    """The best k of each query over all that a task has scored; least ids first among equal scores, which are rounded to nine places.
 
-    Every block of queries meets every block of vectors once; a meeting gives k rows a query, and Spark keeps the best
-    of them before and after the shuffle. Memory is two blocks and their products.
+    New scores must reach a query's k-th best to be kept, and are merged when they are as many as what is held. `add` gives what
+    must be sent on when more queries come by than `held` entries suffice for; the final cut sees to what was sent twice over.
+    With `distinct`, an id that comes more than once counts once, by its best score.
     """
 
+    def __init__(self, k: int, held: int = HELD, distinct: bool = False):
+        self.k, self.most, self.distinct = k, held, distinct
+        self._reset()
+
+    def _reset(self) -> None:
+        self.names: dict[int, int] = {}
+        self.bar = np.zeros(0)
+        self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query's number, score, id
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_fresh = 0
+
+    def add(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """`score` has a row for each query and a column for each id."""
+        if not score.size:
+            return
+        score = np.round(score, 9)
+        at = np.array([self.names.setdefault(q, len(self.names)) for q in queries.tolist()])
+        if len(self.names) > len(self.bar):
+            self.bar = np.concatenate([self.bar, np.full(max(len(self.names), len(self.bar)), -np.inf)])
+        bar, m = self.bar[at], score.shape[1]
+        if m > self.k:
+            bar = np.maximum(bar, np.partition(score, m - self.k, axis=1)[:, m - self.k])
+        row, column = np.nonzero(score >= bar[:, None])
+        self.fresh.append((at[row], score[row, column], ids[column]))
+        self.n_fresh += len(row)
+        if self.n_fresh > max(len(self.kept[0]), self.most // 4):
+            self._merge()
+            if len(self.kept[0]) > self.most:
+                yield self.out()
+
+    def _merge(self) -> None:
+        row, score, ids = (np.concatenate([self.kept[c], *(f[c] for f in self.fresh)]) for c in range(3))
+        order = np.lexsort((ids, -score, row))
+        if self.distinct:
+            by_id = np.lexsort((-score, ids, row))
+            again = (np.diff(row[by_id], prepend=-1) == 0) & (np.diff(ids[by_id], prepend=-1) == 0)
+            order = order[~again[np.argsort(by_id)][order]]
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.kept = row[keep], score[order][keep], ids[order][keep]
+        last = place[keep] == self.k - 1
+        self.bar[self.kept[0][last]] = self.kept[1][last]
+        self.fresh, self.n_fresh = [], 0
+
+    def out(self) -> pa.RecordBatch:
+        """What is held; afterwards nothing is."""
+        self._merge()
+        names = np.fromiter(self.names, np.int64, len(self.names))
+        batch = pa.RecordBatch.from_arrays([pa.array(names[self.kept[0]]), pa.array(self.kept[2]), pa.array(self.kept[1])], ["query_id", "passage_id", "score"])
+        self._reset()
+        return batch
+
+
+def task_best(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", query_key: str = "query_id", query_vector: str = "qvec", key: str = "passage_id", vector: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
+    """query_id, passage_id and score of each task's best: at most k rows for each query and task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = Best(k), None
         for b in batches:
             for i in range(b.num_rows):
                 q_ids, q = from_block(b.column(0)[i], b.column(1)[i].as_py(), b.column(2)[i].as_py())
                 ids, x = from_block(b.column(3)[i], b.column(4)[i].as_py(), b.column(5)[i].as_py())
+                if outer and at is not None and q_ids.tobytes() != at:
+                    yield best.out()  # these queries do not come by again
+                at = q_ids.tobytes() if outer else None
                 score = q @ x.T
                 if metric == "l2":
                     score = 0.0 - np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * score, 0))
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(best.ravel())], ["query_id", "passage_id", "score"])
+                yield from best.add(q_ids, score, ids)
+        yield best.out()
 
+    outer = k > SMALL_K
+    if outer:  # a block of queries meets all of a task's vectors before the next one does
+        queries = written(queries.select(query_key, query_vector), "queries")
+        queries = queries.repartition(-(-max(1, queries.count()) // QUERIES_A_TASK))
+        query_block = min(query_block, max(16, HELD // (2 * k)))
     q = blocks(queries, query_key, query_vector, query_block).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "vectors")))
-    met = q.crossJoin(blocks(corpus, key, vector, block)).mapInArrow(run, "query_id long, passage_id long, score double")
-    return ranked(met.withColumn("score", F.round("score", 9)), k)
+    met = (q.hint("shuffle_replicate_nl") if outer else q).crossJoin(blocks(corpus, key, vector, block))
+    return met.mapInArrow(run, FOUND)
+
+
+def exact_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, metric: str = "ip", **how) -> DataFrame:
+    """query_id, passage_id, score and rank of the k best by inner product ("ip") or negative distance ("l2"). `how` goes to `task_best`.
+
+    Every block of queries meets every block of vectors once. A task keeps the best of what it has met, so k rows for each query and
+    task are shuffled at most, whatever k is. Memory is two blocks, their products and `HELD` entries.
+    """
+    return ranked(task_best(queries, corpus, k, metric, **how).withColumn("score", F.round("score", 9)), k)

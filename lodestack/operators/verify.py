@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ivf import entry_ids
+
 
 def _rule(name: str, df: DataFrame) -> DataFrame:
     """`df` has one row with the number of violations."""
@@ -19,8 +21,8 @@ def dense(rows: DataFrame, key: str) -> DataFrame:
     return rows.agg((n - d + F.coalesce(F.max(key) + 1, F.lit(0)) - d + F.count(F.when(F.col(key) < 0, 1))).alias("n"))
 
 
-def verify(docs: DataFrame, passages: DataFrame, embeddings: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """Dense ids, each passage's document, an embedding for each passage, and an index entry for each embedding."""
+def verify(docs: DataFrame, passages: DataFrame, embeddings: DataFrame | None = None, postings: DataFrame | None = None, border: int = 1) -> DataFrame:
+    """Dense ids, each passage's document, an embedding for each passage, and an index entry for each embedding in each of its `border` lists."""
     rules = [
         _rule("document ids dense", dense(docs, "doc_id")),
         _rule("passage ids dense", dense(passages, "passage_id")),
@@ -30,9 +32,9 @@ def verify(docs: DataFrame, passages: DataFrame, embeddings: DataFrame | None =
         rules.append(_rule("passages have embeddings", passages.join(embeddings.select("passage_id"), "passage_id", "left_anti").agg(F.count("*"))))
         rules.append(_rule("embeddings have passages", embeddings.join(passages.select("passage_id"), "passage_id", "left_anti").agg(F.count("*"))))
     if postings is not None:
-        ids = postings.select(F.explode("passage_ids").alias("passage_id"))
+        ids = entry_ids(postings).select("passage_id")
         of = embeddings if embeddings is not None else passages
-        rules.append(_rule("index holds each row once", ids.groupBy("passage_id").count().where("count > 1").agg(F.count("*"))))
+        rules.append(_rule("index holds each row once", ids.groupBy("passage_id").count().where(F.col("count") > border).agg(F.count("*"))))
         rules.append(_rule("rows are in the index", of.join(ids, "passage_id", "left_anti").agg(F.count("*"))))
     return reduce(DataFrame.unionByName, rules)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,7 @@ from ..operators.embed import embed
 from ..operators.ids import dense_ids, line_positions, running_sums
 from ..operators.passages import passage_table
 from ..operators.verify import verify
-from ..sources.catalog import delete, file_catalogue, json_line, missing_files, table_exists, text_of
-
-
-def _stage(spark: SparkSession, path: str, rebuild: bool, make) -> DataFrame:
-    """Reuses the table that is there, or writes it."""
-    if rebuild or not table_exists(spark, path):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+from ..sources.catalog import NOTE, delete, file_catalogue, fingerprint, json_line, missing_files, read_note, stage, text_of, write_note
 
 
 def complete(needed: DataFrame, present: DataFrame, key: str = "file_id") -> DataFrame:
@@ -48,41 +43,54 @@ def write_passage_files(passages: DataFrame, path: str) -> None:
     rows.repartition("file_id").sortWithinPartitions("file_id", "passage_id").select("file_id", "value").write.partitionBy("file_id").text(path)
 
 
-def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, sample_size: int = 10_000_000, rebuild: bool = False, retrain: bool = False, dim: int = 64, encoder=None, encoder_name: str = "hashed", order: list[str] | None = None) -> dict[str, DataFrame]:
+def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, sample_size: int = 10_000_000, rebuild: bool = False, retrain: bool = False, dim: int = 64, encoder=None, encoder_name: str = "hashed", order: list[str] | None = None, fingerprint: str | None = None, turns: int = 0, border: int = 1) -> dict[str, DataFrame]:
     """All tables of a corpus from `texts` (file_name, text and what `order` names, by default the line's doc_position if there is one).
 
-    Texts that are null count as empty. Document ids follow the file's name and then `order`. `rebuild` makes every table anew; `retrain`
-    the quantiser and what follows from it. An index over embeddings that lack a file is an error.
+    Texts that are null count as empty. Document ids follow the file's name and then `order`. A table that is there is reused if it is whole and
+    was made with the same settings, from the same tables, and, where a `fingerprint` is given, from the same input; otherwise it and what
+    follows from it is made anew. `rebuild` makes every table anew; `retrain` the quantiser and what follows from it. An index over
+    embeddings that lack a file is an error.
     """
     spark = texts.sparkSession
-    order = order or (["doc_position"] if "doc_position" in texts.columns else ["text"])
-    files = _stage(spark, f"{store}/files", rebuild, lambda: file_catalogue(texts))
+    given = lambda note, **settings: {"from": note["id"], **settings}
+    files, of_files = stage(spark, f"{store}/files", lambda: file_catalogue(texts), {"input": fingerprint}, rebuild)
     named = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(files), "file_name")  # a row per file name
-    docs = _stage(spark, f"{store}/documents", rebuild, lambda: dense_ids(named, ["file_id", *order], "doc_id"))
+
+    def numbered() -> DataFrame:
+        by = order or (["doc_position"] if "doc_position" in texts.columns else None)
+        if by is None:
+            raise ValueError("order must name the columns that documents of a file follow")
+        return dense_ids(named, ["file_id", *by], "doc_id")
+
+    docs, of_docs = stage(spark, f"{store}/documents", numbered, given(of_files, order=order), rebuild)
 
     def cut() -> DataFrame:
         rows = passage_table(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), *(c for c in ["doc_position"] if c in docs.columns), "text"), size, least_last)
         return rows.withColumn("passage_file", passage_file(F.col("file_name")))
 
-    cuts = _stage(spark, f"{store}/passages", rebuild, cut)
-    positions = _stage(spark, f"{store}/passage_positions", rebuild, lambda: passage_positions(cuts))
+    cuts, of_cuts = stage(spark, f"{store}/passages", cut, given(of_docs, size=size, least_last=least_last), rebuild)
+    positions, _ = stage(spark, f"{store}/passage_positions", lambda: passage_positions(cuts), given(of_cuts), rebuild)
     passages = cuts.join(positions, "passage_id")
-    vectors = _stage(spark, f"{store}/embeddings", rebuild, lambda: embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")))
-    again = rebuild or retrain
-    if again or not table_exists(spark, f"{store}/index/index_meta"):
+    vectors, of_vectors = stage(spark, f"{store}/embeddings", lambda: embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")), given(of_cuts, dim=dim, encoder=encoder_name), rebuild)
+    again, path = rebuild or retrain, f"{store}/index"
+    wanted = given(of_vectors, n_lists=n_lists, subs=subs or 0, bits=bits, sample_size=sample_size, turns=turns, border=border)
+    of_index = None if again else read_note(spark, f"{path}/{NOTE}")
+    if of_index is None or of_index["given"] != wanted:
         rows = ivf.sample(complete(cuts, vectors), sample_size)
-        path = f"{store}/index"
-        for part in ("centroids", "codebooks", "index_meta"):
-            delete(spark, f"{path}/{part}")
-        ivf.save(ivf.train(rows, n_lists, subs, bits), spark, path, encoder_name)
-    q = ivf.load(spark, f"{store}/index", encoder_name)
-    if again or not table_exists(spark, f"{store}/postings"):
+        delete(spark, path)
+        ivf.save(ivf.train(rows, n_lists, subs, bits, turns=turns, border=border), spark, path, encoder_name)
+        of_index = {"given": wanted, "id": uuid.uuid4().hex}
+        write_note(spark, f"{path}/{NOTE}", of_index)
+    q = ivf.load(spark, path, encoder_name)
+    made = read_note(spark, f"{store}/postings/{NOTE}")
+    if made is None or made["given"] != given(of_index) or ivf.read_postings(spark, f"{store}/postings").count() != made["rows"]:
         delete(spark, f"{store}/postings")
         ivf.write_postings(ivf.encode(vectors, q, "domain"), f"{store}/postings")
+        write_note(spark, f"{store}/postings/{NOTE}", {"given": given(of_index), "rows": ivf.read_postings(spark, f"{store}/postings").count()})
     postings = ivf.read_postings(spark, f"{store}/postings")
-    return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings)}
+    return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings, border)}
 
 
 def build_files(spark: SparkSession, path: str, store: str, **how) -> dict[str, DataFrame]:
-    """`build` of the JSON-lines files at `path`: scan, line positions, ids by (file, line), passages, embeddings and index."""
-    return build(read_lines(spark, path), store, **how)
+    """`build` of the JSON-lines files at `path`: scan, line positions, ids by (file, line), passages, embeddings and index. Changed files are seen."""
+    return build(read_lines(spark, path), store, **{"fingerprint": fingerprint(spark, path)} | how)

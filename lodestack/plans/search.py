@@ -109,6 +109,10 @@ def indexed(postings: DataFrame, q: ivf.Quantiser, nprobe: int = 256, embeddings
     return candidates
 
 
+#: Neighbours of a query in a batch job, unless the caller says otherwise.
+BATCH_K = 4096
+
+
 def batch_retrieval(found: DataFrame, passages: DataFrame) -> DataFrame:
     """Per query, parallel lists of passages, ids, scores and domains in rank order."""
     rows = found.join(passages.select("passage_id", "text", "domain"), "passage_id")

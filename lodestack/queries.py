@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions.vectors import masked_mean
-from .operators import ivf, lookup, metrics, ranking, verify
+from .operators import ivf, living, lookup, metrics, ranking, verify
 from .operators.embed import embed, embed_again, embed_missing
 from .operators.ids import dense_ids, line_positions, starts
 from .operators.passages import passage_starts, passage_table, passages, per_file
@@ -24,7 +24,7 @@ from .plans import build as corpus_build
 from .plans import search as S
 from .session import shared_path, table, written
 from .sources import catalog
-from .streaming.maintain import maintain
+from .streaming.maintain import grow, grown, maintain
 
 QUERIES, SQL = {}, {}
 
@@ -85,6 +85,13 @@ def exact_topk_neg_l2(spark, d):
     return exact_topk(_queries(v), v, 10, "l2").select("query_id", "passage_id", "rank", _score())
 
 
+@register(_TOPK.format(score=_IP).replace("rank, round(s, 6) AS score FROM r WHERE rank <= 10", "rank FROM r WHERE rank <= 1500"))
+def exact_topk_1500(spark, d):
+    """More neighbours than Spark's window limit cuts by itself: tasks keep the running best."""
+    v = _vectors(spark, d)
+    return exact_topk(_queries(v), v, 1500).select("query_id", "passage_id", "rank")
+
+
 # Passages
 
 _CHUNKS = r"""
@@ -404,26 +411,38 @@ def _stored(spark: SparkSession, postings: DataFrame) -> DataFrame:
     return ivf.read_postings(spark, path)
 
 
-def _trained(v: DataFrame, n_lists: int = 16, subs: int = 16) -> ivf.Quantiser:
-    return ivf.train(ivf.sample(v, 100_000), n_lists, subs)
+def _trained(v: DataFrame, n_lists: int = 16, subs: int = 16, **how) -> ivf.Quantiser:
+    return ivf.train(ivf.sample(v, 100_000), n_lists, subs, **how)
+
 
+#: Lists that a vector stands in, and candidates scored exactly, whatever the number of vectors.
+BORDER, CANDIDATES = 3, 400
 
-def _sizes(n: int) -> tuple[int, int, int]:
-    """Lists, probes and candidates for n vectors: lists of about 16 blocks, three quarters of them probed, a fiftieth of the vectors as candidates."""
-    lists = max(16, n // (16 * ivf.BLOCK))
-    return lists, -(-3 * lists // 4), max(100, -(-n // 50))
+
+def _lists(n: int) -> int:
+    """Lists for n vectors: of about four blocks, 64 at least. A quarter of them is probed."""
+    return max(64, n // (4 * ivf.BLOCK))
 
 
 @register()
 def ivfpq_search(spark, d):
-    """Product codes over three quarters of the lists, then exact scores of a fiftieth of the vectors, so that recall holds as tables grow."""
+    """Turned product codes of vectors that stand in three lists each; a quarter of the lists, then exact scores of 400 candidates."""
     v = _vectors(spark, d)
-    lists, probes, most = _sizes(v.count())
-    q = _trained(v, lists)
-    found = ivf.search(_queries(v), _stored(spark, ivf.encode(v, q)), q, most, probes)
+    lists = _lists(v.count())
+    q = _trained(v, lists, turns=3, border=BORDER)
+    found = ivf.search(_queries(v), _stored(spark, ivf.encode(v, q)), q, CANDIDATES, lists // 4)
     return ivf.rescored(found, _queries(v), v, 10).select("query_id", "passage_id", "rank", _score())
 
 
+@register(_TOPK.format(score=_IP))
+def exact_topk_bounded(spark, d):
+    """Exact search that passes over lists which cannot hold one of a query's best."""
+    v = _vectors(spark, d)
+    q = ivf.train(ivf.sample(v, 100_000), 32, None)
+    found = ivf.exact_search(_queries(v), _stored(spark, ivf.encode(v, q)), q, ivf.bounds(v, q), 10, 2)
+    return found.select("query_id", "passage_id", "rank", _score())
+
+
 _HASHED = f"""t AS (SELECT doc_id, unnest({_WORDS}) AS t FROM documents),
 n AS (SELECT doc_id, (('0x' || substr(md5('0:' || t), 1, 8))::BIGINT % 64)::INT AS dim, count(*)::DOUBLE AS n FROM t GROUP BY ALL),
 e AS (SELECT doc_id, dim, (n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)))::FLOAT::DOUBLE AS x FROM n)"""
@@ -469,17 +488,17 @@ def training_sample(spark, d):
     return catalog.cached(spark, path, lambda: ivf.sample(v, 300)).select("passage_id", "file_id")
 
 
-def _entries(postings: DataFrame) -> DataFrame:
-    """passage_id, list_id and the first and last stored number of every entry of an index of whole vectors."""
+def _entries(postings: DataFrame, q: ivf.Quantiser) -> DataFrame:
+    """passage_id, list_id and two sums over the stored numbers of every entry of an index of whole vectors."""
 
     def run(batches):
         for b in batches:
-            for i in range(b.num_rows):
-                ids = b.column(1)[i].values.to_numpy(zero_copy_only=False)
-                x = np.frombuffer(b.column(2)[i].as_py(), np.float32).reshape(len(ids), -1).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.full(len(ids), b.column(0)[i].as_py(), np.int64)), pa.array(np.round(x.sum(axis=1), 4)), pa.array(np.round((x * np.arange(1, x.shape[1] + 1)).sum(axis=1), 3))], ["passage_id", "list_id", "total", "weighed"])
+            if b.num_rows:
+                x = np.frombuffer(b"".join(b.column(2).to_pylist()), np.float32).reshape(b.num_rows, -1).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(x.sum(axis=1), 4)), pa.array(np.round((x * np.arange(1, x.shape[1] + 1)).sum(axis=1), 3))], ["passage_id", "list_id", "total", "weighed"])
 
-    return postings.select("list_id", "passage_ids", "codes").mapInArrow(run, "passage_id long, list_id long, total double, weighed double").select("passage_id", "list_id", (F.col("total") + 0.0).alias("total"), (F.col("weighed") + 0.0).alias("weighed"))
+    found = ivf.entries(postings, q.code_size).select("passage_id", F.col("list_id").cast("long"), "code")
+    return found.mapInArrow(run, "passage_id long, list_id long, total double, weighed double").select("passage_id", "list_id", (F.col("total") + 0.0).alias("total"), (F.col("weighed") + 0.0).alias("weighed"))
 
 
 _ENTRIES = f"""WITH {_LISTS}, v AS (SELECT vec_id, i, x::DOUBLE AS x FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)),
@@ -495,7 +514,7 @@ def ivf_append(spark, d):
     ivf.write_postings(ivf.encode(v.where("passage_id % 2 = 0"), q), path)
     for _ in range(2):
         ivf.append(ivf.read_postings(spark, path), v, q, path)
-    return _entries(ivf.read_postings(spark, path))
+    return _entries(ivf.read_postings(spark, path), q)
 
 
 @register("SELECT label::VARCHAR AS domain, count(*) AS n FROM embeddings WHERE label::VARCHAR <= '4' GROUP BY 1")
@@ -514,16 +533,82 @@ def stream_maintenance(spark, d):
     q = ivf.Quantiser(_seeds(v))
     for _ in range(2):  # the second run finds nothing new
         maintain(spark, f"{base}/in", v.schema, q, f"{base}/postings", f"{base}/checkpoint", files_per_batch=1).awaitTermination()
-    return _entries(ivf.read_postings(spark, f"{base}/postings"))
+    return _entries(ivf.read_postings(spark, f"{base}/postings"), q)
+
 
+def _some(v: DataFrame, every: int, keep: int = 0) -> DataFrame:
+    return v.where(F.col("passage_id") % every == keep)
 
-@register(_TOPK.replace("SELECT query_id, passage_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10", """
+
+@register(_ENTRIES + " WHERE a.vec_id % 7 <> 0")
+def index_replaced(spark, d):
+    """An index of wrong vectors for a third of the ids: these are replaced, and a seventh of all is taken out; what searches see then."""
+    v = _vectors(spark, d)
+    q, path = ivf.Quantiser(_seeds(v)), shared_path(spark, "index")
+    wrong = v.withColumn("embedding", F.when(F.col("passage_id") % 3 == 0, F.reverse("embedding")).otherwise(F.col("embedding")))
+    living.add(spark, path, wrong, q)
+    living.put(spark, path, _some(v, 3), q)
+    living.remove(spark, path, _some(v, 7))
+    return _entries(living.read(spark, path), q)
+
+
+@register(_ENTRIES + " WHERE a.vec_id % 5 <> 0")
+def index_compacted(spark, d):
+    """Ten batches, entries taken out between them, merged by fours: the same entries, once each."""
+    v = _vectors(spark, d)
+    q, path = ivf.Quantiser(_seeds(v)), shared_path(spark, "index")
+    for i in range(10):
+        living.add(spark, path, _some(v, 10, i), q)
+        if i == 5:
+            living.remove(spark, path, _some(v, 5))
+            living.compact(spark, path, q, 4)
+    living.remove(spark, path, _some(v, 5))
+    living.compact(spark, path, q, 4)
+    living.vacuum(spark, path)
+    return _entries(living.read(spark, path), q)
+
+
+@register(_CHUNKS.format(size=128, least=64) + """, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1 AS passage FROM p)
+SELECT source AS domain, passage, chunk_index, md5(array_to_string(part, ' ')) AS text_md5, 1 AS entries FROM o""")
+def stream_from_files(spark, d):
+    """Files of texts, taken up by a stream in two batches: passages numbered on from batch to batch, each in the index once."""
+    base = shared_path(spark, "stream")
+    docs = table(spark, d, "documents")
+    line = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    docs.select("source", "doc_id", line.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{base}/written")
+    names = [n for n in catalog.names_below(spark, f"{base}/written") if n.startswith("source=")]
+    for n in names:  # a file per source, under the source's name
+        catalog.move(spark, catalog.files_below(spark, f"{base}/written/{n}")[0], f"{base}/in/{n.removeprefix('source=')}--raw_passages-0.jsonl")
+    v = written(embed(docs.select(F.col("doc_id").alias("passage_id"), "text"), "passage_id"), "vectors")
+    grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, None), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
+    out = grown(spark, f"{base}/store")
+    entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
+    first = out["passages"].groupBy("file_id").agg(F.min("passage_id").alias("first"))
+    rows = out["passages"].join(first, "file_id").join(entries, "passage_id", "left")
+    return rows.select(T.domain_of(F.col("file_name")).alias("domain"), (F.col("passage_id") - F.col("first")).alias("passage"), "chunk_index", F.md5("text").alias("text_md5"), "entries")
+
+
+_BATCH = _TOPK.replace("SELECT query_id, passage_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10", """
 SELECT query_id, string_agg(passage_id::VARCHAR, ',' ORDER BY rank) AS passages, string_agg(source, ',' ORDER BY rank) AS domains
-FROM r JOIN documents d ON d.doc_id = passage_id WHERE rank <= 10 GROUP BY query_id""").format(score=_IP))
-def batch_retrieval(spark, d):
+FROM r JOIN documents d ON d.doc_id = passage_id WHERE rank <= 10 GROUP BY query_id""").format(score=_IP)
+
+
+def _batch(spark, d, k):
     v = _vectors(spark, d)
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text", F.col("source").alias("domain"))
-    out = S.batch_retrieval(exact_topk(_queries(v), v, 10), rows)
+    return S.batch_retrieval(S.exact(v)(_queries(v), k), rows)
+
+
+@register(_BATCH)
+def batch_retrieval(spark, d):
+    out = _batch(spark, d, 10)
+    return out.select("query_id", F.array_join(F.col("passage_ids").cast("array<string>"), ",").alias("passages"), F.array_join("domains", ",").alias("domains"))
+
+
+@register(_BATCH.replace("rank <= 10", "rank <= 4096"))
+def batch_retrieval_4096(spark, d):
+    """At the batch job's own number of neighbours."""
+    out = _batch(spark, d, S.BATCH_K)
     return out.select("query_id", F.array_join(F.col("passage_ids").cast("array<string>"), ",").alias("passages"), F.array_join("domains", ",").alias("domains"))
 
 

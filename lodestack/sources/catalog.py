@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,11 +101,100 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The table at `path`, made and written first if it is not there."""
-    if not table_exists(spark, path):
-        make().write.parquet(path)
-    return spark.read.parquet(path)
+def _at(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_note(spark: SparkSession, path: str) -> dict | None:
+    """The small JSON file at `path`, or None where there is none."""
+    hadoop, fs = _at(spark, path)
+    if not fs.exists(hadoop):
+        return None
+    stream = fs.open(hadoop)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+    finally:
+        stream.close()
+
+
+def write_note(spark: SparkSession, path: str, note: dict) -> bool:
+    """Writes a small JSON file that is there whole or not at all; False, and nothing done, where there is one already."""
+    hadoop, fs = _at(spark, path)
+    part = spark._jvm.org.apache.hadoop.fs.Path(hadoop.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(part, True)
+    stream.write(bytearray(json.dumps(note).encode()))
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(hadoop).toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(part, fs.makeQualified(hadoop), none)  # fails where the name is taken
+        return True
+    except Exception as e:
+        fs.delete(part, False)
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    hadoop, fs = _at(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(hadoop)) if fs.exists(hadoop) else []
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of the files at `path` (a file, or a folder and the folders in it): changes when one is added, removed, written anew or of another size."""
+    hadoop, fs = _at(spark, path)
+    todo, seen, n, size = [fs.getFileStatus(hadoop)], 0, 0, 0
+    while todo:
+        f = todo.pop()
+        if f.isDirectory():
+            todo += list(fs.listStatus(f.getPath()))
+        elif not f.getPath().getName().startswith(("_", ".")):
+            one = uuid.uuid5(uuid.NAMESPACE_URL, f"{f.getPath().getName()}|{f.getLen()}|{f.getModificationTime()}").int
+            seen, n, size = seen ^ one, n + 1, size + f.getLen()
+    return f"{n} files, {size} bytes, {seen:032x}"
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Renames a file; folders on the way are made."""
+    source, fs = _at(spark, path)
+    target, _ = _at(spark, to)
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+NOTE = "_stage.json"
+
+
+def stage(spark: SparkSession, path: str, make, given: dict | None = None, rebuild: bool = False) -> tuple[DataFrame, dict]:
+    """The table at `path` and its note: made by `make` and written unless it is whole and came about as `given` says.
+
+    The note lies in the table's folder and is written last, so a table whose writing was cut off has none. It holds `given` (parameters,
+    input fingerprint, the ids of tables that this one was made from), the number of rows, and an id of its own. A table with another number of
+    rows, as when a file was lost, or other values of `given` is made anew; values of None are not compared.
+    """
+    given, note = given or {}, read_note(spark, f"{path}/{NOTE}")
+    if note and not rebuild and all(v is None or note["given"].get(k) == v for k, v in given.items()):
+        try:
+            found = spark.read.parquet(path)
+            if found.count() == note["rows"]:
+                return found, note
+        except Exception:  # no file is left, or one cannot be read: it is made anew, and what fails then is an error
+            pass
+    delete(spark, path)
+    make().write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path)
+    note = {"given": given, "rows": found.count(), "id": uuid.uuid4().hex}
+    write_note(spark, f"{path}/{NOTE}", note)
+    return found, note
+
+
+def cached(spark: SparkSession, path: str, make, given: dict | None = None) -> DataFrame:
+    """The table at `path`, made and written first if it is not there, not whole, or made from other `given` values."""
+    return stage(spark, path, make, given)[0]
 
 
 def pick_queries(requests: DataFrame, questions: DataFrame, n: int, seed: int = 42, key: str = "request_id") -> DataFrame:

@@ -1,12 +1,19 @@
-"""Index maintenance as a stream: each new file of embeddings is encoded once and appended."""
+"""Index maintenance as a stream: new files of embeddings are encoded once and appended; new files of texts become documents, passages and entries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators import ivf
+from ..functions.text import domain_of, passage_file
+from ..operators import ivf, living
+from ..operators.embed import embed
+from ..operators.ids import dense_ids, line_columns, positioned
+from ..operators.passages import passage_table
+from ..session import discard, written
+from ..sources.catalog import delete, file_catalogue, names_below, read_note, text_of, write_note
 
 
 def maintain(spark: SparkSession, embeddings: str, schema: StructType | str, q: ivf.Quantiser, postings: str, checkpoint: str, domain: str | None = None, files_per_batch: int = 1000) -> StreamingQuery:
@@ -20,5 +27,77 @@ def maintain(spark: SparkSession, embeddings: str, schema: StructType | str, q:
     def add(batch: DataFrame, number: int) -> None:
         ivf.write_postings(ivf.encode(batch, q, domain=domain), postings, f"stream-{number}")
 
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(embeddings)
+    return _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(embeddings), add, checkpoint)
+
+
+def maintain_store(spark: SparkSession, embeddings: str, schema: StructType | str, q: ivf.Quantiser, store: str, checkpoint: str, domain: str | None = None, files_per_batch: int = 1000, fan: int = living.FAN) -> StreamingQuery:
+    """The same into a store of `operators.living`: readers see whole batches, and small batches are merged as they come."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        living.add(spark, store, batch, q, domain, "embeddings", number)
+        living.compact(spark, store, q, fan)
+
+    return _run(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(embeddings), add, checkpoint)
+
+
+def _run(rows: DataFrame, add, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+# From new files to the index
+
+_NUMBERS = ("files", "documents", "passages")
+
+
+def take_up(lines: DataFrame, number: int, store: str, q: ivf.Quantiser, size: int = 128, least_last: int = 64, encoder=None, dim: int = 64, fan: int = living.FAN) -> None:
+    """Batch `number` of a stream of `lines` (file_path, split, value): scan, line positions, ids, passages, embeddings and index entries.
+
+    Ids go on where the batch before ended: its note says where, and a batch's own note is written when all its tables are. A batch that is
+    repeated gets the same ids and replaces its own tables; one whose note is there is passed over, and is an error if it has other files.
+    """
+    spark = lines.sparkSession
+    note = read_note(spark, f"{store}/batches/{number}.json")
+    files = sorted(r.file_path for r in lines.select("file_path").distinct().collect())  # at most the files of a batch
+    if note is not None:
+        if note["read"] != files:
+            raise ValueError(f"batch {number} was of other files")
+        return
+    first = dict.fromkeys(_NUMBERS, 0)
+    if number:
+        before = read_note(spark, f"{store}/batches/{number - 1}.json")
+        if before is None:
+            raise ValueError(f"batch {number - 1} is not done")
+        first = before["next"]
+
+    def table(name: str, rows: DataFrame) -> DataFrame:
+        path = f"{store}/{name}/batch={number}"
+        delete(spark, path)
+        rows.write.parquet(path)
+        return spark.read.parquet(path)
+
+    texts = written(positioned(lines).select("file_name", F.col("position").alias("doc_position"), text_of(F.col("value")).alias("text")), "texts")
+    known = table("files", file_catalogue(texts).withColumn("file_id", F.col("file_id") + first["files"]))
+    docs = table("documents", dense_ids(texts.join(F.broadcast(known), "file_name"), ["file_id", "doc_position"], "doc_id", first["documents"]))  # a row per file
+    rows = passage_table(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), "doc_position", "text"), size, least_last, first=first["passages"])
+    cuts = table("passages", rows.withColumn("passage_file", passage_file(F.col("file_name"))))
+    vectors = table("embeddings", embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")))
+    living.add(spark, f"{store}/index", vectors, q, "domain", "files", number)
+    living.compact(spark, f"{store}/index", q, fan)
+    ends = {n: first[n] + t.count() for n, t in zip(_NUMBERS, (known, docs, cuts))}
+    write_note(spark, f"{store}/batches/{number}.json", {"read": files, "first": first, "next": ends})
+    discard(texts)
+
+
+def grow(spark: SparkSession, path: str, store: str, q: ivf.Quantiser, checkpoint: str, files_per_batch: int = 1000, **how) -> StreamingQuery:
+    """Takes up the JSON-lines files at `path` that have not been seen; `how` goes to `take_up`. What comes of it equals one build, but for the order of files."""
+    rows = spark.readStream.option("maxFilesPerTrigger", files_per_batch).option("lineSep", "\n").text(path).select(*line_columns())
+    return _run(rows, lambda batch, number: take_up(batch, number, store, q, **how), checkpoint)
+
+
+def grown(spark: SparkSession, store: str) -> dict[str, DataFrame]:
+    """files, documents, passages, embeddings and postings of the batches that are done."""
+    done = sorted(int(n.removesuffix(".json")) for n in names_below(spark, f"{store}/batches") if n.endswith(".json") and not n.startswith("."))
+    if not done:
+        raise ValueError(f"nothing has been taken up in {store}")
+    tables = {n: spark.read.option("basePath", f"{store}/{n}").parquet(*(f"{store}/{n}/batch={b}" for b in done)).drop("batch") for n in ("files", "documents", "passages", "embeddings")}
+    return tables | {"postings": living.read(spark, f"{store}/index")}
