@@ -6,7 +6,7 @@ memory is one batch.
 
 Defined cases: a null text is the empty text; the payload is padded with zero bytes to a positive multiple of
 64, so the empty text is one row of zeros; equal texts give equal files, digests and features; a null or damaged
-file gives a null payload and its reason in `error`, never a failed job; other columns are carried unchanged
+file, and one that would open to more than `MOST_BYTES`, gives a null payload and its reason in `error`, never a failed job; other columns are carried unchanged
 under the caller's choice.
 """
 
@@ -27,6 +27,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Most bytes of compressed data in one IDAT chunk.
 CHUNK = 1 << 20
+#: Largest side that the format allows, and most bytes that a file may open to unless the caller says otherwise.
+LARGEST_SIDE, MOST_BYTES = (1 << 31) - 1, 1 << 29
+#: Bytes that are decompressed at once.
+STEP = 1 << 20
 #: Samples per pixel of each PNG colour type.
 SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
 NONE, SUB, UP, AVERAGE, PAETH = range(5)
@@ -108,8 +112,25 @@ def unfilter(lines: np.ndarray, width: int, samples: int) -> np.ndarray:
     return out
 
 
-def decode(png: bytes) -> np.ndarray:
-    """The samples of a PNG, (rows, columns, samples); every chunk's checksum and the stream's are tested."""
+def _opened(data: bytes, size: int) -> bytes:
+    """What `data` decompresses to, which must be `size` bytes; in steps, so that memory follows what is there and not what a header says."""
+    stream, out = zlib.decompressobj(), bytearray()
+    try:
+        while not stream.eof and len(out) <= size:
+            part = stream.decompress(data, min(STEP, size + 1 - len(out)))
+            data = stream.unconsumed_tail
+            if not part and not data:
+                break
+            out += part
+    except zlib.error as e:
+        raise Damaged(f"data: {e}") from e
+    if len(out) != size or not stream.eof or stream.unused_data:
+        raise Damaged("wrong amount of data")
+    return bytes(out)
+
+
+def decode(png: bytes, most: int = MOST_BYTES) -> np.ndarray:
+    """The samples of a PNG, (rows, columns, samples); every chunk's checksum and the stream's are tested. Above `most` bytes it is not opened."""
     if png[:8] != SIGNATURE:
         raise Damaged("no PNG signature")
     at, head, data, ended, last = 8, None, [], False, b""
@@ -138,13 +159,9 @@ def decode(png: bytes) -> np.ndarray:
     if not width or not height:
         raise Damaged("no samples")
     size = height * (width * samples + 1)
-    stream = zlib.decompressobj()
-    try:
-        raw = stream.decompress(b"".join(data), size + 1)  # no more than the header allows, whatever the stream holds
-    except zlib.error as e:
-        raise Damaged(f"data: {e}") from e
-    if len(raw) != size or not stream.eof or stream.unused_data:
-        raise Damaged("wrong amount of data")
+    if max(width, height) > LARGEST_SIDE or size > most:
+        raise Damaged(f"{width} by {height} is too large")
+    raw = _opened(b"".join(data), size)
     return unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), width, samples)
 
 
