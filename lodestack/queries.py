@@ -354,6 +354,27 @@ def lost_passages(spark, d):
     return lookup.lost_ids(ids, _vectors(spark, d))
 
 
+def _ranged(spark, rows: DataFrame, key: str) -> lookup.RangedStore:
+    return lookup.write_ranged(rows, shared_path(spark, "ranged"), key, 500)
+
+
+@register(SQL["get_document"])
+def get_document_ranged(spark, d):
+    """The same from a store in folders of ids, of which only those asked for are read."""
+    docs = table(spark, d, "documents")
+    x = F.col("doc_id")
+    wanted = docs.select(F.explode(F.array(x, -1 - x, x + 1000000000000)).alias("doc_id"))
+    return lookup.documents_by_id(wanted, _ranged(spark, docs, "doc_id")).select("doc_id", "status", F.md5("doc_text").alias("text_md5"))
+
+
+@register(SQL["search_with_documents"])
+def search_ranged(spark, d):
+    """Search whose passages and documents come from stores in folders of ids."""
+    passages, docs = _ranged(spark, _passages(spark, d), "passage_id"), _ranged(spark, table(spark, d, "documents"), "doc_id")
+    found = S.search_passages(_requests(spark, d, rerank=False, k=50, return_fulltext=True), passages, S.exact(_vectors(spark, d)))
+    return S.search_documents(found, docs).select("query_id", "doc_id", "occurrences", "rank", F.md5("doc_text").alias("text_md5"))
+
+
 # Index
 
 _LISTS = "c0 AS (SELECT vec_id AS list_id, embedding::DOUBLE[] AS c FROM embeddings WHERE vec_id < 8)"
@@ -593,9 +614,9 @@ SELECT query_id, string_agg(passage_id::VARCHAR, ',' ORDER BY rank) AS passages,
 FROM r JOIN documents d ON d.doc_id = passage_id WHERE rank <= 10 GROUP BY query_id""").format(score=_IP)
 
 
-def _batch(spark, d, k):
+def _batch(spark, d, k, text="text"):
     v = _vectors(spark, d)
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text", F.col("source").alias("domain"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), F.expr(text).alias("text"), F.col("source").alias("domain"))
     return S.batch_retrieval(S.exact(v)(_queries(v), k), rows)
 
 
@@ -605,11 +626,11 @@ def batch_retrieval(spark, d):
     return out.select("query_id", F.array_join(F.col("passage_ids").cast("array<string>"), ",").alias("passages"), F.array_join("domains", ",").alias("domains"))
 
 
-@register(_BATCH.replace("rank <= 10", "rank <= 4096"))
+@register(_BATCH.replace("rank <= 10", "rank <= 4096").replace("AS domains", "AS domains, string_agg(md5(coalesce(text, '')), ',' ORDER BY rank) AS digests"))
 def batch_retrieval_4096(spark, d):
-    """At the batch job's own number of neighbours."""
-    out = _batch(spark, d, S.BATCH_K)
-    return out.select("query_id", F.array_join(F.col("passage_ids").cast("array<string>"), ",").alias("passages"), F.array_join("domains", ",").alias("domains"))
+    """At the batch job's own number of neighbours; the lists have digests of the texts, which are what is compared."""
+    out = _batch(spark, d, S.BATCH_K, "md5(coalesce(text, ''))")
+    return out.select("query_id", F.array_join(F.col("passage_ids").cast("array<string>"), ",").alias("passages"), F.array_join("domains", ",").alias("domains"), F.array_join("texts", ",").alias("digests"))
 
 
 # Files
@@ -735,6 +756,16 @@ def load_summary(spark, d):
     return _rounded(metrics.latency_metrics(log, "concurrency", "fulltext"))
 
 
+_QS = (0.0, 0.05, 0.5, 0.9, 0.999, 1.0)
+
+
+@register(" UNION ALL ".join(f"SELECT event_type, {q}::DOUBLE AS q, round(quantile_cont(value::DOUBLE, {q}), 6) AS value FROM events GROUP BY 1" for q in _QS))
+def latency_quantiles(spark, d):
+    """Exact quantiles by rounds of counts, no group held together."""
+    out = metrics.quantiles(_log(spark, d), _QS, "event_type")
+    return out.select("event_type", "q", F.round("value", 6).alias("value"))
+
+
 @register(f"SELECT event_type, round(100.0 * count(*) FILTER (ok) / count(*), 6) AS success_rate, round(avg(x), 6) AS mean FROM {_E} GROUP BY 1")
 def warmup_summary(spark, d):
     return _rounded(metrics.warmup_summary(_log(spark, d), "event_type"))
