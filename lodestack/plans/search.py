@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import enough_words, fetch_size
 from ..operators import ivf
 from ..operators.embed import embed
+from ..operators.lookup import RangedStore
 from ..operators.ranking import lexical, rank_documents, rerank
 from ..operators.topk import exact_topk, ranked
+from ..session import written
 
 DEFAULTS = {"k": 10, "return_fulltext": False, "rerank": True, "initial_k": 25, "min_words": None}
 MOST = {"k": 100, "initial_k": 1000}
@@ -50,7 +52,7 @@ def with_vectors(requests: DataFrame, **how) -> DataFrame:
 PASSAGE_COLUMNS = ("passage_file", "passage_position", "doc_file", "doc_position")
 
 
-def search_passages(requests: DataFrame, passages: DataFrame, candidates: Callable[[DataFrame, int], DataFrame], scorer: Callable[[DataFrame], DataFrame] | None = lexical) -> DataFrame:
+def search_passages(requests: DataFrame, passages: DataFrame | RangedStore, candidates: Callable[[DataFrame, int], DataFrame], scorer: Callable[[DataFrame], DataFrame] | None = lexical) -> DataFrame:
     """Ranked passages of `accepted` requests that carry qvec.
 
     `candidates` gives query_id, passage_id, score for queries and a number, in the form of exact or index search; it is asked for no
@@ -63,6 +65,9 @@ def search_passages(requests: DataFrame, passages: DataFrame, candidates: Callab
     extra = ["nprobe"] if "nprobe" in asked.columns else []
     found = candidates(asked.select("query_id", "qvec", *extra), most).join(settings, "query_id")
     found = found.where(F.col("rank") <= F.col("fetch_k")).drop("rank")
+    if isinstance(passages, RangedStore):
+        found = written(found, "found")  # it says what to read, and is joined to that
+        passages = passages.near(found)
     rows = found.join(passages.select("passage_id", "doc_id", F.col("text").alias("passage_text"), *(c for c in PASSAGE_COLUMNS if c in passages.columns)), "passage_id")
     rows = rows.where(enough_words(F.col("passage_text"), F.col("min_words")))
     rows = ranked(rows, F.col("base_k"))
@@ -71,9 +76,13 @@ def search_passages(requests: DataFrame, passages: DataFrame, candidates: Callab
     return plain.unionByName(again).drop("base_k", "fetch_k", "min_words")
 
 
-def search_documents(found: DataFrame, docs: DataFrame, ranking="occurrence") -> DataFrame:
+def search_documents(found: DataFrame, docs: DataFrame | RangedStore, ranking="occurrence") -> DataFrame:
     """Ranked documents of found passages; their texts are read after the cut."""
-    return rank_documents(found, ranking).join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
+    best = rank_documents(found, ranking)
+    if isinstance(docs, RangedStore):
+        best = written(best, "documents")
+        docs = docs.near(best)
+    return best.join(docs.select("doc_id", F.col("text").alias("doc_text")), "doc_id")
 
 
 def responses(requests: DataFrame, found: DataFrame, documents: DataFrame | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack import queries
-from lodestack.operators import ivf, topk
+from lodestack.operators import ivf, lookup, metrics, topk
 from lodestack.operators.topk import Best, exact_topk, task_best
 from lodestack.session import shared_path
 
@@ -241,3 +241,77 @@ def _scans(df):
             out.append(metric.get().value() if metric.isDefined() else None)
         todo += [p.children().apply(i) for i in range(p.children().size())]
     return out
+
+
+def _files_read(df):
+    """Files that each scan of the plan that ran has read."""
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif name == "FileSourceScanExec":
+            out.append((p.relation().location().rootPaths().mkString(), p.metrics().get("numFiles").get().value()))
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_lookups_read_what_they_need(spark):
+    """Ten ids: at most ten files of two hundred; ids that are not there, repeated, negative or null are told as ever."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(8)
+    store = lookup.write_ranged(docs.unionByName(spark.createDataFrame([(None, "lost"), (-4, "lost")], "doc_id long, text string")), shared_path(spark, "ranged"), "doc_id", 100)
+    wanted = [3, 4, 250, 999, 1000, 12_345, 12_346, 19_999, 7_777, 5_005]
+    ids = spark.createDataFrame([(i, n) for n, i in enumerate(wanted)], "doc_id long, position int")
+    found = lookup.passages_by_id(ids, store, "doc_id")
+    assert sorted((r.doc_id, r.text, r.position) for r in found.collect()) == sorted((i, f"text {i}", n) for n, i in enumerate(wanted))
+    assert [n for path, n in _files_read(found) if "ranged" in path] == [8]
+    odd = spark.createDataFrame([(5,), (5,), (-4,), (10**12,), (20_000,), (None,)], "doc_id long")
+    got = sorted((str(r.doc_id), r.status, r.doc_text) for r in lookup.documents_by_id(odd, store).collect())
+    assert got == sorted([("5", "found", "text 5")] * 2 + [(str(i), "not_found", None) for i in (-4, 10**12, 20_000, None)])
+    assert [r.doc_id for r in lookup.lost_ids(ids.unionByName(spark.createDataFrame([(20_001, 0)], ids.schema)), store, "doc_id").collect()] == [20_001]
+    assert lookup.documents_of(ids.limit(0), store).count() == 0
+    again = lookup.read_ranged(spark, store.rows.inputFiles()[0].split("/_span=")[0])
+    assert (again.key, again.span, again.rows.count()) == ("doc_id", 100, 20_000)
+    with pytest.raises(ValueError, match="not whole"):
+        lookup.read_ranged(spark, shared_path(spark, "nothing"))
+
+
+def test_quantiles(spark):
+    """Every kind of number, ties, groups of one, null groups; against numpy."""
+    rng = np.random.default_rng(13)
+    groups = {"a": rng.normal(size=1001), "b": np.r_[rng.integers(0, 3, 500), -0.0, 0.0], "c": [7.5], None: -(10.0 ** rng.uniform(-300, 300, 77)), "inf": [-np.inf, 1.0, 2.0, 5e-324], "d": np.r_[1e308, -1e308, 0.0]}
+    rows = [(g, float(x)) for g, of in groups.items() for x in of] + [("a", None), ("only null", None)]
+    log = spark.createDataFrame(rows, "g string, latency double").repartition(5)
+    qs = [0.0, 0.1, 0.5, 0.95, 1.0]
+    got = {(r.g, r.q): r.value for r in metrics.quantiles(log, qs, "g").collect()}
+    assert set(got) == {(g, q) for g in groups for q in qs}
+    for g, of in groups.items():
+        for q in qs:
+            s, at = np.sort(np.asarray(of, float)), q * (len(of) - 1)
+            a, b = float(s[int(at)]), float(s[int(np.ceil(at))])
+            assert np.array_equal(got[g, q], a if a == b else a + (b - a) * (at - int(at)), equal_nan=True)
+    assert metrics.quantiles(log.limit(0), qs, "g").count() == 0
+    assert np.isnan(metrics.quantiles(spark.createDataFrame([(float("nan"),), (1.0,)], "latency double"), [1.0]).first().value)
+
+
+def test_metrics_of_long_logs(spark):
+    rng = np.random.default_rng(14)
+    rows = [(None if i % 50 == 0 else int(i % 3), float(x), bool(i % 7)) for i, x in enumerate(rng.exponential(size=3000))]
+    log = spark.createDataFrame(rows, "level int, latency double, success boolean").repartition(4)
+    for by in ((), ("level",)):
+        few, many = (sorted(map(str, metrics.latency_metrics(log, *by, held=held).select(*by, "total_requests", *(F.round(c, 9) for c in ("median", "p95", "p99", "mean"))).collect())) for held in (10**6, 100))
+        assert few == many
+    few, many = (sorted(map(str, metrics.histogram(log, "level", held=held).withColumn("median", F.round("median", 9)).collect())) for held in (10**6, 100))
+    assert few == many
+
+
+def test_quantiles_of_a_large_group(spark):
+    """Two million distinct values in one group."""
+    rows = spark.range(2_000_000, numPartitions=8).select((F.xxhash64("id") / float(1 << 40)).alias("latency"))
+    (half, last) = (r.value for r in metrics.quantiles(rows, [0.5, 1.0]).orderBy("q").collect())
+    assert last == rows.agg(F.max("latency")).first()[0]
+    below = rows.where(F.col("latency") < half).count()
+    assert below == 1_000_000
