@@ -14,31 +14,47 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def running_sums(rows: DataFrame, order: list[str], amount: str | None = None, name: str = "start", start: int = 0) -> DataFrame:
-    """`rows` with `name`: `start` and the sum of `amount` (a long, 1 without one) over all rows before, in the order of `order`.
+def running_totals(rows: DataFrame, order: list[str], sums: dict[str, tuple[str | None, int]]) -> DataFrame:
+    """`rows` with a column for each of `sums`, (amount, start) by name: start and the sum of amount (a long; None: 1) over all rows before.
 
-    `order` should be unique, or ties fall as they lie. Rows are dealt by ranges, sorted and added up within tasks and written
+    The order of `order` should be unique, or ties fall as they lie. Rows are dealt by ranges, sorted and added up within tasks and written
     once; one sum per task goes to the driver. Give it keys and amounts alone where the rest of a row is large.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("_n", F.col(amount).cast("long") if amount else F.lit(1).cast("long")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    names, k = list(sums), len(sums)
+    amounts = {f"_n{i}": F.col(c).cast("long") if c else F.lit(1).cast("long") for i, (c, _) in enumerate(sums.values())}
+    dealt = rows.withColumns(amounts).repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, done = TaskContext.get().partitionId(), 0
+        part, done = TaskContext.get().partitionId(), [0] * k
         for b in batches:
-            n = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False).astype(np.int64)
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.full(len(n), part, np.int32)), pa.array(done + ends - n), pa.array(n)], [*b.schema.names[:-1], "_part", "_local", "_n"])
-            done += int(ends[-1]) if len(n) else 0
+            local, own = [], []
+            for i in range(k):
+                n = b.column(b.num_columns - k + i).to_numpy(zero_copy_only=False).astype(np.int64)
+                ends = np.cumsum(n)
+                local.append(pa.array(done[i] + ends - n))
+                own.append(pa.array(n))
+                done[i] += int(ends[-1]) if len(n) else 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:-k], pa.array(np.full(b.num_rows, part, np.int32)), *local, *own], [*b.schema.names[:-k], "_part", *(f"_l{i}" for i in range(k)), *(f"_n{i}" for i in range(k))])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    placed = written(dealt.mapInArrow(run, f"{kinds}, _part int, _local long, _n long"), "placed")
-    sums = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.sum("_n").alias("n")).collect())
-    before = np.concatenate([[start], start + np.cumsum([n for _, n in sums])])[: len(sums)].astype(np.int64)
-    offsets = spark.createDataFrame(pa.table({"_of": pa.array([p for p, _ in sums], pa.int32()), "_before": pa.array(before)}), "_of int, _before long")
+    kinds += ", _part int" + "".join(f", _l{i} long" for i in range(k)) + "".join(f", _n{i} long" for i in range(k))
+    placed = written(dealt.mapInArrow(run, kinds), "placed")
+    found = sorted(tuple(r) for r in placed.groupBy("_part").agg(*(F.sum(f"_n{i}").alias(f"n{i}") for i in range(k))).collect())
+    at, before = [start for _, start in sums.values()], []
+    for _, *n in found:
+        before.append(at)
+        at = [a + x for a, x in zip(at, n)]
+    columns = {"_of": pa.array([r[0] for r in found], pa.int32())} | {f"_b{i}": pa.array([b[i] for b in before], pa.int64()) for i in range(k)}
+    offsets = spark.createDataFrame(pa.table(columns), "_of int" + "".join(f", _b{i} long" for i in range(k)))
     joined = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_of"))  # a row per task
-    return joined.withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_of", "_before", "_local", "_n")
+    return joined.select(*(F.col(f"`{c}`") for c in rows.columns if c not in names), *((F.col(f"_b{i}") + F.col(f"_l{i}")).alias(n) for i, n in enumerate(names)))
+
+
+def running_sums(rows: DataFrame, order: list[str], amount: str | None = None, name: str = "start", start: int = 0) -> DataFrame:
+    """`running_totals` of one amount (1 without one)."""
+    return running_totals(rows, order, {name: (amount, start)})
 
 
 def dense_ids(rows: DataFrame, order: list[str], name: str = "id", start: int = 0) -> DataFrame:
@@ -55,7 +71,7 @@ def starts(counts: DataFrame, order: str = "file_id", count: str = "n", name: st
 
 def line_positions(spark: SparkSession, path: str) -> DataFrame:
     """file_name, file_path, position (byte offset) and value of each line that is not blank; blank lines count for offsets alone."""
-    return positioned(spark.read.option("lineSep", "\n").text(path).select(*line_columns()))
+    return positioned(spark.read.option("lineSep", "\n").text(path).select(*line_columns())).drop("number")
 
 
 def line_columns() -> list[Column]:
@@ -63,33 +79,42 @@ def line_columns() -> list[Column]:
     return [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), F.col("value")]
 
 
-def positioned(lines: DataFrame) -> DataFrame:
-    """`line_positions` of lines that come with their file_path and split.
+def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
+    """`line_positions` of lines that come with their file_path and split, and number: of each line among the file's lines that are not blank, from 0.
 
-    A file's splits are summed apart: lengths are added up within a split as it is read, and each split's sum goes to the later ones.
+    Of each of `amounts` (a long, by the line's value) there is the amount, and under the name with "_before" its sum over the file's earlier lines that are
+    not blank. A file's splits are summed apart: all is added up within a split as it is read, and each split's sums go to the later
+    ones, so no line is shuffled.
     """
     from pyspark.sql import Window
 
+    names = ["size", "number", *(f"{c}_before" for c in amounts)]
+    rows = lines.select("file_path", "split", "value", *(c.cast("long").alias(n) for n, c in amounts.items()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of a split come in order and a split is read by one task, one after another."""
-        at, done = None, 0
+        at, done = None, np.zeros(len(names), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            size = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            names, splits = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (splits[1:] != splits[:-1])) + 1).tolist(), len(size)]
-            local = np.empty(len(size), np.int64)
+            real = pc.match_substring_regex(b.column(2), "[^ \\t\\n\\x0B\\f\\r]").to_numpy(zero_copy_only=False)
+            own = [pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1, real.astype(np.int64), *(np.where(real, pc.fill_null(c, 0).to_numpy(zero_copy_only=False), 0) for c in b.columns[3:])]
+            paths, splits = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((paths[1:] != paths[:-1]) | (splits[1:] != splits[:-1])) + 1).tolist(), b.num_rows]
+            local = np.empty((len(names), b.num_rows), np.int64)
             for i, j in zip(cuts[:-1], cuts[1:]):
-                if (names[i], splits[i]) != at:
-                    at, done = (names[i], splits[i]), 0
-                ends = np.cumsum(size[i:j])
-                local[i:j], done = done + ends - size[i:j], done + int(ends[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(local), pa.array(size)], ["file_path", "split", "value", "local", "size"])
-
-    placed = written(lines.mapInArrow(run, "file_path string, split long, value string, local long, size long"), "lines")
+                if (paths[i], splits[i]) != at:
+                    at, done = (paths[i], splits[i]), np.zeros(len(names), np.int64)
+                ends = np.cumsum(np.stack([x[i:j] for x in own]), axis=1)
+                local[:, i:j] = done[:, None] + ends - np.stack([x[i:j] for x in own])
+                done = done + ends[:, -1]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in local), *(pa.array(x) for x in own)], [*b.schema.names, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))])
+
+    kinds = ", ".join(f"{c} long" for c in (*amounts, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))))
+    placed = written(rows.mapInArrow(run, f"file_path string, split long, value string, {kinds}"), "lines")
     earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("file_path", "split").agg(F.sum("size").alias("n"))
-    sums = sums.select("file_path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    rows = placed.where(F.col("value").rlike("\\S")).join(sums, ["file_path", "split"])
-    return rows.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", (F.col("before") + F.col("local")).alias("position"), "value")
+    sums = placed.groupBy("file_path", "split").agg(*(F.sum(f"_n{k}").alias(f"_s{k}") for k in range(len(names))))
+    sums = sums.select("file_path", "split", *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(names))))
+    found = placed.where(F.col("_n1") == 1).join(sums, ["file_path", "split"])
+    of = lambda k: F.col(f"_b{k}") + F.col(f"_l{k}")
+    return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", of(0).alias("position"), "value", of(1).alias("number"), *amounts, *(of(k).alias(names[k]) for k in range(2, len(names))))

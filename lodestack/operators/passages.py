@@ -36,6 +36,16 @@ def passage_table(docs: DataFrame, size: int = 128, least_last: int = 64, tokeni
     return rows.withColumn("passage_id", F.col("_start") + F.col("chunk_index")).drop("_start")
 
 
+def chunk_count(text: Column, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens) -> Column:
+    """How many passages a text gives."""
+    return T.n_chunks(F.size(tokenize(text)), size, least_last).cast("long")
+
+
+def numbered(docs: DataFrame, start: str, size: int = 128, least_last: int = 64, **how) -> DataFrame:
+    """`passages` with passage_id, of documents that know where theirs begin (column `start`, which is dropped). Nothing is shuffled."""
+    return passages(docs, size, least_last, **how).withColumn("passage_id", F.col(start) + F.col("chunk_index")).drop(start)
+
+
 def per_file(rows: DataFrame, file: str = "file_id") -> DataFrame:
     """Rows per file with the running total over files in order."""
     from pyspark.sql import Window

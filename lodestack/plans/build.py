@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import domain_of, passage_file
 from ..operators import ivf
 from ..operators.embed import embed
-from ..operators.ids import dense_ids, line_positions, running_sums
-from ..operators.passages import passage_table
+from ..operators.ids import line_positions, running_sums, running_totals
+from ..operators.passages import chunk_count, numbered
 from ..operators.verify import verify
 from ..sources.catalog import NOTE, delete, file_catalogue, fingerprint, json_line, missing_files, read_note, stage, text_of, write_note
 
@@ -56,16 +56,17 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
     files, of_files = stage(spark, f"{store}/files", lambda: file_catalogue(texts), {"input": fingerprint}, rebuild)
     named = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(files), "file_name")  # a row per file name
 
-    def numbered() -> DataFrame:
+    def documents() -> DataFrame:
         by = order or (["doc_position"] if "doc_position" in texts.columns else None)
         if by is None:
             raise ValueError("order must name the columns that documents of a file follow")
-        return dense_ids(named, ["file_id", *by], "doc_id")
+        counted = named.withColumn("_passages", chunk_count(F.col("text"), size, least_last))
+        return running_totals(counted, ["file_id", *by], {"doc_id": (None, 0), "passage_start": ("_passages", 0)}).drop("_passages")
 
-    docs, of_docs = stage(spark, f"{store}/documents", numbered, given(of_files, order=order), rebuild)
+    docs, of_docs = stage(spark, f"{store}/documents", documents, given(of_files, order=order, size=size, least_last=least_last), rebuild)
 
     def cut() -> DataFrame:
-        rows = passage_table(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), *(c for c in ["doc_position"] if c in docs.columns), "text"), size, least_last)
+        rows = numbered(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), *(c for c in ["doc_position"] if c in docs.columns), "text", "passage_start"), "passage_start", size, least_last)
         return rows.withColumn("passage_file", passage_file(F.col("file_name")))
 
     cuts, of_cuts = stage(spark, f"{store}/passages", cut, given(of_docs, size=size, least_last=least_last), rebuild)

@@ -10,7 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -502,7 +502,10 @@ def embeddings_renewed(spark, d):
     return out.select("passage_id", "dim", F.round("value", 5).cast("double").alias("value"))
 
 
-@register()
+@register("""WITH c AS (SELECT label, count(*) AS n, greatest(1, 300 // count(*) OVER ()) AS quota FROM embeddings GROUP BY label),
+m AS (SELECT vec_id, label, ('0x' || substr(md5('1234:' || vec_id), 1, 10))::BIGINT AS h FROM embeddings),
+r AS (SELECT vec_id, m.label, quota, row_number() OVER (PARTITION BY m.label ORDER BY h, vec_id) AS r FROM m JOIN c USING (label) WHERE h < least(1.0::DOUBLE, (2.0 * quota + 50)::DOUBLE / n) * 1099511627776)
+SELECT vec_id AS passage_id, label::BIGINT AS file_id FROM r WHERE r <= quota""")
 def training_sample(spark, d):
     v = _vectors(spark, d)
     path = shared_path(spark, "sample")
@@ -538,11 +541,11 @@ def ivf_append(spark, d):
     return _entries(ivf.read_postings(spark, path), q)
 
 
-@register("SELECT label::VARCHAR AS domain, count(*) AS n FROM embeddings WHERE label::VARCHAR <= '4' GROUP BY 1")
+@register(f"WITH {_LISTS} SELECT e.label::VARCHAR AS domain, a.vec_id AS passage_id, a.list_id::INT AS list_id FROM {_ASSIGN.format(c='c0')} a JOIN embeddings e USING (vec_id) WHERE e.label::VARCHAR <= '4'")
 def domain_snapshot(spark, d):
     v = _vectors(spark, d)
     posts = ivf.encode(v, ivf.Quantiser(_seeds(v)), "file_id")
-    return ivf.in_domains(posts, "4").groupBy("domain").agg(F.sum(F.size("passage_ids")).alias("n"))
+    return ivf.entry_ids(ivf.in_domains(posts, "4"))
 
 
 @register(_ENTRIES)
@@ -589,19 +592,26 @@ def index_compacted(spark, d):
     return _entries(living.read(spark, path), q)
 
 
+def _json_files(spark, d, base: str) -> list[str]:
+    """Documents as JSON lines at `base`/in, a file per source under the source's name, in the order of doc_id."""
+    line = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    docs = table(spark, d, "documents").select("source", "doc_id", line.alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{base}/written")
+    names = [n for n in catalog.names_below(spark, f"{base}/written") if n.startswith("source=")]  # a name per source
+    for n in names:
+        catalog.move(spark, catalog.files_below(spark, f"{base}/written/{n}")[0], f"{base}/in/{n.removeprefix('source=')}--raw_passages-0.jsonl")
+    return names
+
+
 @register(_CHUNKS.format(size=128, least=64) + """, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1 AS passage FROM p)
 SELECT source AS domain, passage, chunk_index, md5(array_to_string(part, ' ')) AS text_md5, 1 AS entries FROM o""")
 def stream_from_files(spark, d):
     """Files of texts, taken up by a stream in two batches: passages numbered on from batch to batch, each in the index once."""
     base = shared_path(spark, "stream")
     docs = table(spark, d, "documents")
-    line = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
-    docs.select("source", "doc_id", line.alias("value")).repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{base}/written")
-    names = [n for n in catalog.names_below(spark, f"{base}/written") if n.startswith("source=")]
-    for n in names:  # a file per source, under the source's name
-        catalog.move(spark, catalog.files_below(spark, f"{base}/written/{n}")[0], f"{base}/in/{n.removeprefix('source=')}--raw_passages-0.jsonl")
-    v = written(embed(docs.select(F.col("doc_id").alias("passage_id"), "text"), "passage_id"), "vectors")
-    grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, None), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
+    names = _json_files(spark, d, base)
+    v = embed(docs.select(F.col("doc_id").alias("passage_id"), "source", "text"), "passage_id", carry=("source",))
+    grow(spark, f"{base}/in", f"{base}/store", ivf.train(ivf.sample(v, 10_000, "source"), 8, 16, 6), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
     out = grown(spark, f"{base}/store")
     entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
     first = out["passages"].groupBy("file_id").agg(F.min("passage_id").alias("first"))
@@ -845,17 +855,79 @@ def corpus_build_passages(spark, d):
     return out["passages"].select("passage_id", "doc_id", "chunk_index", "passage_file", F.md5("text").alias("text_md5"))
 
 
-@register(_CHUNKS.format(size=128, least=64) + """SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'passages', count(*) FROM p
-UNION ALL SELECT 'indexed', count(*) FROM p UNION ALL SELECT 'files', count(DISTINCT source) FROM documents UNION ALL SELECT 'violations', 0""")
+_DIGEST = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+def _digest(*columns):
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *columns).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+@register(_CHUNKS.format(size=128, least=64) + f""", o AS (SELECT doc_id, source, text, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id FROM documents),
+k AS (SELECT p.*, new_id, row_number() OVER (ORDER BY new_id, chunk_index) - 1 AS passage_id FROM p JOIN o USING (doc_id))
+SELECT 'documents' AS name, count(*) AS n, sum({_DIGEST.format("new_id || ':' || source || ':' || coalesce(text, '')")})::BIGINT AS digest FROM o
+UNION ALL SELECT 'passages', count(*), sum({_DIGEST.format("passage_id || ':' || new_id || ':' || chunk_index || ':' || array_to_string(part, ' ')")})::BIGINT FROM k
+UNION ALL SELECT 'indexed', count(*), sum({_DIGEST.format("passage_id::VARCHAR")})::BIGINT FROM k
+UNION ALL SELECT 'files', count(*), sum({_DIGEST.format("file_id || ':' || source")})::BIGINT FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS file_id FROM (SELECT DISTINCT source FROM documents))
+UNION ALL SELECT 'violations', 0, 0""")
 def corpus_build_stages(spark, d):
+    """Tables of a build by number of rows and the sum of their rows' digests, so that every id, text and place counts."""
     texts = table(spark, d, "documents").select(F.col("source").alias("file_name"), "text", F.col("doc_id").alias("line"))
     out = corpus_build.build(texts, shared_path(spark, "store"), n_lists=16, subs=8, order=["line"])
-    named = lambda n, df: df.select(F.lit(n).alias("name"), F.col(df.columns[0]).cast("long").alias("n"))
-    parts = [named("documents", out["documents"].agg(F.count("*"))), named("passages", out["passages"].agg(F.count("*"))), named("indexed", out["postings"].agg(F.sum(F.size("passage_ids")))), named("files", out["files"].agg(F.count("*"))), named("violations", out["report"].agg(F.sum("violations")))]
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    return all_
+    told = {
+        "documents": (out["documents"], ("doc_id", "file_name", "text")), "passages": (out["passages"], ("passage_id", "doc_id", "chunk_index", "text")),
+        "indexed": (ivf.entry_ids(out["postings"]), ("passage_id",)), "files": (out["files"], ("file_id", "file_name")),
+    }
+    parts = [df.agg(F.count("*").alias("n"), F.sum(_digest(*columns)).alias("digest")).select(F.lit(n).alias("name"), "n", "digest") for n, (df, columns) in told.items()]
+    parts.append(out["report"].agg(F.sum("violations").alias("n")).select(F.lit("violations").alias("name"), "n", F.lit(0).cast("long").alias("digest")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@register(_CHUNKS.format(size=128, least=64) + """, o AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS new_id, strlen('{"text":' || to_json(coalesce(text, ''))::VARCHAR || '}') + 1 AS size, source FROM documents),
+x AS (SELECT *, (sum(size) OVER (PARTITION BY source ORDER BY doc_id) - size)::BIGINT AS doc_position FROM o),
+k AS (SELECT p.chunk_index, p.source, x.new_id, x.doc_position, row_number() OVER (ORDER BY new_id, chunk_index) - 1 AS passage_id, array_to_string(part, ' ') AS text FROM p JOIN x USING (doc_id)),
+l AS (SELECT *, strlen('{"passage_id":' || passage_id || ',"text":' || to_json(text)::VARCHAR || '}') + 1 AS size FROM k)
+SELECT source AS domain, passage_id, new_id AS doc_id, chunk_index, doc_position, (sum(size) OVER (PARTITION BY source ORDER BY passage_id) - size)::BIGINT AS passage_position, md5(text) AS text_md5 FROM l""")
+def build_from_files(spark, d):
+    """JSON-lines files, one per source, to passages with the byte positions of their documents and of themselves."""
+    base = shared_path(spark, "files")
+    _json_files(spark, d, base)
+    out = corpus_build.build_files(spark, f"{base}/in", f"{base}/store", n_lists=8, subs=None)["passages"]
+    return out.select(T.domain_of(F.col("file_name")).alias("domain"), "passage_id", "doc_id", "chunk_index", "doc_position", "passage_position", F.md5("text").alias("text_md5"))
+
+
+def _letters(text):
+    """A caller's tokenizer: runs of letters and numbers, in lower case."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+@register(_CHUNKS.format(size=128, least=64).replace(r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')", "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')") + "SELECT doc_id, chunk_index, len(part) AS n_tokens, md5(array_to_string(part, '_')) AS text_md5 FROM p")
+def passage_chunks_own_tokenizer(spark, d):
+    """Passages by a caller's tokenizer and detokenizer."""
+    out = passages(table(spark, d, "documents").select("doc_id", "text"), 128, 64, _letters, lambda part: F.array_join(part, "_"))
+    return out.select("doc_id", "chunk_index", "n_tokens", F.md5("text").alias("text_md5"))
+
+
+def _fewest_words(pairs: DataFrame) -> DataFrame:
+    """A caller's scorer: shorter passages first."""
+    return pairs.withColumn("rerank_score", -F.size(T.tokens(F.col("passage_text"))).cast("double"))
+
+
+def _last_passage(found: DataFrame) -> DataFrame:
+    """A caller's ranking of documents: the one whose last passage comes last is first."""
+    grouped = found.groupBy("query_id", "doc_id").agg(F.count("*").alias("occurrences"), F.max("rank").alias("last"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("last"), "doc_id")
+    return grouped.withColumn("rank", F.row_number().over(order))
+
+
+@register(_FOUND.format(fetch=25, words="true", base=25) + r"""
+x AS (SELECT *, -len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::DOUBLE AS rs FROM b),
+p AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, r0) AS rank FROM x) WHERE rank <= 10),
+g AS (SELECT query_id, doc_id, count(*) AS occurrences, max(rank) AS last FROM p GROUP BY ALL)
+SELECT query_id, doc_id, occurrences, last, row_number() OVER (PARTITION BY query_id ORDER BY last DESC, doc_id) AS rank FROM g""")
+def search_own_rules(spark, d):
+    """Search with a caller's scorer of pairs and a caller's ranking of documents."""
+    found = S.search_passages(_requests(spark, d), _passages(spark, d), S.exact(_vectors(spark, d)), _fewest_words)
+    return ranking.rank_documents(found, _last_passage).select("query_id", "doc_id", "occurrences", "last", "rank")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

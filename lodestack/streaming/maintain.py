@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -10,10 +10,10 @@ from pyspark.sql.types import StructType
 from ..functions.text import domain_of, passage_file
 from ..operators import ivf, living
 from ..operators.embed import embed
-from ..operators.ids import dense_ids, line_columns, positioned
-from ..operators.passages import passage_table
-from ..session import discard, written
-from ..sources.catalog import delete, file_catalogue, names_below, read_note, text_of, write_note
+from ..operators.ids import line_columns, positioned
+from ..operators.passages import chunk_count, numbered
+from ..session import discard
+from ..sources.catalog import delete, names_below, read_note, text_of, write_note
 
 
 def maintain(spark: SparkSession, embeddings: str, schema: StructType | str, q: ivf.Quantiser, postings: str, checkpoint: str, domain: str | None = None, files_per_batch: int = 1000) -> StreamingQuery:
@@ -75,17 +75,21 @@ def take_up(lines: DataFrame, number: int, store: str, q: ivf.Quantiser, size: i
         rows.write.parquet(path)
         return spark.read.parquet(path)
 
-    texts = written(positioned(lines).select("file_name", F.col("position").alias("doc_position"), text_of(F.col("value")).alias("text")), "texts")
-    known = table("files", file_catalogue(texts).withColumn("file_id", F.col("file_id") + first["files"]))
-    docs = table("documents", dense_ids(texts.join(F.broadcast(known), "file_name"), ["file_id", "doc_position"], "doc_id", first["documents"]))  # a row per file
-    rows = passage_table(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), "doc_position", "text"), size, least_last, first=first["passages"])
-    cuts = table("passages", rows.withColumn("passage_file", passage_file(F.col("file_name"))))
+    placed = positioned(lines, n=chunk_count(text_of(F.col("value")), size, least_last))
+    counts = placed.groupBy("file_name").agg(F.count("*").alias("documents"), F.sum("n").alias("passages"))  # a row per file
+    before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first[c]
+    known = table("files", counts.select("file_name", before("documents").alias("first_doc"), before("passages").alias("first_passage"), (F.row_number().over(Window.orderBy("file_name")) - 1 + first["files"]).cast("long").alias("file_id")))
+    texts = placed.join(F.broadcast(known), "file_name")  # a row per file of a batch
+    rows = texts.select("file_name", "file_id", F.col("position").alias("doc_position"), text_of(F.col("value")).alias("text"), (F.col("first_doc") + F.col("number")).alias("doc_id"), (F.col("first_passage") + F.col("n_before")).alias("passage_start"))
+    docs = table("documents", rows)
+    discard(placed.select("value"))
+    cut = numbered(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), "doc_position", "text", "passage_start"), "passage_start", size, least_last)
+    cuts = table("passages", cut.withColumn("passage_file", passage_file(F.col("file_name"))))
     vectors = table("embeddings", embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")))
     living.add(spark, f"{store}/index", vectors, q, "domain", "files", number)
     living.compact(spark, f"{store}/index", q, fan)
     ends = {n: first[n] + t.count() for n, t in zip(_NUMBERS, (known, docs, cuts))}
     write_note(spark, f"{store}/batches/{number}.json", {"read": files, "first": first, "next": ends})
-    discard(texts)
 
 
 def grow(spark: SparkSession, path: str, store: str, q: ivf.Quantiser, checkpoint: str, files_per_batch: int = 1000, **how) -> StreamingQuery:

@@ -69,6 +69,26 @@ def test_line_positions_in_split_files(spark, tmp_path):
     assert all(data[r.position :].startswith(r.value.encode()) for r in rows)
 
 
+def test_sums_over_lines_and_totals(spark, tmp_path):
+    """Numbers and sums within files that lie in several splits; several totals at once."""
+    rng = np.random.default_rng(3)
+    files = {f"{n}.txt": ["" if i % 5 == 2 else "x" * int(rng.integers(1, 60)) for i in range(700)] for n in "ab"}
+    for name, lines in files.items():
+        (tmp_path / name).write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows = ids.positioned(spark.read.option("lineSep", "\n").text(str(tmp_path)).select(*ids.line_columns()), n=F.length("value")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, lines in files.items():
+        real = [t for t in lines if t]
+        got = sorted((r.number, r.n, r.n_before, r.value) for r in rows if r.file_name == name)
+        assert got == [(i, len(t), sum(map(len, real[:i])), t) for i, t in enumerate(real)]
+    amounts = spark.range(500).select((F.col("id") * 7 % 501).alias("x"), (F.col("id") % 9).alias("n"), F.lit("other").alias("start"))
+    out = ids.running_totals(amounts, ["x"], {"at": (None, 5), "before": ("n", 0)}).orderBy("x").collect()
+    assert [r["at"] for r in out] == list(range(5, 505)) and [r.before for r in out] == np.concatenate([[0], np.cumsum([r.n for r in out])[:-1]]).tolist()
+
+
 def test_texts_missing_or_null(spark, tmp_path):
     (tmp_path / "f.jsonl").write_text('{"x":1}\n{"text":null}\n{"text":"a"}\n')
     assert sorted(r.text for r in catalog.read_texts(spark, str(tmp_path)).collect()) == ["", "", "a"]
