@@ -49,31 +49,35 @@ def with_vectors(rows: DataFrame, key: str, vector: str, *more: Column) -> DataF
 BLOCK = "ids array<long>, dim int, vectors binary"
 
 
-def blocks(rows: DataFrame, key: str, vector: str, size: int = 4096) -> DataFrame:
-    """Rows of at most `size` vectors (float32) each, cut where they lie; vectors that are null are left out."""
+def blocks(rows: DataFrame, key: str, vector: str, size: int = 4096, number: Column | None = None) -> DataFrame:
+    """Rows of at most `size` vectors (float32) each, cut where they lie; vectors that are null are left out. With a `number` for each, these too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         n = 0
 
-        def out(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([x.shape[1]], pa.int32()), pa.array([np.ascontiguousarray(x, np.float32).tobytes()], pa.binary())], ["ids", "dim", "vectors"])
+        def out(ids: np.ndarray, x: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+            more = [pa.array([v.tolist()], pa.list_(pa.int32())) for v in numbers]
+            return pa.RecordBatch.from_arrays([pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([x.shape[1]], pa.int32()), pa.array([np.ascontiguousarray(x, np.float32).tobytes()], pa.binary()), *more], ["ids", "dim", "vectors", "numbers"][: 3 + len(more)])
+
+        def joined() -> list[np.ndarray]:
+            return [np.concatenate(parts) for parts in zip(*held)]
 
         for b in batches:
             if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1), b.column(0))))
+            held.append((b.column(0).to_numpy(zero_copy_only=False), as_matrix(b.column(1), b.column(0)), *(c.to_numpy(zero_copy_only=False) for c in b.columns[2:])))
             n += b.num_rows
             if n >= size:
-                ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                whole = n - n % size
+                all_, whole = joined(), n - n % size
                 for i in range(0, whole, size):
-                    yield out(ids[i : i + size], x[i : i + size])
-                held, n = [(ids[whole:], x[whole:])], n - whole
+                    yield out(*(a[i : i + size] for a in all_))
+                held, n = [tuple(a[whole:] for a in all_)], n - whole
         if n:
-            yield out(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            yield out(*joined())
 
-    return with_vectors(rows, key, vector).mapInArrow(run, BLOCK)
+    more = [] if number is None else [number.cast("int").alias("_number")]
+    return with_vectors(rows, key, vector, *more).mapInArrow(run, BLOCK + ", numbers array<int>" * len(more))
 
 
 def from_block(ids: pa.Scalar, dim: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_matrix, with_vectors
@@ -84,6 +84,11 @@ class Quantiser:
         return 4 * self.centroids.shape[1] if self.codebooks is None else self.codebooks.shape[0]
 
 
+def _mark(key: str, seed: int) -> Column:
+    """40 bits of the MD5 of seed and key, which any engine can make."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 10), 16, 10).cast("long")
+
+
 def sample(embeddings: DataFrame, size: int, file: str = "file_id", key: str = "passage_id", seed: int = SEED) -> DataFrame:
     """max(1, size // files) rows of each file by hash, no more than it has; of more files than `size`, that many by hash.
 
@@ -93,11 +98,10 @@ def sample(embeddings: DataFrame, size: int, file: str = "file_id", key: str = "
     counts = embeddings.groupBy(file).agg(F.count("*").alias("_n"))
     files = counts.count()
     if files > size:
-        counts = counts.orderBy(F.xxhash64(file, F.lit(seed)), file).limit(size)
+        counts = counts.orderBy(_mark(file, seed), file).limit(size)
     quota = max(1, size // max(1, files))
-    mark = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
     share = F.least(F.lit(1.0), F.lit(2.0 * quota + 50) / F.col("_n"))
-    near = embeddings.withColumn("_h", mark).join(counts, file).where(F.col("_h") < share * float(1 << 40))
+    near = embeddings.withColumn("_h", _mark(key, seed)).join(counts, file).where(F.col("_h") < share * float(1 << 40))
     picked = near.withColumn("_r", F.row_number().over(Window.partitionBy(file).orderBy("_h", key))).where(F.col("_r") <= quota)
     return picked.drop("_h", "_r", "_n")
 
@@ -432,11 +436,11 @@ def in_domains(postings: DataFrame, upto: str) -> DataFrame:
     return postings.where(F.col("domain") <= upto)
 
 
-_PROBES = "list_id int, coarse double, {vector} array<float>"
+_PROBES = "list_id int, coarse double, {vector} array<float>, fetch_k int"
 
 
 def probes(queries: DataFrame, q: Quantiser, nprobe: int, key: str = "query_id", vector: str = "qvec") -> DataFrame:
-    """query_id, list_id, coarse and qvec of each query's best lists; a column `nprobe` overrides the number."""
+    """query_id, list_id, coarse, qvec and fetch_k (null if there is none) of each query's best lists; a column `nprobe` overrides the number."""
     own = "nprobe" if "nprobe" in queries.columns else None
     most = F.coalesce(F.col(own), F.lit(nprobe)) if own else F.lit(nprobe)
 
@@ -448,7 +452,7 @@ def probes(queries: DataFrame, q: Quantiser, nprobe: int, key: str = "query_id",
 
 
 def _probed(queries: DataFrame, q: Quantiser, setting, chosen, key: str = "query_id", vector: str = "qvec") -> DataFrame:
-    """One row for each query and list that `chosen` names, from scores by list, each query's `setting`, and the vectors."""
+    """One row for each query and list that `chosen` names, from scores by list, each query's `setting`, and the vectors; a query's own fetch_k goes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -458,9 +462,10 @@ def _probed(queries: DataFrame, q: Quantiser, setting, chosen, key: str = "query
             score = x @ q.centroids.T
             picked = chosen(score, b.column(2).to_numpy(zero_copy_only=False), x)
             row, lists = np.repeat(np.arange(len(x)), [len(p) for p in picked]), np.concatenate(picked)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(lists.astype(np.int32)), pa.array(score[row, lists]), b.column(1).take(pa.array(row))], [key, "list_id", "coarse", vector])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(lists.astype(np.int32)), pa.array(score[row, lists]), b.column(1).take(pa.array(row)), b.column(3).take(pa.array(row))], [key, "list_id", "coarse", vector, "fetch_k"])
 
-    return with_vectors(queries, key, vector, setting.alias("_setting")).mapInArrow(run, f"{key} long, " + _PROBES.format(vector=vector))
+    own = F.col("fetch_k").cast("int") if "fetch_k" in queries.columns else F.lit(None).cast("int").alias("fetch_k")
+    return with_vectors(queries, key, vector, setting.alias("_setting"), own).mapInArrow(run, f"{key} long, " + _PROBES.format(vector=vector))
 
 
 def search(queries: DataFrame, postings: DataFrame, q: Quantiser, k: int = 10, nprobe: int = 256) -> DataFrame:
@@ -475,10 +480,10 @@ def search(queries: DataFrame, postings: DataFrame, q: Quantiser, k: int = 10, n
 
 
 def scanned(probed: DataFrame, postings: DataFrame, q: Quantiser, k: int) -> DataFrame:
-    """The best k of each query over the lists of its probes (query_id, list_id, qvec).
+    """The best k of each query over the lists of its probes (query_id, list_id, qvec, fetch_k).
 
     The probes of a list are put in blocks of queries, and each block meets the list's posting blocks, by one set of matrix
-    operations; a task sends on k rows a query at most.
+    operations; a task sends on k rows a query at most, or as many as the query's fetch_k says, if that is less.
     """
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,7 +494,7 @@ def scanned(probed: DataFrame, postings: DataFrame, q: Quantiser, k: int) -> Dat
             for i, j in zip(cuts[:-1], cuts[1:]):
                 for a in range(i, j, QUERY_BLOCK):
                     part = b.slice(a, min(QUERY_BLOCK, j - a))
-                    yield pa.RecordBatch.from_arrays([pa.array([lists[a]], pa.int32()), pa.array([part.column(0).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([as_matrix(part.column(2)).astype(np.float64).tobytes()], pa.binary())], ["list_id", "query_ids", "vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array([lists[a]], pa.int32()), pa.array([part.column(0).to_numpy(zero_copy_only=False)], pa.list_(pa.int64())), pa.array([as_matrix(part.column(2)).astype(np.float64).tobytes()], pa.binary()), pa.array([part.column(3).fill_null(k).to_numpy(zero_copy_only=False)], pa.list_(pa.int32()))], ["list_id", "query_ids", "vectors", "limits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(k, distinct=q.border > 1)
@@ -497,16 +502,16 @@ def scanned(probed: DataFrame, postings: DataFrame, q: Quantiser, k: int) -> Dat
             for i in range(b.num_rows):
                 of = b.column(1)[i].values.to_numpy(zero_copy_only=False)
                 x = np.frombuffer(b.column(2)[i].as_py()).reshape(len(of), -1)
-                ids = b.column(3)[i].values.to_numpy(zero_copy_only=False)
-                codes = np.frombuffer(b.column(4)[i].as_py(), np.uint8).reshape(len(ids), q.code_size)
-                if b.column(5)[i].is_valid:
-                    live = alive(len(ids), b.column(5)[i])
+                ids = b.column(4)[i].values.to_numpy(zero_copy_only=False)
+                codes = np.frombuffer(b.column(5)[i].as_py(), np.uint8).reshape(len(ids), q.code_size)
+                if b.column(6)[i].is_valid:
+                    live = alive(len(ids), b.column(6)[i])
                     ids, codes = ids[live], codes[live]
-                yield from best.add(of, q.score(x, b.column(0)[i].as_py(), codes), ids)
+                yield from best.add(of, q.score(x, b.column(0)[i].as_py(), codes), ids, b.column(3)[i].values.to_numpy(zero_copy_only=False))
         yield best.out()
 
-    asked = probed.select("query_id", "list_id", "qvec").repartition("list_id").sortWithinPartitions("list_id").mapInArrow(gathered, "list_id int, query_ids array<long>, vectors binary")
-    met = asked.join(with_dead(postings), "list_id").select("list_id", "query_ids", "vectors", "passage_ids", "codes", "dead").mapInArrow(run, FOUND)
+    asked = probed.select("query_id", "list_id", "qvec", "fetch_k").repartition("list_id").sortWithinPartitions("list_id").mapInArrow(gathered, "list_id int, query_ids array<long>, vectors binary, limits array<int>")
+    met = asked.join(with_dead(postings), "list_id").select("list_id", "query_ids", "vectors", "limits", "passage_ids", "codes", "dead").mapInArrow(run, FOUND)
     if q.border > 1:  # one entry of a vector, the best; queries stay together for the cut
         met = met.repartition("query_id").groupBy("query_id", "passage_id").agg(F.max("score").alias("score"))
     return ranked(met, k)
@@ -550,7 +555,7 @@ def bounds(embeddings: DataFrame, q: Quantiser, key: str = "passage_id", vector:
 def bounded_probes(queries: DataFrame, first: DataFrame, q: Quantiser, b: Bounds, k: int) -> DataFrame:
     """The lists that may hold one of a query's best k, given what a `first` search found (query_id, score)."""
     bar = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
-    known = queries.select("query_id", "qvec").join(bar, "query_id", "left")
+    known = queries.join(bar, "query_id", "left")
     setting = F.coalesce(F.when(F.col("_n") >= k, F.col("_least")), F.lit(float("-inf")))
     slack = 1e-6  # above what rounding does to scores, bounds and single-precision entries
 

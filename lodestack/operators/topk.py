@@ -41,22 +41,26 @@ class Best:
 
     def _reset(self) -> None:
         self.names: dict[int, int] = {}
-        self.bar = np.zeros(0)
+        self.bar, self.limit = np.zeros(0), np.zeros(0, np.int64)
         self.kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))  # query's number, score, id
         self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n_fresh = 0
 
-    def add(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """`score` has a row for each query and a column for each id."""
+    def add(self, queries: np.ndarray, score: np.ndarray, ids: np.ndarray, limits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """`score` has a row for each query and a column for each id; a query may have a limit of its own below k."""
         if not score.size:
             return
         score = np.round(score, 9)
         at = np.array([self.names.setdefault(q, len(self.names)) for q in queries.tolist()])
         if len(self.names) > len(self.bar):
-            self.bar = np.concatenate([self.bar, np.full(max(len(self.names), len(self.bar)), -np.inf)])
-        bar, m = self.bar[at], score.shape[1]
-        if m > self.k:
-            bar = np.maximum(bar, np.partition(score, m - self.k, axis=1)[:, m - self.k])
+            more = max(len(self.names), len(self.bar))
+            self.bar, self.limit = np.concatenate([self.bar, np.full(more, -np.inf)]), np.concatenate([self.limit, np.full(more, self.k)])
+        if limits is not None:
+            self.limit[at] = np.minimum(limits, self.k)
+        bar, m, most = self.bar[at], score.shape[1], self.limit[at]
+        for k in np.unique(most[most < m]).tolist():
+            of = most == k
+            bar[of] = np.maximum(bar[of], np.partition(score[of], m - k, axis=1)[:, m - k] if k else np.inf)
         row, column = np.nonzero(score >= bar[:, None])
         self.fresh.append((at[row], score[row, column], ids[column]))
         self.n_fresh += len(row)
@@ -74,9 +78,10 @@ class Best:
             order = order[~again[np.argsort(by_id)][order]]
         row = row[order]
         place = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = place < self.k
+        limit = self.limit[row]
+        keep = place < limit
         self.kept = row[keep], score[order][keep], ids[order][keep]
-        last = place[keep] == self.k - 1
+        last = place[keep] == limit[keep] - 1
         self.bar[self.kept[0][last]] = self.kept[1][last]
         self.fresh, self.n_fresh = [], 0
 
@@ -90,29 +95,31 @@ class Best:
 
 
 def task_best(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "ip", query_key: str = "query_id", query_vector: str = "qvec", key: str = "passage_id", vector: str = "embedding", query_block: int = 1024, block: int = 4096) -> DataFrame:
-    """query_id, passage_id and score of each task's best: at most k rows for each query and task."""
+    """query_id, passage_id and score of each task's best: at most k rows for each query and task, or as many as a query's own `fetch_k` says, if that is less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, at = Best(k), None
         for b in batches:
             for i in range(b.num_rows):
                 q_ids, q = from_block(b.column(0)[i], b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                ids, x = from_block(b.column(3)[i], b.column(4)[i].as_py(), b.column(5)[i].as_py())
+                ids, x = from_block(b.column(4)[i], b.column(5)[i].as_py(), b.column(6)[i].as_py())
                 if outer and at is not None and q_ids.tobytes() != at:
                     yield best.out()  # these queries do not come by again
                 at = q_ids.tobytes() if outer else None
                 score = q @ x.T
                 if metric == "l2":
                     score = 0.0 - np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1) - 2 * score, 0))
-                yield from best.add(q_ids, score, ids)
+                yield from best.add(q_ids, score, ids, b.column(3)[i].values.to_numpy(zero_copy_only=False))
         yield best.out()
 
+    limit = F.coalesce(F.col("fetch_k"), F.lit(k)) if "fetch_k" in queries.columns else F.lit(k)
+    queries = queries.select(query_key, query_vector, limit.alias("_limit"))
     outer = k > SMALL_K
     if outer:  # a block of queries meets all of a task's vectors before the next one does
-        queries = written(queries.select(query_key, query_vector), "queries")
+        queries = written(queries, "queries")
         queries = queries.repartition(-(-max(1, queries.count()) // QUERIES_A_TASK))
         query_block = min(query_block, max(16, HELD // (2 * k)))
-    q = blocks(queries, query_key, query_vector, query_block).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "vectors")))
+    q = blocks(queries, query_key, query_vector, query_block, F.col("_limit")).select(*(F.col(c).alias(f"q_{c}") for c in ("ids", "dim", "vectors", "numbers")))
     met = (q.hint("shuffle_replicate_nl") if outer else q).crossJoin(blocks(corpus, key, vector, block))
     return met.mapInArrow(run, FOUND)
 

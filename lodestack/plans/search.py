@@ -55,15 +55,15 @@ PASSAGE_COLUMNS = ("passage_file", "passage_position", "doc_file", "doc_position
 def search_passages(requests: DataFrame, passages: DataFrame | RangedStore, candidates: Callable[[DataFrame, int], DataFrame], scorer: Callable[[DataFrame], DataFrame] | None = lexical) -> DataFrame:
     """Ranked passages of `accepted` requests that carry qvec.
 
-    `candidates` gives query_id, passage_id, score for queries and a number, in the form of exact or index search; it is asked for no
-    more than the largest fetch_k. Fetching and the word filter come before the cut to base_k, which comes before re-ranking and the
+    `candidates` gives query_id, passage_id, score for queries and a number, in the form of exact or index search; it is asked for the
+    largest fetch_k, and each query has its own beside it, so that a request for many does not make the others fetch as many. Fetching and the word filter come before the cut to base_k, which comes before re-ranking and the
     cut to k; the word filter stays above the top-k, since below it would change what is fetched.
     """
     asked = requests.where(F.col("query").rlike("\\S"))
     most = asked.agg(F.max("fetch_k")).first()[0] or 1
     settings = asked.select("query_id", "query", "k", "base_k", "fetch_k", "min_words", "rerank")
     extra = ["nprobe"] if "nprobe" in asked.columns else []
-    found = candidates(asked.select("query_id", "qvec", *extra), most).join(settings, "query_id")
+    found = candidates(asked.select("query_id", "qvec", "fetch_k", *extra), most).join(settings, "query_id")
     found = found.where(F.col("rank") <= F.col("fetch_k")).drop("rank")
     if isinstance(passages, RangedStore):
         found = written(found, "found")  # it says what to read, and is joined to that
@@ -112,6 +112,8 @@ def indexed(postings: DataFrame, q: ivf.Quantiser, nprobe: int = 256, embeddings
     """
 
     def candidates(queries: DataFrame, k: int) -> DataFrame:
+        if embeddings is not None and "fetch_k" in queries.columns:
+            queries = queries.withColumn("fetch_k", F.col("fetch_k") * wider)
         found = ivf.search(queries, postings, q, k * wider if embeddings is not None else k, nprobe)
         return found if embeddings is None else ivf.rescored(found, queries, embeddings, k)
 

@@ -77,6 +77,20 @@ def test_top_k_is_cut_in_tasks_at_any_k(spark, k, monkeypatch):
     assert pairs(exact_topk(q, v, k, block=512)) == want
 
 
+def test_each_query_has_its_own_number(spark):
+    """A request for many does not make the others fetch as many, by exact and by index search."""
+    v = vectors(spark, unit(np.random.default_rng(21), 1000)).repartition(2).coalesce(2)
+    q = asked(v, 100).withColumn("fetch_k", F.when(F.col("query_id") == 300, 500).when(F.col("query_id") == 400, 0).when(F.col("query_id") > 600, None).otherwise(7).cast("int"))
+    want = {i: {300: 500, 400: 0}.get(i, 900 if i > 600 else 7) for i in range(0, 1000, 100)}
+    whole = {(r.query_id, r["rank"]): r.passage_id for r in exact_topk(asked(v, 100), v, 900).collect()}
+    model = ivf.Quantiser(unit(np.random.default_rng(22), 4))
+    for found in (exact_topk(q, v, 900, block=64), ivf.search(q, ivf.encode(v, model, block=64), model, 900, 4)):
+        got = {(r.query_id, r["rank"]): r.passage_id for r in found.collect()}
+        assert all(got[i, r] == whole[i, r] for i, n in want.items() for r in range(1, n + 1))
+    sent = task_best(q, v, 900, block=64).groupBy("query_id", F.spark_partition_id()).count().collect()
+    assert all(r["count"] <= want[r.query_id] for r in sent)
+
+
 def test_index_search_is_cut_in_tasks(spark):
     v = vectors(spark, unit(np.random.default_rng(2), 3000))
     q = asked(v, 300)
