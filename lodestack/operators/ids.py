@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from ..session import written
 
 
-def running_totals(rows: DataFrame, order: list[str], sums: dict[str, tuple[str | None, int]]) -> DataFrame:
+def running_totals(rows: DataFrame, order: list[str], sums: dict[str, tuple[Column | str | None, int]]) -> DataFrame:
     """`rows` with a column for each of `sums`, (amount, start) by name: start and the sum of amount (a long; None: 1) over all rows before.
 
-    The order of `order` should be unique, or ties fall as they lie. Rows are dealt by ranges, sorted and added up within tasks and written
+    An amount that is an expression is worked out where a row has been dealt to. The order of `order` should be unique, or ties fall as they lie. Rows are dealt by ranges, sorted and added up within tasks and written
     once; one sum per task goes to the driver. Give it keys and amounts alone where the rest of a row is large.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     names, k = list(sums), len(sums)
-    amounts = {f"_n{i}": F.col(c).cast("long") if c else F.lit(1).cast("long") for i, (c, _) in enumerate(sums.values())}
-    dealt = rows.withColumns(amounts).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    amounts = {f"_n{i}": (F.lit(1) if c is None else F.col(c) if isinstance(c, str) else c).cast("long") for i, (c, _) in enumerate(sums.values())}
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns(amounts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, done = TaskContext.get().partitionId(), [0] * k

@@ -31,7 +31,7 @@ from .topk import FOUND, Best, ranked
 SEED, BLOCK, QUERY_BLOCK = 1234, 4096, 256
 POSTINGS = "list_id int, domain string, passage_ids array<long>, codes binary"
 #: Bytes of a sample that the driver may fit itself.
-LOCAL_BYTES = 8 << 20
+LOCAL_BYTES = 2 << 20
 
 
 @dataclass

@@ -60,8 +60,7 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
         by = order or (["doc_position"] if "doc_position" in texts.columns else None)
         if by is None:
             raise ValueError("order must name the columns that documents of a file follow")
-        counted = named.withColumn("_passages", chunk_count(F.col("text"), size, least_last))
-        return running_totals(counted, ["file_id", *by], {"doc_id": (None, 0), "passage_start": ("_passages", 0)}).drop("_passages")
+        return running_totals(named, ["file_id", *by], {"doc_id": (None, 0), "passage_start": (chunk_count(F.col("text"), size, least_last), 0)})
 
     docs, of_docs = stage(spark, f"{store}/documents", documents, given(of_files, order=order, size=size, least_last=least_last), rebuild)
 
