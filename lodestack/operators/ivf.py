@@ -556,7 +556,8 @@ def bounded_probes(queries: DataFrame, first: DataFrame, q: Quantiser, b: Bounds
     """The lists that may hold one of a query's best k, given what a `first` search found (query_id, score)."""
     bar = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
     known = queries.join(bar, "query_id", "left")
-    setting = F.coalesce(F.when(F.col("_n") >= k, F.col("_least")), F.lit(float("-inf")))
+    wanted = F.least(F.coalesce(F.col("fetch_k"), F.lit(k)), F.lit(k)) if "fetch_k" in queries.columns else F.lit(k)
+    setting = F.coalesce(F.when(F.col("_n") >= wanted, F.col("_least")), F.lit(float("-inf")))
     slack = 1e-6  # above what rounding does to scores, bounds and single-precision entries
 
     def chosen(score: np.ndarray, least: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
