@@ -13,6 +13,7 @@ from ..operators.embed import embed
 from ..operators.ids import line_positions, running_sums, running_totals
 from ..operators.passages import chunk_count, numbered
 from ..operators.verify import verify
+from ..session import discard
 from ..sources.catalog import NOTE, delete, file_catalogue, fingerprint, json_line, missing_files, read_note, stage, text_of, write_note
 
 
@@ -46,6 +47,7 @@ def write_passage_files(passages: DataFrame, path: str) -> None:
 def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, sample_size: int = 10_000_000, rebuild: bool = False, retrain: bool = False, dim: int = 64, encoder=None, encoder_name: str = "hashed", order: list[str] | None = None, fingerprint: str | None = None, turns: int = 0, border: int = 1) -> dict[str, DataFrame]:
     """All tables of a corpus from `texts` (file_name, text and what `order` names, by default the line's doc_position if there is one).
 
+    `passages` are `cuts` joined to their positions; who needs no positions takes `cuts`, for which no text is shuffled.
     Texts that are null count as empty. Document ids follow the file's name and then `order`. A table that is there is reused if it is whole and
     was made with the same settings, from the same tables, and, where a `fingerprint` is given, from the same input; otherwise it and what
     follows from it is made anew. `rebuild` makes every table anew; `retrain` the quantiser and what follows from it. An index over
@@ -54,15 +56,19 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
     spark = texts.sparkSession
     given = lambda note, **settings: {"from": note["id"], **settings}
     files, of_files = stage(spark, f"{store}/files", lambda: file_catalogue(texts), {"input": fingerprint}, rebuild)
+    scratch: list[DataFrame] = []
     named = texts.withColumn("text", F.coalesce("text", F.lit(""))).join(F.broadcast(files), "file_name")  # a row per file name
 
     def documents() -> DataFrame:
         by = order or (["doc_position"] if "doc_position" in texts.columns else None)
         if by is None:
             raise ValueError("order must name the columns that documents of a file follow")
-        return running_totals(named, ["file_id", *by], {"doc_id": (None, 0), "passage_start": (chunk_count(F.col("text"), size, least_last), 0)})
+        scratch.append(running_totals(named, ["file_id", *by], {"doc_id": (None, 0), "passage_start": (chunk_count(F.col("text"), size, least_last), 0)}))
+        return scratch[-1]
 
     docs, of_docs = stage(spark, f"{store}/documents", documents, given(of_files, order=order, size=size, least_last=least_last), rebuild)
+    for rows in scratch:
+        discard(rows)  # the numbered rows are in `documents` now
 
     def cut() -> DataFrame:
         rows = numbered(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), *(c for c in ["doc_position"] if c in docs.columns), "text", "passage_start"), "passage_start", size, least_last)
@@ -88,7 +94,7 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
         ivf.write_postings(ivf.encode(vectors, q, "domain"), f"{store}/postings")
         write_note(spark, f"{store}/postings/{NOTE}", {"given": given(of_index), "rows": ivf.read_postings(spark, f"{store}/postings").count()})
     postings = ivf.read_postings(spark, f"{store}/postings")
-    return {"files": files, "documents": docs, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings, border)}
+    return {"files": files, "documents": docs, "cuts": cuts, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings, border)}
 
 
 def build_files(spark: SparkSession, path: str, store: str, **how) -> dict[str, DataFrame]:

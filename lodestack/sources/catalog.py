@@ -185,7 +185,7 @@ def stage(spark: SparkSession, path: str, make, given: dict | None = None, rebui
         except Exception:  # no file is left, or one cannot be read: it is made anew, and what fails then is an error
             pass
     delete(spark, path)
-    make().write.mode("overwrite").parquet(path)
+    make().write.mode("overwrite").option("compression", "zstd").parquet(path)
     found = spark.read.parquet(path)
     note = {"given": given, "rows": found.count(), "id": uuid.uuid4().hex}
     write_note(spark, f"{path}/{NOTE}", note)
