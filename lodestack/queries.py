@@ -615,8 +615,9 @@ def stream_from_files(spark, d):
     out = grown(spark, f"{base}/store")
     entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
     first = out["passages"].groupBy("file_id").agg(F.min("passage_id").alias("first"))
-    rows = out["passages"].join(first, "file_id").join(entries, "passage_id", "left")
-    return rows.select(T.domain_of(F.col("file_name")).alias("domain"), (F.col("passage_id") - F.col("first")).alias("passage"), "chunk_index", F.md5("text").alias("text_md5"), "entries")
+    told = out["passages"].select("file_id", "passage_id", "file_name", "chunk_index", F.md5("text").alias("text_md5"))  # digests are joined, not texts
+    rows = told.join(first, "file_id").join(entries, "passage_id", "left")
+    return rows.select(T.domain_of(F.col("file_name")).alias("domain"), (F.col("passage_id") - F.col("first")).alias("passage"), "chunk_index", "text_md5", "entries")
 
 
 _BATCH = _TOPK.replace("SELECT query_id, passage_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10", """
@@ -874,7 +875,7 @@ def corpus_build_stages(spark, d):
     texts = table(spark, d, "documents").select(F.col("source").alias("file_name"), "text", F.col("doc_id").alias("line"))
     out = corpus_build.build(texts, shared_path(spark, "store"), n_lists=16, subs=8, order=["line"])
     told = {
-        "documents": (out["documents"], ("doc_id", "file_name", "text")), "passages": (out["passages"], ("passage_id", "doc_id", "chunk_index", "text")),
+        "documents": (out["documents"], ("doc_id", "file_name", "text")), "passages": (out["cuts"], ("passage_id", "doc_id", "chunk_index", "text")),
         "indexed": (ivf.entry_ids(out["postings"]), ("passage_id",)), "files": (out["files"], ("file_id", "file_name")),
     }
     parts = [df.agg(F.count("*").alias("n"), F.sum(_digest(*columns)).alias("digest")).select(F.lit(n).alias("name"), "n", "digest") for n, (df, columns) in told.items()]

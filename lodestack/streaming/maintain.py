@@ -72,7 +72,7 @@ def take_up(lines: DataFrame, number: int, store: str, q: ivf.Quantiser, size: i
     def table(name: str, rows: DataFrame) -> DataFrame:
         path = f"{store}/{name}/batch={number}"
         delete(spark, path)
-        rows.write.parquet(path)
+        rows.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
     placed = positioned(lines, n=chunk_count(text_of(F.col("value")), size, least_last))
