@@ -610,8 +610,9 @@ def stream_from_files(spark, d):
     base = shared_path(spark, "stream")
     docs = table(spark, d, "documents")
     names = _json_files(spark, d, base)
-    v = embed(docs.select(F.col("doc_id").alias("passage_id"), "source", "text"), "passage_id", carry=("source",))
-    grow(spark, f"{base}/in", f"{base}/store", ivf.train(ivf.sample(v, 10_000, "source"), 8, 16, 6), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
+    chosen = ivf.sample(docs.select(F.col("doc_id").alias("passage_id"), "source", "text"), 10_000, "source")  # by ids, so only the sample is embedded
+    v = embed(chosen, "passage_id", carry=("source",))
+    grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, 16, 6), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
     out = grown(spark, f"{base}/store")
     entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
     first = out["passages"].groupBy("file_id").agg(F.min("passage_id").alias("first"))
