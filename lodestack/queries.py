@@ -610,8 +610,9 @@ def stream_from_files(spark, d):
     base = shared_path(spark, "stream")
     docs = table(spark, d, "documents")
     names = _json_files(spark, d, base)
-    chosen = ivf.sample(docs.select(F.col("doc_id").alias("passage_id"), "source", "text"), 10_000, "source")  # by ids, so only the sample is embedded
-    v = embed(chosen, "passage_id", carry=("source",))
+    rows = docs.select(F.col("doc_id").alias("passage_id"), "source", "text")
+    chosen = ivf.sample(rows.select("passage_id", "source"), 10_000, "source").select("passage_id")  # no text is shuffled, and only the sample embedded
+    v = embed(rows.join(F.broadcast(chosen), "passage_id", "left_semi"), "passage_id", carry=("source",))  # at most 10,000 ids
     grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, 16, 6), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
     out = grown(spark, f"{base}/store")
     entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
