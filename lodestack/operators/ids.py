@@ -111,7 +111,7 @@ def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in local), *(pa.array(x) for x in own)], [*b.schema.names, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))])
 
     kinds = ", ".join(f"{c} long" for c in (*amounts, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))))
-    placed = written(rows.mapInArrow(run, f"file_path string, split long, value string, {kinds}"), "lines")
+    placed = written(rows.mapInArrow(run, f"file_path string, split long, value string, {kinds}"), "lines", compression="zstd")  # whole lines
     earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("file_path", "split").agg(*(F.sum(f"_n{k}").alias(f"_s{k}") for k in range(len(names))))
     sums = sums.select("file_path", "split", *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(names))))

@@ -25,10 +25,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestack/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: ids and samples are fixed from here on, and lineage ends."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """`df` as a table in the shared folder, with options of the Parquet writer: ids and samples are fixed from here on, and lineage ends."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
