@@ -592,34 +592,43 @@ def index_compacted(spark, d):
     return _entries(living.read(spark, path), q)
 
 
-def _json_files(spark, d, base: str) -> list[str]:
-    """Documents as JSON lines at `base`/in, a file per source under the source's name, in the order of doc_id."""
+def _json_files(spark, d, base: str, split: bool = False) -> int:
+    """Documents as JSON lines at `base`/in under their source's name, in the order of doc_id; how many files.
+
+    A source has one file, or with `split` as many as the tasks that its documents were dealt to, numbered in order, so that no task has a whole source.
+    """
     line = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
     docs = table(spark, d, "documents").select("source", "doc_id", line.alias("value"))
-    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{base}/written")
-    names = [n for n in catalog.names_below(spark, f"{base}/written") if n.startswith("source=")]  # a name per source
-    for n in names:
-        catalog.move(spark, catalog.files_below(spark, f"{base}/written/{n}")[0], f"{base}/in/{n.removeprefix('source=')}--raw_passages-0.jsonl")
-    return names
+    dealt = docs.repartitionByRange("source", "doc_id") if split else docs.repartition("source")
+    dealt.sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(f"{base}/written")
+    n_files = 0
+    for n in (n for n in catalog.names_below(spark, f"{base}/written") if n.startswith("source=")):  # a name per source
+        parts = sorted(catalog.files_below(spark, f"{base}/written/{n}"), key=lambda f: (len(f), f))  # by the task's number
+        for i, f in enumerate(parts):
+            catalog.move(spark, f, f"{base}/in/{n.removeprefix('source=')}--raw_passages-{i:06d}.jsonl")
+        n_files += len(parts)
+    return n_files
 
 
 @register(_CHUNKS.format(size=128, least=64) + """, o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, chunk_index) - 1 AS passage FROM p)
 SELECT source AS domain, passage, chunk_index, md5(array_to_string(part, ' ')) AS text_md5, 1 AS entries FROM o""")
 def stream_from_files(spark, d):
-    """Files of texts, taken up by a stream in two batches: passages numbered on from batch to batch, each in the index once."""
+    """Files of texts, several of a source, taken up by a stream in two batches: passages numbered on from batch to batch, each in the index once."""
     base = shared_path(spark, "stream")
     docs = table(spark, d, "documents")
-    names = _json_files(spark, d, base)
+    n_files = _json_files(spark, d, base, split=True)
     rows = docs.select(F.col("doc_id").alias("passage_id"), "source", "text")
     chosen = ivf.sample(rows.select("passage_id", "source"), 10_000, "source").select("passage_id")  # no text is shuffled, and only the sample embedded
     v = embed(rows.join(F.broadcast(chosen), "passage_id", "left_semi"), "passage_id", carry=("source",))  # at most 10,000 ids
-    grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, 16, 6), f"{base}/checkpoint", -(-len(names) // 2)).awaitTermination()
+    grow(spark, f"{base}/in", f"{base}/store", ivf.train(v, 8, 16, 6), f"{base}/checkpoint", -(-n_files // 2)).awaitTermination()
     out = grown(spark, f"{base}/store")
     entries = ivf.entry_ids(out["postings"]).groupBy("passage_id").agg(F.count("*").alias("entries"))
-    first = out["passages"].groupBy("file_id").agg(F.min("passage_id").alias("first"))
-    told = out["passages"].select("file_id", "passage_id", "file_name", "chunk_index", F.md5("text").alias("text_md5"))  # digests are joined, not texts
-    rows = told.join(first, "file_id").join(entries, "passage_id", "left")
-    return rows.select(T.domain_of(F.col("file_name")).alias("domain"), (F.col("passage_id") - F.col("first")).alias("passage"), "chunk_index", "text_md5", "entries")
+    of_files = out["passages"].groupBy("file_id", "file_name").agg(F.min("passage_id").alias("first"), F.count("*").alias("n")).withColumn("domain", T.domain_of(F.col("file_name")))
+    earlier = Window.partitionBy("domain").orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    starts = of_files.select("file_id", "domain", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    told = out["passages"].select("file_id", "passage_id", "chunk_index", F.md5("text").alias("text_md5"))  # digests are joined, not texts
+    rows = told.join(starts, "file_id").join(entries, "passage_id", "left")
+    return rows.select("domain", (F.col("passage_id") + F.col("shift")).alias("passage"), "chunk_index", "text_md5", "entries")
 
 
 _BATCH = _TOPK.replace("SELECT query_id, passage_id, rank, round(s, 6) AS score FROM r WHERE rank <= 10", """
