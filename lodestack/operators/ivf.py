@@ -32,6 +32,8 @@ SEED, BLOCK, QUERY_BLOCK = 1234, 4096, 256
 POSTINGS = "list_id int, domain string, passage_ids array<long>, codes binary"
 #: Bytes of a sample that the driver may fit itself.
 LOCAL_BYTES = 2 << 20
+#: Files of a sample whose counts may go to every task.
+BROADCAST_FILES = 100_000
 
 
 @dataclass
@@ -92,13 +94,15 @@ def _mark(key: str, seed: int) -> Column:
 def sample(embeddings: DataFrame, size: int, file: str = "file_id", key: str = "passage_id", seed: int = SEED) -> DataFrame:
     """max(1, size // files) rows of each file by hash, no more than it has; of more files than `size`, that many by hash.
 
-    So there are at most `size` rows in all, and they stay where they lie. A first cut by hash at twice a file's share keeps a
-    file's rows from meeting in one task; a file where the cut leaves too few (which chance makes rare) gives fewer.
+    So there are at most `size` rows in all, and they stay where they lie. A first cut by hash at twice a file's share, before anything is shuffled,
+    keeps a file's rows from meeting in one task; a file where the cut leaves too few (which chance makes rare) gives fewer.
     """
     counts = embeddings.groupBy(file).agg(F.count("*").alias("_n"))
     files = counts.count()
     if files > size:
         counts = counts.orderBy(_mark(file, seed), file).limit(size)
+    if files <= BROADCAST_FILES:
+        counts = F.broadcast(counts)
     quota = max(1, size // max(1, files))
     share = F.least(F.lit(1.0), F.lit(2.0 * quota + 50) / F.col("_n"))
     near = embeddings.withColumn("_h", _mark(key, seed)).join(counts, file).where(F.col("_h") < share * float(1 << 40))

@@ -329,3 +329,16 @@ def test_quantiles_of_a_large_group(spark):
     assert last == rows.agg(F.max("latency")).first()[0]
     below = rows.where(F.col("latency") < half).count()
     assert below == 1_000_000
+
+
+def test_a_hot_files_rows_are_cut_before_they_meet(spark, monkeypatch):
+    """The cut by hash comes with the scan where files are few, and the sample is the same where their counts are joined by shuffle."""
+    rows = spark.range(20_000).select(F.col("id").alias("passage_id"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 20).alias("file_id"), F.array(F.lit(1.0)).alias("embedding"))
+    few = ivf.sample(rows, 1000)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("WindowGroupLimit") < plan.index("hashpartitioning(file_id") < plan.index("BroadcastHashJoin")  # from the top down: cut, shuffle, join
+    found = {tuple(r) for r in few.select("file_id", "passage_id").collect()}
+    sizes = [n for _, n in few.groupBy("file_id").count().collect()]
+    assert len(sizes) == 20 and max(sizes) == 50 and sum(sizes) == len(found)
+    monkeypatch.setattr(ivf, "BROADCAST_FILES", 0)
+    assert {tuple(r) for r in ivf.sample(rows, 1000).select("file_id", "passage_id").collect()} == found
