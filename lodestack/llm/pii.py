@@ -7,17 +7,17 @@ kind's own check (check digit, ranges, digit count) become small whole-number fe
 candidate, and those at or above their kind's threshold join the base spans. Generators, features, trees and thresholds are one
 projection over the text: nothing is shuffled, and positions come from prefix sums over the pieces between matches.
 
-The trees learn from a hashed sample of about `sample_docs` documents, in which the base patterns mark what is personal. Each
+The trees learn from all documents, in which the base patterns mark what is personal. Each
 marked span is written into its own context in several other forms (addresses spelled out, cards in groups with odd separators,
 telephone numbers without "+"), which are examples; decoys made of it in the same forms (a wrong check digit, too large a part,
 a date or a bare run of digits, a sentence with "at" in brackets), candidates that have a part of a span or more than it, and those
-of the sample that touch no span and fail their check are counter-examples. Secrets have no base pattern: a value with several changes between
+that touch no span and fail their check are counter-examples. Secrets have no base pattern: a value with several changes between
 letters and digits is an example, and so is any value after a password word; letters alone after other words are none.
-The driver fits the trees to counts of distinct feature rows, whose number is bounded by the features' bins, on one half of the
-sample; thresholds are set on the other half, for a precision of `precision` at least, and recall is reported.
+The driver fits the trees to counts of distinct feature rows, whose number is bounded by the features' bins, over one half of all
+documents by a hash of their ids; thresholds are set on the other half, for a precision of `precision` at least, and recall is reported.
 
 Defined cases: a null text is empty and has no spans; positions count code points; kinds come in the order listed;
-without candidates in the sample, or with one label only, the base spans stand alone; rows that repeat are treated
+without candidates, or with one label only, the base spans stand alone; rows that repeat are treated
 alike; other columns are ignored. Patterns start at the head of a run of their characters, so that very long runs
 cost their length and not its square.
 """
@@ -32,10 +32,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import redacted_text, written
+from .common import redacted_text, table_partitions, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-SEED, SAMPLE_DOCS, PRECISION = 42, 20_000, 0.98
+SEED, PRECISION = 42, 0.98
 #: Names of the columns that results have.
 _OWN = {"t", "candidates", *KINDS, *(f"{p}_{k}" for p in ("base", "all") for k in KINDS)}
 
@@ -292,14 +292,14 @@ def _forms(kind: Column, m: Column) -> Column:
     return F.when(kind == 0, of[0]).when(kind == 1, of[1]).when(kind == 2, of[2]).when(kind == 3, of[3]).otherwise(of[4])
 
 
-def examples(picked: DataFrame) -> DataFrame:
-    """half, which, the features and good (1 or 0) of the candidates that can be told, from `picked` (half, text).
+def examples(docs: DataFrame) -> DataFrame:
+    """half, which, the features and good (1 or 0) of the candidates that can be told, from `docs` (half, text).
 
     `which` is the form that an example or decoy was written in, a hundred times its kind and its place in `_forms`; -1 for what stands in the text itself.
     """
     base = lambda k, i: F.transform(k, lambda x: F.struct(F.lit(i).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["before"].alias("before")))
     secret = lambda x: _changes(_value(x["match"])) >= 3
-    d = candidates(base_spans(picked, ("half",)))
+    d = candidates(base_spans(docs, ("half",)))
     d = _found(d, "secret", LOOSE_SECRET, F.col("t").rlike(r"(?i)pass|pwd|token|secret|key"))
     d = d.select("half", F.concat(*(base(k, i) for i, k in enumerate(KINDS[:4])), base(F.filter("secret", secret), 4)).alias("marked"), "candidates")
     d = written(d, "marked")
@@ -311,7 +311,8 @@ def examples(picked: DataFrame) -> DataFrame:
     # Alone and with another number or address behind it, in one run with which it must be told as a part.
     spans = spans.select("half", (F.col("of") * 100 + F.col("place")).alias("which"), "before", "form", F.explode(F.array(*map(F.lit, (" ;", " 20871543 ;", " 27.204.213.132 ;")))).alias("after"))
     made = spans.select("half", "which", "form.good", F.length("before").alias("at"), (F.length("before") + F.length("form.text")).alias("to"), F.concat("before", "form.text", "after").alias("t"))
-    c = candidates(written(made, "forms")).select("half", "which", "good", "at", "to", F.explode_outer("candidates").alias("c")).where("c is not null")
+    dealt = written(made, "forms").repartition(table_partitions(docs.sparkSession))  # its files are few, its candidates many
+    c = candidates(dealt).select("half", "which", "good", "at", "to", F.explode_outer("candidates").alias("c")).where("c is not null")
     whole = (F.col("c.start") == F.col("at")) & (F.col("c.end") == F.col("to"))
     part = (F.col("good") == 1) & (F.col("c.start") < F.col("to")) & (F.col("c.end") > F.col("at"))
     told = c.where(whole | part).select("half", "which", "c", F.when(whole, F.col("good")).otherwise(0).alias("good"))
@@ -330,15 +331,13 @@ class Model(NamedTuple):
     unseen: dict[str, tuple[float, float, int]] = {}
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION, unseen: Sequence[int] = ()) -> Model | None:
-    """Trees and thresholds from `docs` (doc_id, text); None where the sample has no candidates of both labels.
+def train(docs: DataFrame, precision: float = PRECISION, unseen: Sequence[int] = ()) -> Model | None:
+    """Trees and thresholds from `docs` (doc_id, text); None where they have no candidates of both labels.
 
     Forms in `unseen`, numbered as `examples` does, neither train the trees nor set thresholds: they tell how both do on forms that are new.
     """
-    share = min(1.0, sample_docs / max(1, docs.count()))
     mark = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
-    picked = written(docs.where(mark < int(share * (1 << 30))).select((mark % 2).alias("half"), "text"), "picked")
-    counted = examples(picked).withColumn("new", F.col("which").isin(list(unseen)).cast("int") if unseen else F.lit(0)).groupBy("half", "new", *FEATURES).agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    counted = examples(docs.select((mark % 2).alias("half"), "text")).withColumn("new", F.col("which").isin(list(unseen)).cast("int") if unseen else F.lit(0)).groupBy("half", "new", *FEATURES).agg(F.count("*").alias("n"), F.sum("good").alias("good"))
     rows = sorted(counted.collect(), key=lambda r: tuple(r[:-2]))
     half, new, kind, n, good = (np.array([r[f] for r in rows], np.int64) for f in ("half", "new", "kind", "n", "good"))
     x = np.array([[r[f] for f in FEATURES] for r in rows], np.int64).reshape(-1, len(FEATURES))

@@ -336,6 +336,14 @@ def test_pii_on_forms_that_are_new(spark):
         assert n > 100 and precision >= 0.7 and recall >= 0.9, (kind, model.unseen)
 
 
+def test_pii_trains_on_every_document(spark, monkeypatch):
+    """No sample: the trees' examples and counter-examples come from all documents, however many there are."""
+    seen, made = [], pii.examples
+    monkeypatch.setattr(pii, "examples", lambda docs: seen.append(docs.count()) or made(docs))
+    assert pii.train(spark.range(25_000).select(F.col("id").alias("doc_id"), F.lit("plain words").alias("text"))) is None
+    assert seen == [25_000]
+
+
 def test_pii_carries_any_column(spark):
     rows = spark.createDataFrame([(1, "mail a@b.org now", "tee", "under", 3)], "doc_id int, text string, t string, _m string, email int")
     out = pii.found(rows, None, ("doc_id", "t", "_m", "email")).first()
