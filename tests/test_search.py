@@ -1,7 +1,9 @@
 import json
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from lodestack.functions.vectors import inner, masked_mean, negative_distance
 from lodestack.operators import ids, ivf, lookup, metrics, ranking, verify
 from lodestack.operators.embed import embed, embed_again, embed_missing
 from lodestack.operators.passages import passages
-from lodestack.operators.topk import exact_topk
+from lodestack.operators.topk import exact_topk, scored
 from lodestack.plans import build, search
 from lodestack.session import shared_path
 from lodestack.sources import catalog
@@ -379,3 +381,22 @@ def test_embedding_stores(spark):
             yield b[["passage_id"]].assign(embedding=[[1.0, 0.0]] * len(b))
 
     assert embed(rows, encoder=ones).where("embedding[0] = 1").count() == 6
+
+
+def test_many_neighbours_take_little_memory():
+    """A block of queries at k = 4096 against several of vectors: the task holds what it keeps and a small merge, and the best are right."""
+    rng, k, n = np.random.default_rng(3), 4096, 240
+    q, x = rng.normal(size=(n, 8)).astype(np.float32), rng.normal(size=(4 * k, 8)).astype(np.float32)
+    block = lambda ids, v: [pa.array([ids.tolist()], pa.list_(pa.int64())), pa.array([8], pa.int32()), pa.array([v.tobytes()], pa.binary())]
+    pairs = [block(np.arange(n), q) + [pa.array([[k] * n], pa.list_(pa.int32()))] + block(np.arange(i, i + k), x[i : i + k]) for i in range(0, 4 * k, k)]
+    tracemalloc.start()
+    found = {}
+    for b in scored((pa.RecordBatch.from_arrays(p, list("abcdefg")) for p in pairs), k, "ip", True):
+        for row, i in zip(b.column(0).to_numpy(), b.column(1).to_numpy()):
+            if row % 60 == 0:
+                found.setdefault(int(row), []).append(int(i))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    score = np.round(q.astype(np.float64) @ x.astype(np.float64).T, 9)
+    assert found == {r: np.lexsort((np.arange(4 * k), -score[r]))[:k].tolist() for r in range(0, n, 60)}
