@@ -18,22 +18,30 @@ Encoder = Callable[[Iterator], Iterator]
 KEPT_TOKENS = 500_000
 
 
+class Slots(dict):
+    """The slot of each token, as `functions.text.slot` says; at most `KEPT_TOKENS` are remembered."""
+
+    def __init__(self, dim: int, seed: int):
+        self.dim, self.seed = dim, seed
+
+    def __missing__(self, token: bytes) -> int:
+        s = int.from_bytes(hashlib.md5(b"%d:" % self.seed + token).digest()[:4], "big") % self.dim
+        if len(self) < KEPT_TOKENS:
+            self[token] = s
+        return s
+
+
 def hashed(batches: Iterator[pa.RecordBatch], dim: int, max_length: int | None, seed: int = 0) -> Iterator[pa.RecordBatch]:
     """Counts of the tokens of each text (first column) by `slot`, at unit length; zeros for a text without tokens."""
-    slots: dict[bytes, int] = {}
+    slots = Slots(dim, seed)
     for b in batches:
-        out = np.zeros((b.num_rows, dim))
-        for i, t in enumerate(b.column(0)):
-            parts = (t.as_py() or b"").split()  # at ASCII white space
-            at = []
-            for w in parts if max_length is None else parts[:max_length]:
-                s = slots.get(w)
-                if s is None:
-                    s = int(hashlib.md5(b"%d:" % seed + w).hexdigest()[:8], 16) % dim
-                    if len(slots) < KEPT_TOKENS:
-                        slots[w] = s
-                at.append(s)
-            out[i] = np.bincount(at, minlength=dim) if at else 0
+        n, at = [], []
+        for t in b.column(0).to_pylist():
+            parts = (t or b"").split()[:max_length]  # at ASCII white space
+            n.append(len(parts))
+            at += map(slots.__getitem__, parts)
+        rows = np.repeat(np.arange(b.num_rows), n) * dim + np.array(at, np.int64)
+        out = np.bincount(rows, minlength=b.num_rows * dim).astype(np.float64).reshape(-1, dim)
         out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
         flat = pa.array(out.astype(np.float32).ravel())
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat)], [*b.schema.names[1:], "embedding"])

@@ -230,7 +230,8 @@ def train(sampled: DataFrame, n_lists: int = 4096, subs: int | None = 16, bits:
     more than the rows that training starts from, four times as many, or all of it where that is at most `LOCAL_BYTES`. Fewer distinct
     vectors than lists give fewer lists. Vectors that are null count for nothing; vectors of unequal length are an error.
     """
-    rows = written(with_vectors(sampled, key, vector), "sample")
+    parts = int(sampled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = written(with_vectors(sampled, key, vector).repartition(parts, key), "sample")  # dealt evenly: a large file's rows come from one task of `sample`
     centroids = _first_rows(rows, vector, key, n_lists, seed)
     if not len(centroids):
         raise ValueError("no vectors to train on")

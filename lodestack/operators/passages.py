@@ -16,16 +16,20 @@ def passages(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: C
 
     `tokenize` and `detokenize` map columns; a model's own tokenizer goes in as an Arrow user function.
     """
-    cut = docs.withColumn("_tokens", tokenize(F.col("text"))).withColumn("_n", T.n_chunks(F.size("_tokens"), size, least_last))
-    rows = cut.where("_n > 0").withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    part = T.chunk(F.col("_tokens"), F.col("chunk_index"), F.col("_n"), size)
-    rows = rows.withColumn("_part", part)
-    return rows.withColumn("n_tokens", F.size("_part")).withColumn("text", detokenize(F.col("_part"))).drop("_tokens", "_n", "_part")
+    # One-element arrays hold what is used more than once, so that it is made once; rows get their own tokens, never the text's.
+    cuts = lambda t, n: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("index"), T.chunk(t, i, n, size).alias("part")))
+    parts = F.transform(F.array(tokenize(F.col("text"))), lambda t: F.filter(F.array(F.struct(t.alias("t"), T.n_chunks(F.size(t), size, least_last).alias("n"))), lambda x: x["n"] > 0))
+    parts = F.flatten(F.transform(F.flatten(parts), lambda x: cuts(x["t"], x["n"])))
+    # An outer explode: before another one Spark tests the array at the scan, and would make it twice.
+    rows = docs.drop("text").columns
+    found = docs.select(*(F.col(f"`{c}`") for c in rows), F.explode_outer(parts).alias("_cut")).where("_cut is not null")
+    part = F.col("_cut.part")
+    return found.select(*(F.col(f"`{c}`") for c in rows), F.col("_cut.index").alias("chunk_index"), F.size(part).alias("n_tokens"), detokenize(part).alias("text"))
 
 
 def passage_starts(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens, first: int = 0) -> DataFrame:
     """doc_id, n (its passages) and start (`first` and those of all documents before it). Texts are counted where they lie; only ids and counts move."""
-    counts = docs.select("doc_id", T.n_chunks(F.size(tokenize(F.col("text"))), size, least_last).alias("n"))
+    counts = docs.select("doc_id", chunk_count(F.col("text"), size, least_last, tokenize).alias("n"))
     return running_sums(counts, ["doc_id"], "n", start=first)
 
 
@@ -38,7 +42,8 @@ def passage_table(docs: DataFrame, size: int = 128, least_last: int = 64, tokeni
 
 def chunk_count(text: Column, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens) -> Column:
     """How many passages a text gives."""
-    return T.n_chunks(F.size(tokenize(text)), size, least_last).cast("long")
+    made = F.transform(F.array(F.size(tokenize(text))), lambda n: T.n_chunks(n, size, least_last))  # the text is taken apart once
+    return F.element_at(made, 1).cast("long")
 
 
 def numbered(docs: DataFrame, start: str, size: int = 128, least_last: int = 64, **how) -> DataFrame:

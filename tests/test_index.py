@@ -342,3 +342,14 @@ def test_a_hot_files_rows_are_cut_before_they_meet(spark, monkeypatch):
     assert len(sizes) == 20 and max(sizes) == 50 and sum(sizes) == len(found)
     monkeypatch.setattr(ivf, "BROADCAST_FILES", 0)
     assert {tuple(r) for r in ivf.sample(rows, 1000).select("file_id", "passage_id").collect()} == found
+
+
+def test_training_rounds_are_dealt_evenly(spark, monkeypatch):
+    """A sample that comes from one file, and so from one task: the rounds of training read it in even parts."""
+    x = np.random.default_rng(4).normal(size=(4000, 8))
+    v = spark.createDataFrame([(i, 7, r.tolist()) for i, r in enumerate(x)], "passage_id long, file_id int, embedding array<float>")
+    kept, made = [], ivf.written
+    monkeypatch.setattr(ivf, "written", lambda df, name: kept.append(df) or made(df, name))
+    ivf.train(ivf.sample(v, 4000), 4, None, rounds=1)
+    sizes = [r["count"] for r in kept[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) > 1 and max(sizes) < 2 * 4000 / len(sizes)

@@ -400,3 +400,11 @@ def test_many_neighbours_take_little_memory():
     assert peak < 120e6
     score = np.round(q.astype(np.float64) @ x.astype(np.float64).T, 9)
     assert found == {r: np.lexsort((np.arange(4 * k), -score[r]))[:k].tolist() for r in range(0, n, 60)}
+
+
+def test_passages_take_a_text_apart_once(spark):
+    """Rows of passages get their own tokens, not all of the text's, and the text is split once."""
+    rows = passages(spark.createDataFrame([(1, "a b " * 300), (2, None), (3, " ")], "doc_id int, text string"), 8, 4)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and " _tokens#" not in plan
+    assert [(r.doc_id, r.chunk_index, r.n_tokens, r.text) for r in rows.collect()] == [(1, i, 8, "a b a b a b a b") for i in range(75)]
