@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,38 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow_text import split
+from ..functions.digests import md5_heads
 from ..sources.catalog import not_done, write_store
 
 #: Takes batches with the key and `text` and gives batches with the key and `embedding`.
 Encoder = Callable[[Iterator], Iterator]
-#: Tokens whose slot a task remembers.
-KEPT_TOKENS = 500_000
-
-
-class Slots(dict):
-    """The slot of each token, as `functions.text.slot` says; at most `KEPT_TOKENS` are remembered."""
-
-    def __init__(self, dim: int, seed: int):
-        self.dim, self.seed = dim, seed
-
-    def __missing__(self, token: bytes) -> int:
-        s = int.from_bytes(hashlib.md5(b"%d:" % self.seed + token).digest()[:4], "big") % self.dim
-        if len(self) < KEPT_TOKENS:
-            self[token] = s
-        return s
 
 
 def hashed(batches: Iterator[pa.RecordBatch], dim: int, max_length: int | None, seed: int = 0) -> Iterator[pa.RecordBatch]:
     """Counts of the tokens of each text (first column) by `slot`, at unit length; zeros for a text without tokens."""
-    slots = Slots(dim, seed)
     for b in batches:
-        n, at = [], []
-        for t in b.column(0).to_pylist():
-            parts = (t or b"").split()[:max_length]  # at ASCII white space
-            n.append(len(parts))
-            at += map(slots.__getitem__, parts)
-        rows = np.repeat(np.arange(b.num_rows), n) * dim + np.array(at, np.int64)
-        out = np.bincount(rows, minlength=b.num_rows * dim).astype(np.float64).reshape(-1, dim)
+        n, tokens = split(b.column(0))
+        row = np.repeat(np.arange(b.num_rows), n)
+        if max_length is not None:
+            first = np.arange(len(row)) - (np.cumsum(n) - n)[row] < max_length
+            row, tokens = row[first], tokens.filter(pa.array(first))
+        coded = tokens.dictionary_encode()  # a token is digested once in a batch
+        at = (md5_heads(coded.dictionary, b"%d:" % seed) % dim).astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        out = np.bincount(row * dim + at, minlength=b.num_rows * dim).astype(np.float64).reshape(-1, dim)
         out /= np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
         flat = pa.array(out.astype(np.float32).ravel())
         yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dim, dtype=np.int32)), flat)], [*b.schema.names[1:], "embedding"])

@@ -115,6 +115,6 @@ def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
     earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("file_path", "split").agg(*(F.sum(f"_n{k}").alias(f"_s{k}") for k in range(len(names))))
     sums = sums.select("file_path", "split", *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(names))))
-    found = placed.where(F.col("_n1") == 1).join(sums, ["file_path", "split"])
+    found = placed.where(F.col("_n1") == 1).join(F.broadcast(sums), ["file_path", "split"])  # a row per split: else lines are shuffled to meet theirs
     of = lambda k: F.col(f"_b{k}") + F.col(f"_l{k}")
     return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", of(0).alias("position"), "value", of(1).alias("number"), *amounts, *(of(k).alias(names[k]) for k in range(2, len(names))))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrow_text import cut
 from .ids import running_sums
 
 
@@ -27,6 +30,21 @@ def passages(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: C
     return found.select(*(F.col(f"`{c}`") for c in rows), F.col("_cut.index").alias("chunk_index"), F.size(part).alias("n_tokens"), detokenize(part).alias("text"))
 
 
+def passages_by_batch(docs: DataFrame, size: int = 128, least_last: int = 64) -> DataFrame:
+    """`passages` by the tokens of `functions.text.tokens`, a batch of texts at a time, for builds over whole corpora."""
+    kept = [f for f in docs.schema if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, index, n, text = cut(b.column(0), size, least_last)
+            of = pa.array(row)
+            columns = [*(c.take(of) for c in b.columns[1:]), pa.array(index.astype(np.int32)), pa.array(n.astype(np.int32)), text]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names[1:], "chunk_index", "n_tokens", "text"])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    return docs.select("text", *(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, ", ".join([*kinds, "chunk_index int, n_tokens int, text string"]))
+
+
 def passage_starts(docs: DataFrame, size: int = 128, least_last: int = 64, tokenize: Callable[[Column], Column] = T.tokens, first: int = 0) -> DataFrame:
     """doc_id, n (its passages) and start (`first` and those of all documents before it). Texts are counted where they lie; only ids and counts move."""
     counts = docs.select("doc_id", chunk_count(F.col("text"), size, least_last, tokenize).alias("n"))
@@ -48,7 +66,8 @@ def chunk_count(text: Column, size: int = 128, least_last: int = 64, tokenize: C
 
 def numbered(docs: DataFrame, start: str, size: int = 128, least_last: int = 64, **how) -> DataFrame:
     """`passages` with passage_id, of documents that know where theirs begin (column `start`, which is dropped). Nothing is shuffled."""
-    return passages(docs, size, least_last, **how).withColumn("passage_id", F.col(start) + F.col("chunk_index")).drop(start)
+    cuts = passages(docs, size, least_last, **how) if how else passages_by_batch(docs, size, least_last)
+    return cuts.withColumn("passage_id", F.col(start) + F.col("chunk_index")).drop(start)
 
 
 def per_file(rows: DataFrame, file: str = "file_id") -> DataFrame:

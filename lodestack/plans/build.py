@@ -47,7 +47,7 @@ def write_passage_files(passages: DataFrame, path: str) -> None:
 def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n_lists: int = 4096, subs: int | None = 16, bits: int = 8, sample_size: int = 10_000_000, rebuild: bool = False, retrain: bool = False, dim: int = 64, encoder=None, encoder_name: str = "hashed", order: list[str] | None = None, fingerprint: str | None = None, turns: int = 0, border: int = 1) -> dict[str, DataFrame]:
     """All tables of a corpus from `texts` (file_name, text and what `order` names, by default the line's doc_position if there is one).
 
-    `passages` are `cuts` joined to their positions; who needs no positions takes `cuts`, for which no text is shuffled.
+    `passages` are `cuts` joined to their `positions`; who needs no positions takes `cuts`, for which no text is shuffled, and who needs no texts joins what they do need.
     Texts that are null count as empty. Document ids follow the file's name and then `order`. A table that is there is reused if it is whole and
     was made with the same settings, from the same tables, and, where a `fingerprint` is given, from the same input; otherwise it and what
     follows from it is made anew. `rebuild` makes every table anew; `retrain` the quantiser and what follows from it. An index over
@@ -94,7 +94,7 @@ def build(texts: DataFrame, store: str, size: int = 128, least_last: int = 64, n
         ivf.write_postings(ivf.encode(vectors, q, "domain"), f"{store}/postings")
         write_note(spark, f"{store}/postings/{NOTE}", {"given": given(of_index), "rows": ivf.read_postings(spark, f"{store}/postings").count()})
     postings = ivf.read_postings(spark, f"{store}/postings")
-    return {"files": files, "documents": docs, "cuts": cuts, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings, border)}
+    return {"files": files, "documents": docs, "cuts": cuts, "positions": positions, "passages": passages, "embeddings": vectors, "postings": postings, "quantiser": q, "report": verify(docs, cuts, vectors, postings, border)}
 
 
 def build_files(spark: SparkSession, path: str, store: str, **how) -> dict[str, DataFrame]:

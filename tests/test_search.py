@@ -12,7 +12,7 @@ from lodestack.functions import text as T
 from lodestack.functions.vectors import inner, masked_mean, negative_distance
 from lodestack.operators import ids, ivf, lookup, metrics, ranking, verify
 from lodestack.operators.embed import embed, embed_again, embed_missing
-from lodestack.operators.passages import passages
+from lodestack.operators.passages import passages, passages_by_batch
 from lodestack.operators.topk import exact_topk, scored
 from lodestack.plans import build, search
 from lodestack.session import shared_path
@@ -408,3 +408,31 @@ def test_passages_take_a_text_apart_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and " _tokens#" not in plan
     assert [(r.doc_id, r.chunk_index, r.n_tokens, r.text) for r in rows.collect()] == [(1, i, 8, "a b a b a b a b") for i in range(75)]
+
+
+def test_batches_of_texts_say_what_rows_say(spark):
+    """Odd white space, nulls and long tokens: batches are cut and embedded as the column expressions say for each row."""
+    odd = [None, "", " \t\n", "a", " a  b\x0bc\x0cd\r", "e\x1cf\x85g\xa0h 　i", "üä " * 9, "x" * 53 + " " + "y" * 54 + " z" * 7, *(" ".join("ab c\td"[i % 6 :] * (i % 5)) for i in range(40))]
+    docs = spark.createDataFrame(list(enumerate(odd)), "passage_id long, text string").repartition(3)
+    for size, least in ((4, 2), (1, 1), (128, 64)):
+        assert sorted(passages_by_batch(docs, size, least).collect()) == sorted(passages(docs, size, least).collect())
+    words = docs.select("passage_id", F.posexplode(T.tokens(F.col("text"))).alias("at", "word")).where("at < 20").groupBy("passage_id", T.slot(F.col("word"), 8).alias("slot")).count().collect()
+    counts = np.zeros((len(odd), 8))
+    for r in words:
+        counts[r.passage_id, r.slot] = r["count"]
+    found = np.array([r.embedding for r in embed(docs, dim=8, max_length=20).orderBy("passage_id").collect()])
+    assert np.allclose(found, counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300), atol=1e-6)
+
+
+def test_lines_are_not_shuffled_to_meet_their_places(spark, tmp_path):
+    """The sums of splits go to the lines, however large Spark takes them to be."""
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"text":"line {i}"}}\n' for i in range(50)))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ids.line_positions(spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert [r.position for r in found.orderBy("position").limit(3).collect()] == [0, 18, 36]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
