@@ -10,12 +10,14 @@ from test_index import asked, pairs, unit, vectors
 
 from lodestack.operators import ivf, living
 from lodestack.operators.embed import embed, embed_again
-from lodestack.operators.ids import line_columns
+from lodestack.operators.ids import line_columns, positioned
+from lodestack.operators.passages import numbered
 from lodestack.operators.topk import exact_topk
 from lodestack.operators.verify import verify
 from lodestack.plans import build
 from lodestack.session import shared_path
 from lodestack.sources import catalog
+from lodestack.streaming import maintain as maintain_module
 from lodestack.streaming.maintain import grow, grown, maintain_store, take_up
 
 MODEL = ivf.Quantiser(unit(np.random.default_rng(0), 6))
@@ -228,3 +230,20 @@ def test_fingerprint(spark, tmp_path):
     two = catalog.fingerprint(spark, str(tmp_path / "in"))
     _write(tmp_path / "in", "b.jsonl", ["z"])
     assert len({one, two, catalog.fingerprint(spark, str(tmp_path / "in"))}) == 3
+
+
+def test_a_batch_of_lines_is_not_shuffled_to_meet_its_places(spark, tmp_path, monkeypatch):
+    """Tables of a batch come from the tasks that read its splits: the plan of its documents joins by broadcast alone, whatever Spark takes sizes to be."""
+    (tmp_path / "a--raw_passages-0.jsonl").write_text("".join(f'{{"text":"word {i}"}}\n' for i in range(60)))
+    lines = spark.read.option("lineSep", "\n").text(str(tmp_path)).select(*line_columns())
+    plans = []
+    monkeypatch.setattr(maintain_module, "numbered", lambda docs, *how: plans.append(placed[-1]._jdf.queryExecution().executedPlan().toString()) or numbered(docs, *how))
+    placed = []
+    monkeypatch.setattr(maintain_module, "positioned", lambda *how, **amounts: placed.append(positioned(*how, **amounts)) or placed[-1])
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        take_up(lines, 0, shared_path(spark, "store"), ivf.Quantiser(np.eye(64)[:2]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
