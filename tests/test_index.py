@@ -77,6 +77,15 @@ def test_top_k_is_cut_in_tasks_at_any_k(spark, k, monkeypatch):
     assert pairs(exact_topk(q, v, k, block=512)) == want
 
 
+def test_a_scoring_task_has_no_python_for_its_queries(spark):
+    """Blocks of queries are read as a table while a task scores, however many tasks do, and none is lost."""
+    v = vectors(spark, unit(np.random.default_rng(31), 700)).repartition(3).coalesce(3)
+    sent = task_best(asked(v, 7), v, 300, query_block=16)
+    plan = sent._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # the blocks of vectors, and their scores
+    assert sorted(r.query_id for r in sent.select("query_id").distinct().collect()) == list(range(0, 700, 7))
+
+
 def test_each_query_has_its_own_number(spark):
     """A request for many does not make the others fetch as many, by exact and by index search."""
     v = vectors(spark, unit(np.random.default_rng(21), 1000)).repartition(2).coalesce(2)
