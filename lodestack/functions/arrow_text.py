@@ -26,6 +26,11 @@ def n_chunks(n: np.ndarray, size: int, least_last: int) -> np.ndarray:
     return np.where(n == 0, 0, np.where(full == 0, 1, full + (rest >= least_last)))
 
 
+def chunk_count(texts: pa.Array, size: int, least_last: int) -> np.ndarray:
+    """How many chunks each text gives."""
+    return n_chunks(split(texts)[0], size, least_last)
+
+
 def cut(texts: pa.Array, size: int, least_last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Of all chunks of the texts, in order: the text's row, the chunk's index, its number of tokens, and the tokens joined by a blank."""
     n, flat = split(texts)

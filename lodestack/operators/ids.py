@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,17 +79,21 @@ def line_columns() -> list[Column]:
     return [F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("split"), F.col("value")]
 
 
-def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
+def positioned(lines: DataFrame, text: Column | None = None, **amounts: Column | Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """`line_positions` of lines that come with their file_path and split, and number: of each line among the file's lines that are not blank, from 0.
 
-    Of each of `amounts` (a long, by the line's value) there is the amount, and under the name with "_before" its sum over the file's earlier lines that are
+    With `text`, worked out from a line's value, rows have that in the value's place. Of each of `amounts` (a long, by the line's value, or what
+    maps a batch of values, or of texts, to whole numbers) there is the amount, and under the name with "_before" its sum over the file's earlier lines that are
     not blank. A file's splits are summed apart: all is added up within a split as it is read, and each split's sums go to the later
     ones, so no line is shuffled.
     """
     from pyspark.sql import Window
 
+    kept = "value" if text is None else "text"
     names = ["size", "number", *(f"{c}_before" for c in amounts)]
-    rows = lines.select("file_path", "split", "value", *(c.cast("long").alias(n) for n, c in amounts.items()))
+    size, real = (F.octet_length("value") + 1).cast("long"), F.col("value").rlike("\\S")
+    rows = lines.select("file_path", "split", (F.col("value") if text is None else text).alias(kept), size.alias("_size"), real.alias("_real"), *(c.cast("long").alias(n) for n, c in amounts.items() if isinstance(c, Column)))
+    of_batch = [(lambda b, n=n: pc.fill_null(b.column(n), 0).to_numpy(zero_copy_only=False)) if isinstance(c, Column) else (lambda b, c=c: c(b.column(kept))) for n, c in amounts.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lines of a split come in order and a split is read by one task, one after another."""
@@ -97,8 +101,8 @@ def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            real = pc.match_substring_regex(b.column(2), "[^ \\t\\n\\x0B\\f\\r]").to_numpy(zero_copy_only=False)
-            own = [pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + 1, real.astype(np.int64), *(np.where(real, pc.fill_null(c, 0).to_numpy(zero_copy_only=False), 0) for c in b.columns[3:])]
+            real = b.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            own = [b.column(3).to_numpy(zero_copy_only=False), real.astype(np.int64), *(np.where(real, amount(b), 0).astype(np.int64) for amount in of_batch)]
             paths, splits = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             cuts = [0, *(np.flatnonzero((paths[1:] != paths[:-1]) | (splits[1:] != splits[:-1])) + 1).tolist(), b.num_rows]
             local = np.empty((len(names), b.num_rows), np.int64)
@@ -108,13 +112,13 @@ def positioned(lines: DataFrame, **amounts: Column) -> DataFrame:
                 ends = np.cumsum(np.stack([x[i:j] for x in own]), axis=1)
                 local[:, i:j] = done[:, None] + ends - np.stack([x[i:j] for x in own])
                 done = done + ends[:, -1]
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x) for x in local), *(pa.array(x) for x in own)], [*b.schema.names, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x) for x in local), *(pa.array(x) for x in own)], [*b.schema.names[:3], *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))])
 
-    kinds = ", ".join(f"{c} long" for c in (*amounts, *(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))))
-    placed = written(rows.mapInArrow(run, f"file_path string, split long, value string, {kinds}"), "lines", compression="zstd")  # whole lines
+    kinds = ", ".join(f"{c} long" for c in (*(f"_l{k}" for k in range(len(names))), *(f"_n{k}" for k in range(len(names)))))
+    placed = written(rows.mapInArrow(run, f"file_path string, split long, {kept} string, {kinds}"), "lines", compression="zstd")  # whole lines
     earlier = Window.partitionBy("file_path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy("file_path", "split").agg(*(F.sum(f"_n{k}").alias(f"_s{k}") for k in range(len(names))))
     sums = sums.select("file_path", "split", *(F.coalesce(F.sum(f"_s{k}").over(earlier), F.lit(0)).alias(f"_b{k}") for k in range(len(names))))
     found = placed.where(F.col("_n1") == 1).join(F.broadcast(sums), ["file_path", "split"])  # a row per split: else lines are shuffled to meet theirs
     of = lambda k: F.col(f"_b{k}") + F.col(f"_l{k}")
-    return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", of(0).alias("position"), "value", of(1).alias("number"), *amounts, *(of(k).alias(names[k]) for k in range(2, len(names))))
+    return found.select(F.substring_index("file_path", "/", -1).alias("file_name"), "file_path", of(0).alias("position"), kept, of(1).alias("number"), *(F.col(f"_n{k}").alias(c) for k, c in enumerate(amounts, 2)), *(of(k).alias(names[k]) for k in range(2, len(names))))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..functions.arrow_text import chunk_count
 from ..functions.text import domain_of, passage_file
 from ..operators import ivf, living
 from ..operators.embed import embed
 from ..operators.ids import line_columns, positioned
-from ..operators.passages import chunk_count, numbered
+from ..operators.passages import numbered
 from ..session import discard
 from ..sources.catalog import delete, names_below, read_note, text_of, write_note
 
@@ -75,14 +76,14 @@ def take_up(lines: DataFrame, number: int, store: str, q: ivf.Quantiser, size: i
         rows.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
-    placed = positioned(lines, n=chunk_count(text_of(F.col("value")), size, least_last))
+    placed = positioned(lines, text_of(F.col("value")), n=lambda texts: chunk_count(texts, size, least_last))  # a line is parsed once
     counts = placed.groupBy("file_name").agg(F.count("*").alias("documents"), F.sum("n").alias("passages"))  # a row per file
     before = lambda c: F.coalesce(F.sum(c).over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first[c]
     known = table("files", counts.select("file_name", before("documents").alias("first_doc"), before("passages").alias("first_passage"), (F.row_number().over(Window.orderBy("file_name")) - 1 + first["files"]).cast("long").alias("file_id")))
     texts = placed.join(F.broadcast(known), "file_name")  # a row per file of a batch
-    rows = texts.select("file_name", "file_id", F.col("position").alias("doc_position"), text_of(F.col("value")).alias("text"), (F.col("first_doc") + F.col("number")).alias("doc_id"), (F.col("first_passage") + F.col("n_before")).alias("passage_start"))
+    rows = texts.select("file_name", "file_id", F.col("position").alias("doc_position"), "text", (F.col("first_doc") + F.col("number")).alias("doc_id"), (F.col("first_passage") + F.col("n_before")).alias("passage_start"))
     docs = table("documents", rows)
-    discard(placed.select("value"))
+    discard(placed.select("text"))
     cut = numbered(docs.select("doc_id", "file_id", "file_name", F.col("file_name").alias("doc_file"), "doc_position", "text", "passage_start"), "passage_start", size, least_last)
     cuts = table("passages", cut.withColumn("passage_file", passage_file(F.col("file_name"))))
     vectors = table("embeddings", embed(cuts.withColumn("domain", domain_of(F.col("file_name"))), encoder=encoder, dim=dim, carry=("file_id", "domain")))

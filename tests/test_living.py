@@ -11,7 +11,7 @@ from test_index import asked, pairs, unit, vectors
 from lodestack.operators import ivf, living
 from lodestack.operators.embed import embed, embed_again
 from lodestack.operators.ids import line_columns, positioned
-from lodestack.operators.passages import numbered
+from lodestack.operators.passages import chunk_count, numbered
 from lodestack.operators.topk import exact_topk
 from lodestack.operators.verify import verify
 from lodestack.plans import build
@@ -247,3 +247,18 @@ def test_a_batch_of_lines_is_not_shuffled_to_meet_its_places(spark, tmp_path, mo
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert len(plans) == 1 and "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_a_line_is_parsed_once_and_its_passages_counted_by_batch(spark, tmp_path, monkeypatch):
+    """Blank lines, null, missing and empty texts and other white space count as the column functions count them."""
+    texts = ["one two", None, "", " \t ", "w " * 700, "a b c " * 80, "x\x0by\x0cz " * 90, "é " * 191]
+    lines = [json.dumps({"text": t}) if i % 3 else json.dumps({"text": t}) + "\n  " for i, t in enumerate(texts)] + ['{"x": 1}', json.dumps({"text": "v " * 300})]
+    (tmp_path / "a--raw_passages-0.jsonl").write_text("\n".join(lines))
+    parsed = []
+    monkeypatch.setattr(maintain_module, "text_of", lambda line: parsed.append(line) or catalog.text_of(line))
+    store = shared_path(spark, "store")
+    take_up(spark.read.option("lineSep", "\n").text(str(tmp_path)).select(*line_columns()), 0, store, ivf.Quantiser(np.eye(64)[:2]))
+    assert len(parsed) == 1
+    docs = grown(spark, store)["documents"].select("doc_id", "text", "passage_start", chunk_count(F.col("text")).alias("n")).orderBy("doc_id").collect()
+    assert [r.text for r in docs] == [t or "" for t in texts] + ["", "v " * 300]
+    assert [r.passage_start for r in docs] == np.cumsum([0] + [r.n for r in docs])[:-1].tolist() and sum(r.n for r in docs) > 10
